@@ -136,33 +136,43 @@ def suppress_duplicates(df: DataFrame, min_iou: float = 0.8, compare_text: bool
 # ---- B6, B8: greedy grouping
 
 
-def _grouped(df: DataFrame, decide, name: str, whole_document: bool = False) -> DataFrame:
-    """Fold boxes in (top, left) order into groups; decide(groups, box) gives a group or None."""
+def _grouped(df: DataFrame, fits, first_fit: bool, name: str, whole_document: bool = False) -> DataFrame:
+    """Fold boxes in (top, left) order into groups, all in the JVM.
+
+    fits(group, box) gives the distance of a fitting group, else null; the nearest (or, with
+    first_fit, the oldest) fitting group takes the box, else a new one opens. A group is
+    (top, bottom, sum of centres, sum of heights, count). One-box islands are settled before.
+    """
     marked = df.withColumn("island", F.lit(1)) if whole_document else with_islands(df)
     marked = marked.withColumn("__n", F.count("*").over(Window.partitionBy("doc_id", "island")))
-    id_type, box_type = (df.schema[c].dataType.simpleString() for c in ("doc_id", "box_id"))
+    box_type = df.schema["box_id"].dataType.simpleString()
+    group_type = "struct<top:double,bottom:double,centers:double,heights:double,n:int>"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["top", "left", "box_id"])
-        groups: list[dict] = []
-        out = []
-        for left, top, right, bottom in zip(*(pdf[c] for c in EDGES)):
-            at = decide(groups, top, bottom)
-            if at is None:
-                at = len(groups)
-                groups.append({"top": top, "bottom": bottom, "centers": []})
-            g = groups[at]
-            g["top"], g["bottom"] = min(g["top"], top), max(g["bottom"], bottom)
-            g["centers"].append((top + bottom) / 2)
-            g["heights"] = [*g.get("heights", ()), max(bottom - top, 1.0)]
-            out.append(at)
-        return pd.DataFrame({"doc_id": pdf["doc_id"], "box_id": pdf["box_id"], "island": pdf["island"], "__at": out})
+    def grown(g: Column, x: Column) -> Column:
+        return F.struct(F.least(g.top, x.top).alias("top"), F.greatest(g.bottom, x.bottom).alias("bottom"), (g.centers + x.center).alias("centers"), (g.heights + x.height).alias("heights"), (g.n + 1).alias("n"))
+
+    def opened(x: Column) -> Column:
+        return F.struct(x.top.alias("top"), x.bottom.alias("bottom"), x.center.alias("centers"), x.height.alias("heights"), F.lit(1).alias("n"))
+
+    def step(s: Column, x: Column) -> Column:
+        able = F.filter(F.transform(s.groups, lambda g, i: F.struct((F.when(fits(g, x).isNotNull(), 0.0) if first_fit else fits(g, x)).alias("away"), i.alias("i"))), lambda c: c.away.isNotNull())
+        at = F.coalesce(F.get(F.array_sort(able), F.lit(0)).i, F.size(s.groups))
+        chosen = F.struct(at.alias("at"), s.groups.alias("groups"), s.placed.alias("placed"))
 
+        def put(c: Column) -> Column:
+            groups = F.when(c["at"] < F.size(c["groups"]), F.transform(c["groups"], lambda g, i: F.when(i == c["at"], grown(g, x)).otherwise(g))).otherwise(F.concat(c["groups"], F.array(opened(x))))
+            return F.struct(groups.alias("groups"), F.concat(c["placed"], F.array(F.struct(x.box_id.alias("box_id"), c["at"].alias("at")))).alias("placed"))
+
+        return F.get(F.transform(F.array(chosen), put), F.lit(0))
+
+    start = F.struct(F.array().cast(f"array<{group_type}>").alias("groups"), F.array().cast(f"array<struct<box_id:{box_type},at:int>>").alias("placed"))
+    item = F.struct(*(F.col(c).cast("double").alias(c) for c in ("top", "left")), "box_id", F.col("bottom").cast("double").alias("bottom"), ((F.col("top") + F.col("bottom")) / 2).cast("double").alias("center"), F.greatest(F.col("bottom") - F.col("top"), F.lit(1.0)).cast("double").alias("height"))
     alone = marked.where("__n = 1").select("doc_id", "box_id", "island", F.lit(0).alias("__at"))
-    more = marked.where("__n > 1").select("doc_id", "box_id", "island", *EDGES).groupBy("doc_id", "island").applyInPandas(fold, f"doc_id {id_type}, box_id {box_type}, island long, __at int")
-    placed = alone.withColumn("island", F.col("island").cast("long")).unionByName(more)
+    packed = marked.where("__n > 1").groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(item)).alias("__all"))
+    more = packed.select("doc_id", "island", F.explode(F.aggregate("__all", start, step).placed).alias("p")).select("doc_id", "p.box_id", "island", F.col("p.at").alias("__at"))
     dense = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("island", "__at"))
-    return df.join(placed.select("doc_id", "box_id", dense.alias(name)), ["doc_id", "box_id"])
+    placed = alone.unionByName(more).select("doc_id", "box_id", dense.alias(name))
+    return df.hint("merge").join(placed.hint("merge"), ["doc_id", "box_id"])
 
 
 def group_lines(df: DataFrame, min_overlap: float = 0.35, max_center: float = 0.80) -> DataFrame:
@@ -173,18 +183,13 @@ def group_lines(df: DataFrame, min_overlap: float = 0.35, max_center: float = 0.
     if not max_center < 1:
         raise ValueError("max_center must be below 1")
 
-    def decide(groups, top, bottom):
-        best, least = None, float("inf")
-        for k, g in enumerate(groups):
-            small, mean = min(bottom - top, g["bottom"] - g["top"]), (bottom - top + g["bottom"] - g["top"]) / 2
-            both = max(0.0, min(bottom, g["bottom"]) - max(top, g["top"]))
-            away = abs((g["top"] + g["bottom"]) / 2 - (top + bottom) / 2)
-            fits = (both / small if small > 0 else 0.0) >= min_overlap or (away / mean if mean > 0 else 0.0) <= max_center
-            if fits and away < least:
-                best, least = k, away
-        return best
+    def fits(g: Column, x: Column) -> Column:
+        tall, own = g.bottom - g.top, x.bottom - x.top
+        both = F.greatest(F.least(x.bottom, g.bottom) - F.greatest(x.top, g.top), F.lit(0.0))
+        away = F.abs((g.top + g.bottom) / 2 - x.center)
+        return F.when((ratio(both, F.least(tall, own)) >= min_overlap) | (ratio(away, (tall + own) / 2) <= max_center), away)
 
-    return _grouped(df, decide, "line_id")
+    return _grouped(df, fits, False, "line_id")
 
 
 def group_rows(df: DataFrame, tol: float = 0.25, min_overlap: float = 0.45, mode: str = "overlap") -> DataFrame:
@@ -194,23 +199,18 @@ def group_rows(df: DataFrame, tol: float = 0.25, min_overlap: float = 0.45, mode
     the larger height, over the whole document.
     """
 
-    def decide(groups, top, bottom):
-        height, center = max(bottom - top, 1.0), (top + bottom) / 2
-        best, least = None, float("inf")
-        for k, g in enumerate(groups):
-            mean = sum(g["centers"]) / len(g["centers"])
-            if mode == "centre":
-                if abs(center - mean) <= 0.6 * max(sum(g["heights"]) / len(g["heights"]), height):
-                    return k
-                continue
-            tall = max(g["bottom"] - g["top"], 1.0)
-            both = max(0.0, min(bottom, g["bottom"]) - max(top, g["top"]))
-            close = abs(center - (g["top"] + g["bottom"]) / 2) <= max(tall, height) * tol
-            if both / max(min(height, tall), 1.0) >= min_overlap and close and abs(center - mean) < least:
-                best, least = k, abs(center - mean)
-        return best
-
-    return _grouped(df, decide, "row_id", whole_document=mode == "centre")
+    def overlapping(g: Column, x: Column) -> Column:
+        tall = F.greatest(g.bottom - g.top, F.lit(1.0))
+        both = F.greatest(F.least(x.bottom, g.bottom) - F.greatest(x.top, g.top), F.lit(0.0))
+        close = F.abs(x.center - (g.top + g.bottom) / 2) <= F.greatest(tall, x.height) * tol
+        return F.when((both / F.greatest(F.least(x.height, tall), F.lit(1.0)) >= min_overlap) & close, F.abs(x.center - g.centers / g.n))
+
+    def centred(g: Column, x: Column) -> Column:
+        away = F.abs(x.center - g.centers / g.n)
+        return F.when(away <= 0.6 * F.greatest(g.heights / g.n, x.height), away)
+
+    centre = mode == "centre"
+    return _grouped(df, centred if centre else overlapping, centre, "row_id", whole_document=centre)
 
 
 # ---- B7, B9, B10

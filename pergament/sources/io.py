@@ -46,6 +46,7 @@ def intake(files: DataFrame, max_mb: float = 10) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, path: str, max_mb: float = 10) -> DataFrame:
+    """S2 for a folder. Spark's file listing leaves empty files out; give ``intake`` a listing to report them."""
     return intake(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length"), max_mb)
 
 
