@@ -88,7 +88,8 @@ def card_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = TQ.lines_of(spark, sf_dir)
     raw = spark.sql(CARD_BOXES.replace("FROM lines", "FROM {lines}"), lines=lines).where("text <> ''")
     d = lambda c: F.expr(c).cast("double")
-    return raw.select("doc_id", F.col("box_id").cast("long").alias("box_id"), F.col("row_id").cast("long").alias("row_id"), "text", d("x").alias("left"), (40.0 * d("row_id")).alias("top"), (d("x") + 8.0 * F.length("text")).alias("right"), (40.0 * d("row_id") + 24).alias("bottom"), d("c").alias("confidence"))
+    # read several times by label search, so kept
+    return raw.select("doc_id", F.col("box_id").cast("long").alias("box_id"), F.col("row_id").cast("long").alias("row_id"), "text", d("x").alias("left"), (40.0 * d("row_id")).alias("top"), (d("x") + 8.0 * F.length("text")).alias("right"), (40.0 * d("row_id") + 24).alias("bottom"), d("c").alias("confidence")).persist()
 
 
 LAGS = 'lag("right") OVER w AS pr, lag("left") OVER w AS pl, lag(text) OVER w AS pt, lag(box_id) OVER w AS pb'
