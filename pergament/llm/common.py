@@ -64,8 +64,15 @@ def write_atomic(folder: str, name: str, chunks) -> int:
     return size
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows and 32 MB for this session: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
 def need(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast; clashing extra columns of the caller stay out of the work."""
+    bound_batches(df.sparkSession)
     return df.select(*(df[c].cast(t).alias(c) for c, t in columns.items()))
 
 
@@ -82,6 +89,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
 
     The numbers are the same whenever the files are read again.
     """
+    bound_batches(df.sparkSession)
     name = fresh(df, "__row")
     return df.withColumn(name, F.monotonically_increasing_id()), name
 

@@ -161,6 +161,7 @@ def cascade(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 def keep(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, all columns; each text runs until its first failure."""
     order = order or plan(docs)
+    common.bound_batches(docs.sparkSession)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

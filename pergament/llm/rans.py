@@ -21,10 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pergament.llm import common
+from pergament.llm.bpe import byte_alphabet
 
 MAGIC = b"RNS1"
 SCALE = 20  # frequencies sum to 2**SCALE; more than any vocabulary has entries
@@ -176,43 +178,106 @@ def read_segment(path: str, table: Table) -> tuple[int, np.ndarray, np.ndarray,
     return start, docs[:n_docs], docs[n_docs:], ids
 
 
+# Fixed value: the word pattern of the vocabulary's pre-tokenizer, applied after lower-casing.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class Pieces(dict):
+    """Ids of the pieces of words, by the library's BPE model; at most ``limit`` entries."""
+
+    def __init__(self, tok, limit: int):
+        alphabet = byte_alphabet()
+        self.tokenize, self.limit = tok.model.tokenize, limit
+        self.letters = str.maketrans({chr(b): c for c, b in alphabet.items()})
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        text = piece.encode().decode("latin-1").translate(self.letters)
+        ids = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(text)])
+        return ids
+
+
+class Words(dict):
+    """Ids of white-space separated words, in two generations of at most ``limit`` words.
+
+    When the young generation is full it becomes the old one, and old words that are met
+    again come back, so frequent words stay and memory is bounded.
+    """
+
+    def __init__(self, tok, limit: int):
+        import regex
+
+        self.tok, self.limit, self.old, self.pieces = tok, limit, {}, Pieces(tok, limit)
+        self.find, self.lower = regex.compile(PIECES).findall, tok.normalizer.normalize_str
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            low = text.lower() if text.isascii() else self.lower(text)
+            if low.isalpha() and max(low) < "\u0250":
+                ids = self.pieces[low]
+            elif max(text) < "\u0250" and "<|" not in text:
+                ids = b"".join(map(self.pieces.__getitem__, self.find(low)))
+            else:
+                ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
-    """A tokenizer whose tokens never span ASCII white space, with a bounded word memo.
+    """The library's tokenizer for a vocabulary whose tokens never span ASCII white space.
 
-    The library encodes each word that the memo lacks, alone; the ids of a text are those
-    of its words. At ``limit`` words the memo starts anew, so memory stays bounded.
+    Normalising, the BPE model and any unusual word (beyond Latin letters, or with special
+    tokens in it) are the library's; its ids are kept word by word in a bounded memo, and
+    the ids of a text are those of its words in order.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tok, self.memo, self.limit = Tokenizer.from_file(path), {}, limit
-        self.tok.no_truncation()
-        self.tok.no_padding()
-
-    def words(self, texts: list[str | None]) -> list[list[bytes]]:
-        split = [t.encode().split() if t else [] for t in texts]
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        fresh = list({w for words in split for w in words if w not in memo})
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
-            for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                memo[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return split
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        self.memo = Words(tok, limit)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text; a null text has none."""
-        split, get = self.words(texts), self.memo.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = self.memo.__getitem__
+        return [b"".join(map(get, t.encode().split())) if t else b"" for t in texts]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
+def pack(ids: bytes, squeeze) -> bytes:
+    """uint32 ids to Zstandard, as uint16 where all fit; the last byte tells which."""
+    wide = np.frombuffer(ids, dtype="<u4")
+    if len(wide) and wide.max() >= 1 << 16:
+        return squeeze(ids) + b"4"
+    return squeeze(wide.astype("<u2").tobytes()) + b"2"
+
+
+def unpack(data: bytes, expand) -> np.ndarray:
+    return np.frombuffer(expand(data[:-1]), dtype="<u4" if data[-1:] == b"4" else "<u2")
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(part, doc_id, local_start, n_tokens, ids): range partitions in ascending doc_id order.
 
     Equal doc_ids are spread by a row number as second key, so that one id with very many
-    rows does not fill one partition. ids is uint32, zlib-packed.
+    rows does not fill one partition. ids is packed, see ``pack``.
     """
     ordered = (
         common.need(docs, doc_id="long", text="string")
@@ -226,17 +291,17 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = WordEncoder(tokenizer), 0
+        encoder, squeeze, at = word_encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress, 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                rows = batch.slice(k, 1000).to_pydict()
+            for k in range(0, batch.num_rows, 500):
+                rows = batch.slice(k, 500).to_pydict()
                 starts, counts, packed = [], [], []
                 for ids in encoder.encode(rows["text"]):
                     ids += end
                     starts.append(at)
                     counts.append(len(ids) // 4)
                     at += counts[-1]
-                    packed.append(zlib.compress(ids, 1))
+                    packed.append(pack(ids, squeeze))
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(rows["part"], pa.int32()), "doc_id": pa.array(rows["doc_id"], pa.int64()),
                     "local_start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(packed, pa.binary()),
@@ -249,10 +314,10 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     """(id, n) over all documents: counted in each task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, dtype=np.int64)
+        total, expand = np.zeros(1, dtype=np.int64), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                got = np.bincount(np.frombuffer(zlib.decompress(data), dtype="<u4"))
+                got = np.bincount(unpack(data, expand))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
@@ -287,7 +352,7 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, base = shared.value
-        table = Table(freq)
+        table, expand = Table(freq), zstandard.ZstdDecompressor().decompress
         first = then = 0
         doc_ids, lengths, parts, held = [], [], [], 0
 
@@ -308,7 +373,7 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
                     first = start
                 doc_ids.append(doc_id)
                 lengths.append(n)
-                parts.append(np.frombuffer(zlib.decompress(data), dtype="<u4"))
+                parts.append(unpack(data, expand))
                 held, then = held + n, start + n
         if doc_ids:
             yield close()

@@ -129,6 +129,7 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
             got = np.array([fingerprint(t, k, words, h) for t in batch.column(2).to_pylist()], dtype=np.uint64).reshape(-1, words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(got[:, j].copy()) for j in range(words))], names=["row", "doc_id", *names])
 
+    common.bound_batches(docs.sparkSession)
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return numbered.mapInArrow(run, schema)
 
