@@ -23,6 +23,7 @@ from pergament.llm import common
 # Fixed value: weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 CAP = 3  # no target above so many times its source's size
+BROADCAST_SOURCES = 100_000  # source tables up to so many rows are broadcast, larger ones merged
 BUCKET_ROWS = 20_000  # mean rows of a flight group
 FANOUT = 64  # groups merged at each further level
 
@@ -100,11 +101,12 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def source_targets(light: DataFrame, weights=WEIGHTS, cap: float = CAP) -> tuple[DataFrame, int]:
-    """((source, source_size, target, n_sources rows), number of rows): one row per source passes the driver."""
+    """((source_name, source_size, target), number of documents): one row per source passes the driver."""
     rows = light.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     found = targets([r["size"] for r in rows], [weights[k % len(weights)] for k in range(len(rows))], cap)
     table = light.sparkSession.createDataFrame([(r["source"], r["size"], t) for r, t in zip(rows, found)], "source_name string, source_size long, target double")
+    table = F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table.hint("merge")
     return table, sum(r["n"] for r in rows)
 
 
@@ -121,7 +123,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9) -> Da
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     base = F.floor("ratio")
     rows = (
-        light.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("source_name")))
+        light.join(table, F.col("source").eqNullSafe(F.col("source_name")))
         .withColumn("ratio", ratio)
         .select("row", "doc_id", "source", "size", "source_size", "target", base.alias("base"), (F.col("ratio") - base).alias("p"))
         .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "row"), F.lit(buckets)).cast("int"))
