@@ -110,12 +110,13 @@ def dedup(docs: DataFrame, hash_bytes: int = 16) -> DataFrame:
     Null text counts as empty; all empty texts form one group. Of equal texts the row with
     the smallest doc_id stays (null after any number; of rows that repeat it, one). Empty
     table: no rows. Extra columns are ignored. The group table is summed up before its
-    shuffle; the join back is a sort-merge join, whose large partitions Spark splits.
+    shuffle and written; the join back is then a plain sort-merge join, whose large
+    partitions Spark splits.
     """
     cut = common.save(cut_documents(docs, hash_bytes), "chunks")
     listed = common.save(recipes(cut), "recipes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    groups = listed.groupBy("recipe").agg(first, F.count("*").alias("group_size"))
+    groups = common.save(listed.groupBy("recipe").agg(first, F.count("*").alias("group_size")), "groups")
     joined = listed.hint("merge").join(groups.hint("merge"), "recipe")
     return joined.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "row")
 
