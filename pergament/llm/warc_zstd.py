@@ -35,12 +35,17 @@ ROLL = 64 << 20  # an archive is closed at the first record beyond so many bytes
 def train_dictionary(pages: DataFrame, rows: int = 400, longest: int = 16_384, size: int = 32_768) -> bytes:
     """Dictionary fitted on at most ``rows`` payloads of at most ``longest`` bytes (6.6 MB at most).
 
-    Chosen by the hash of their text, so reruns agree. Too few samples to train on: empty.
+    Chosen by the hash of their text, so reruns agree: first the smallest hashes, which are
+    all that every task sends, then one payload for each. Too few samples to train on: empty.
     """
     import zstandard
 
-    short = pages.select("html").where(F.octet_length("html").between(64, longest))
-    picked = [r["html"].encode() for r in short.orderBy(F.xxhash64("html"), "html").limit(rows).collect()]
+    short = pages.select("html").where(F.octet_length("html").between(64, longest)).withColumn("h", F.xxhash64("html"))
+    hashes = [r["h"] for r in short.select("h").distinct().orderBy("h").limit(rows).collect()]
+    if not hashes:
+        return b""
+    few = short.where(F.col("h") <= max(hashes)).groupBy("h").agg(F.min("html").alias("html"))
+    picked = [r["html"].encode() for r in sorted(few.collect(), key=lambda r: r["h"])]
     try:
         return zstandard.train_dictionary(size, picked).as_bytes() if len(picked) >= 8 else b""
     except zstandard.ZstdError:
@@ -193,6 +198,7 @@ def write(pages: DataFrame, folder: str | None = None, min_payload: int = 0) ->
         if file:
             yield file.close()
 
+    common.bound_batches(spark)
     rows = roles(pages, min_payload).select("page_id", "url", "html", "kind", "refers_to")
     return common.save(rows.mapInArrow(run, "path string, records long, bytes long"), "warc-manifest")
 
