@@ -99,3 +99,18 @@ def anti_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
     rows, name = numbered(df)
     gone = dropped.select(F.col("row").alias(name))
     return rows.hint("merge").join(gone.hint("merge"), name, "left_anti").drop(name)
+
+
+def save_numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written with the number of each row, and that column's name.
+
+    The numbers are read from the table, so they hold for every later scan, however it is split.
+    """
+    rows, name = numbered(df)
+    return save(rows, "numbered"), name
+
+
+def without_rows(rows: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
+    """Rows of ``save_numbered`` without those whose number is in ``dropped`` (row)."""
+    gone = dropped.select(F.col("row").alias(name))
+    return rows.hint("merge").join(gone.hint("merge"), name, "left_anti").drop(name)

@@ -336,6 +336,44 @@ def test_near_dedup_recall(spark):
     assert sum(got[i] == i - i % 3 for i in got) >= 0.95 * len(got) and all(c // 3 == i // 3 for i, c in got.items())
 
 
+def shingles_plain(text, k=5):
+    w = [x for x in SPACE.split(lowered(text)) if x]
+    return frozenset(" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def near_components(ids, texts):
+    sets = [shingles_plain(t) for t in texts]
+    linked = [(a, b) for a in range(len(ids)) for b in range(a) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    return smallest_reachable(ids, linked)
+
+
+def test_near_dedup_holds_pairs_to_the_similarity(spark):
+    rng, texts = np.random.default_rng(6), []
+    for n in (4, 6, 8, 9, 20, 50, 200, 400):
+        for j in (0.75, 0.78, 0.8, 0.82, 0.85, 0.9):
+            for t in {math.floor(n * (1 - j) / (1 + j)), math.ceil(n * (1 - j) / (1 + j))}:
+                for _ in range(6):
+                    words = [f"w{x}" for x in rng.integers(0, 10**9, n + 4)]
+                    texts += [" ".join(words), " ".join(words[: n + 4 - t] + [f"v{x}" for x in rng.integers(0, 10**9, t)])]
+    for n in (4, 8):  # one word more
+        texts += [" ".join(f"x{n}{k}" for k in range(n + 4)), " ".join(f"x{n}{k}" for k in range(n + 5))]
+    # a chain, copies of one text that are far from each other, repeated words, texts under five words, none at all
+    chain = [f"c{k}" for k in range(120)]
+    texts += [" ".join(chain[k : k + 64]) for k in range(0, 40, 4)]
+    for _ in range(30):
+        copy = [f"h{k}" for k in range(204)]
+        for at in rng.choice(204, 4, replace=False):
+            copy[at] = f"new{rng.integers(10**9)}"
+        texts.append(" ".join(copy))
+    texts += ["a " * 300 + f"tail{k} of it is other text here {k}" for k in range(4)] + ["Two words", "two  WORDS", "two", "", None, " "]
+    ids = rng.permutation(len(texts)).tolist()
+    docs = common.save(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string"), "near")
+    want = dict(zip(ids, near_components(ids, texts)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.cluster(docs).collect()}
+    assert got == want
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted({c for c in want.values()})
+
+
 # ---- op 9
 
 
