@@ -65,7 +65,7 @@ def chunks(texts: list[bytes]) -> list[list[bytes]]:
     return out
 
 
-def cut_documents(docs: DataFrame, hash_bytes: int = 16) -> DataFrame:
+def cut_documents(docs: DataFrame, hash_bytes: int = 16, row: str | None = None) -> DataFrame:
     """(row, doc_id, text_sha256, hashes, chunks) of every row: a map over the scan."""
     schema = "row long, doc_id long, text_sha256 string, hashes array<binary>, chunks array<binary>"
 
@@ -80,7 +80,8 @@ def cut_documents(docs: DataFrame, hash_bytes: int = 16) -> DataFrame:
                     "hashes": pa.array([[hashlib.blake2b(c, digest_size=16).digest()[:hash_bytes] for c in x] for x in cut], pa.list_(pa.binary())), "chunks": pa.array(cut, pa.list_(pa.binary())),
                 })
 
-    rows, name = common.numbered(docs)
+    rows, name = (docs, row) if row else common.numbered(docs)
+    common.bound_batches(docs.sparkSession)
     return rows.select(name, F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
@@ -104,16 +105,17 @@ def recipes(cut: DataFrame) -> DataFrame:
     return rewritten.select("row", "doc_id", "text_sha256", F.coalesce(F.col("ids.id"), F.array().cast("array<binary>")).alias("recipe"))
 
 
-def dedup(docs: DataFrame, hash_bytes: int = 16) -> DataFrame:
+def dedup(docs: DataFrame, hash_bytes: int = 16, row: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null text counts as empty; all empty texts form one group. Of equal texts the row with
     the smallest doc_id stays (null after any number; of rows that repeat it, one). Empty
     table: no rows. Extra columns are ignored. The group table is summed up before its
     shuffle and written; the join back is then a plain sort-merge join, whose large
-    partitions Spark splits.
+    partitions Spark splits. ``row`` names a column of row numbers; without it they are
+    those of this one scan.
     """
-    cut = common.save(cut_documents(docs, hash_bytes), "chunks")
+    cut = common.save(cut_documents(docs, hash_bytes, row), "chunks")
     listed = common.save(recipes(cut), "recipes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     groups = common.save(listed.groupBy("recipe").agg(first, F.count("*").alias("group_size")), "groups")
@@ -122,8 +124,9 @@ def dedup(docs: DataFrame, hash_bytes: int = 16) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ``docs`` is a table read from files."""
-    return common.anti_rows(docs, dedup(docs).where("NOT kept"))
+    """The rows of ``docs`` that stay, with all their columns."""
+    rows, name = common.save_numbered(docs)
+    return common.without_rows(rows, name, dedup(rows, row=name).where("NOT kept"))
 
 
 def oracle() -> str:

@@ -87,20 +87,14 @@ def fresh(df: DataFrame, name: str) -> str:
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` with the number of each row in its scan, and that column's name.
 
-    The numbers are the same whenever the files are read again.
+    Another scan may be split otherwise and number the rows anew (splits depend on the
+    cores at planning): to come back to the rows, use ``save_numbered``.
     """
     bound_batches(df.sparkSession)
     name = fresh(df, "__row")
     return df.withColumn(name, F.monotonically_increasing_id()), name
 
 
-def anti_rows(df: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``df`` without the rows whose scan number is in ``dropped`` (row)."""
-    rows, name = numbered(df)
-    gone = dropped.select(F.col("row").alias(name))
-    return rows.hint("merge").join(gone.hint("merge"), name, "left_anti").drop(name)
-
-
 def save_numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written with the number of each row, and that column's name.
 

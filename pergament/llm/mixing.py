@@ -94,10 +94,11 @@ def land(rows: list[tuple[float, int]], rng: random.Random) -> list[float]:
     return done
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(row, doc_id, source, size): words of each text, counted in the scan."""
+    number = docs[row] if row else F.monotonically_increasing_id()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
+    return docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
 
 
 def source_targets(light: DataFrame, weights=WEIGHTS, cap: float = CAP) -> tuple[DataFrame, int]:
@@ -110,14 +111,15 @@ def source_targets(light: DataFrame, weights=WEIGHTS, cap: float = CAP) -> tuple
     return table, sum(r["n"] for r in rows)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9, row: str | None = None) -> DataFrame:
     """(row, doc_id, size, source_size, target, copies, taken) of every row of ``docs``.
 
     Null or empty text: size 0, taken 0. A null source is a source of its own, the last.
     Repeated rows are separate documents. Empty table: no rows. Extra columns are ignored.
     Groups depend on doc_id, size and seed alone, so reruns agree on any cluster.
+    ``row`` names a column of row numbers; without it they are those of this one scan.
     """
-    light = common.save(sized(docs), "sizes")
+    light = common.save(sized(docs, row), "sizes")
     table, n_rows = source_targets(light, weights, cap)
     buckets = max(1, -(-n_rows // BUCKET_ROWS))
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
@@ -163,7 +165,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9) -> Da
 
 def take(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, with all columns."""
-    rows, name = common.numbered(docs)
-    chosen = mix(docs, **how).where("copies > 0").select(F.col("row").alias(name), F.sequence(F.lit(1), "copies").alias("__times"))
+    rows, name = common.save_numbered(docs)
+    chosen = mix(rows, row=name, **how).where("copies > 0").select(F.col("row").alias(name), F.sequence(F.lit(1), "copies").alias("__times"))
     joined = rows.select(name, F.struct(*docs.columns).alias("__doc")).hint("merge").join(chosen.hint("merge"), name)
     return joined.select("__doc", F.explode("__times")).select("__doc.*")

@@ -481,6 +481,31 @@ def test_oracle(spark, name):
     assert counted(got.collect()) == Counter(want)
 
 
+# ---- pipeline
+
+
+class Shifting:
+    """Row numbers as of a scan that is split anew each time, as after a lost or late executor."""
+
+    def __init__(self):
+        self.scans, self.number = 0, common.F.monotonically_increasing_id
+
+    def __call__(self):
+        self.scans += 1
+        return (self.number() + common.F.lit(self.scans * 7)).alias("shifted")
+
+
+@pytest.mark.parametrize("stage", [chunk_dedup.keep_first, simhash.keep_one, mixing.take])
+def test_decisions_come_back_to_their_rows(spark, monkeypatch, stage):
+    texts = [f"text {k % 30} " + " ".join(f"w{k % 30 * 50 + x}" for x in range(40)) for k in range(60)]
+    docs = common.save(spark.createDataFrame([(k, t, f"s{k % 2}") for k, t in enumerate(texts)], "doc_id long, text string, source string"), "docs")
+    want = counted(stage(docs).collect())
+    monkeypatch.setattr(common.F, "monotonically_increasing_id", Shifting())
+    assert counted(stage(docs).collect()) == want
+    if stage is not mixing.take:
+        assert sorted(r[0] for r in want) == list(range(30))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
