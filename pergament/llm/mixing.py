@@ -15,7 +15,7 @@ import random
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pergament.llm import common
@@ -95,10 +95,32 @@ def land(rows: list[tuple[float, int]], rng: random.Random) -> list[float]:
 
 
 def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """(row, doc_id, source, size): words of each text, counted in the scan."""
+    """(row, doc_id, source, size, mark): words of each text and a digest of all three, made in the scan."""
     number = docs[row] if row else F.monotonically_increasing_id()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"))
+    text, doc_id, source = docs["text"].cast("string"), docs["doc_id"].cast("long"), docs["source"].cast("string")
+    words = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    known = [F.coalesce(F.concat(F.lit("="), F.md5(c)), F.lit("none")) for c in (source, text)]
+    mark = F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("none")), *known))
+    return docs.select(number.alias("row"), doc_id.alias("doc_id"), source.alias("source"), words.alias("size"), mark.alias("mark"))
+
+
+def told_apart(light: DataFrame) -> DataFrame:
+    """Adds nth: 0, 1, ... among rows of one mark. Such rows are alike, so it does not matter which gets which.
+
+    Marks are counted before their shuffle; rows are numbered within their scan partition
+    and the partitions' counts summed up, so no mark's rows meet in one task unless one
+    partition holds them.
+    """
+    repeated = common.save(light.groupBy("mark").count().where("count > 1").select("mark"), "repeated")
+    if repeated.isEmpty():
+        return light.withColumn("nth", F.lit(0).cast("long"))
+    part = F.shiftright("row", 33).alias("part")
+    rows = common.save(light.select("row", "mark", part).hint("merge").join(repeated.hint("merge"), "mark", "left_semi"), "repeats")
+    counts = rows.groupBy("mark", "part").count()
+    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("mark").orderBy("part")) - F.col("count")).select("mark", "part", "before")
+    inner = rows.withColumn("inner", F.row_number().over(Window.partitionBy("mark", "part").orderBy("row")))
+    nth = inner.hint("merge").join(before.hint("merge"), ["mark", "part"]).select("row", (F.col("before") + F.col("inner") - 1).alias("nth"))
+    return light.hint("merge").join(nth.hint("merge"), "row", "left").withColumn("nth", F.coalesce("nth", F.lit(0).cast("long")))
 
 
 def source_targets(light: DataFrame, weights=WEIGHTS, cap: float = CAP) -> tuple[DataFrame, int]:
@@ -116,7 +138,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9, row:
 
     Null or empty text: size 0, taken 0. A null source is a source of its own, the last.
     Repeated rows are separate documents. Empty table: no rows. Extra columns are ignored.
-    Groups depend on doc_id, size and seed alone, so reruns agree on any cluster.
+    Groups depend on doc_id, source, text and seed alone, so reruns agree on any cluster
+    (among rows that repeat all three it is open which one is taken).
     ``row`` names a column of row numbers; without it they are those of this one scan.
     """
     light = common.save(sized(docs, row), "sizes")
@@ -125,16 +148,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9, row:
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
     base = F.floor("ratio")
     rows = (
-        light.join(table, F.col("source").eqNullSafe(F.col("source_name")))
+        told_apart(light).join(table, F.col("source").eqNullSafe(F.col("source_name")))
         .withColumn("ratio", ratio)
-        .select("row", "doc_id", "source", "size", "source_size", "target", base.alias("base"), (F.col("ratio") - base).alias("p"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "row"), F.lit(buckets)).cast("int"))
+        .select("row", "mark", "nth", "doc_id", "source", "size", "source_size", "target", base.alias("base"), (F.col("ratio") - base).alias("p"))
+        .withColumn("bucket", F.pmod(F.xxhash64("mark", "nth"), F.lit(buckets)).cast("int"))
     )
-    schema = "row long, doc_id long, source string, size long, source_size long, target double, base long, p double, bucket int"
+    schema = "row long, mark string, nth long, doc_id long, source string, size long, source_size long, target double, base long, p double, bucket int"
 
     def settle(level: int, last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["doc_id", "size", "row"], na_position="last")
+            pdf = pdf.sort_values(["doc_id", "size", "mark", "nth"], na_position="last")
             key = f"{seed}|{level}|{pdf['source'].iloc[0]}|{pdf['bucket'].iloc[0] if not last else 0}"
             rng = random.Random(zlib.crc32(key.encode()))
             units = list(zip(pdf["p"].tolist(), pdf["size"].tolist()))

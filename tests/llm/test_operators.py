@@ -427,6 +427,23 @@ def test_mixing_levels(spark, monkeypatch):
     assert len(got) == 900 and all(abs(t - target) <= 60 for (_, target), t in taken.items())
 
 
+def test_mix_is_the_same_for_any_scan_layout(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(mixing, "FANOUT", 3)
+    rows = [(k if k % 7 else None, f"t{k % 90} " + "w " * (k % 40), f"s{k % 4}" if k % 3 else None) for k in range(500)]
+    rows += [(77, "one row very often", "s1")] * 200 + [(5, None, "s1"), (5, "", "s1"), (5, "t", None), (5, "t", "none")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    many = common.save(docs.repartition(7, "text"), "mix")
+    few = common.save(docs.orderBy(common.F.desc("doc_id")).coalesce(1), "mix")
+    want = counted(mixing.take(many).collect())
+    assert counted(mixing.take(few).collect()) == want
+    got = mixing.mix(many)
+    assert got.count() == len(rows) and got.select("row").distinct().count() == len(rows)
+    assert counted(got.drop("row").collect()) == counted(mixing.mix(few).drop("row").collect())
+    nth = mixing.told_apart(mixing.sized(few)).groupBy("mark").agg(common.F.sort_array(common.F.collect_list("nth")).alias("n")).collect()
+    assert max(len(r["n"]) for r in nth) == 200 and all(r["n"] == list(range(len(r["n"]))) for r in nth)
+
+
 # ---- op 10
 
 
