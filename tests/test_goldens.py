@@ -42,6 +42,13 @@ def test_card_lines(card):
     assert L.labelled_nationality(alone, recover=True).first()["nationality"] == "Việt Nam"
 
 
+def test_fuzzy_expiry_label_in_a_long_line(spark):
+    line = "Dato of erpiry and then very many more words of a merged line that stand before it 01/01/2030"
+    lines = spark.createDataFrame([(1, 0, line), (2, 0, "Many other words of a merged line that are no label of a date at all 01/01/2030")], "doc_id long, line_no int, line string")
+    got = {r["doc_id"]: r["dateOfExpiry"] for r in L.expiry_date(lines, fuzzy=True).collect()}
+    assert got == {1: "01/01/2030", 2: None}
+
+
 def test_fuzzy_expiry_labels(spark):
     lines = spark.createDataFrame([(1, 0, "Duto of erpiry"), (1, 1, "x"), (1, 2, "01/02/2031"), (2, 0, "Date of birth: 01/02/1990"), (3, 0, "Co gia ưn đen 03/04/2032")], "doc_id long, line_no int, line string")
     got = {r["doc_id"]: r["dateOfExpiry"] for r in L.expiry_date(lines, fuzzy=True).collect()}
