@@ -328,10 +328,27 @@ def clean_field(field: str, value: str) -> Column:
 # ---- B15 to B18
 
 
-def _pairs(df: DataFrame, by: tuple[str, ...], condition) -> DataFrame:
-    a, b = df.alias("a"), df.alias("b")
+STRIP = 400.0  # width of a strip of boxes
+
+
+def _pairs(df: DataFrame, by: tuple[str, ...], condition, within: float | None = None) -> DataFrame:
+    """Ordered pairs (a, b); with ``within`` those with a horizontal gap up to it, all of them.
+
+    For that the boxes are dealt into strips: b to each strip it touches, a to each one it
+    touches when widened by the gap. A pair counts in the first strip that both have.
+    """
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.box_id") != F.col("b.box_id")]
-    return a.join(b, on + ([condition] if condition is not None else []))
+    on += [condition] if condition is not None else []
+    if within is None:
+        return df.alias("a").join(df.alias("b"), on)
+
+    def dealt(wider: float) -> DataFrame:
+        first, last = F.floor((F.col("left") - wider) / STRIP), F.floor((F.col("right") + wider) / STRIP)
+        return df.withColumn("__first", first).withColumn("__strip", F.explode(F.sequence(first, last)))
+
+    a, b = dealt(within).alias("a"), dealt(0.0).alias("b")
+    once = F.col("a.__strip") == F.greatest("a.__first", "b.__first")
+    return a.join(b, [*on, F.col("a.__strip") == F.col("b.__strip"), once, gap("a", "b", "left", "right") <= within])
 
 
 def gap(a: str, b: str, low: str, high: str) -> Column:
@@ -356,15 +373,16 @@ def overlap_ratio(a: str, b: str, low: str, high: str, relative_to: str = "minim
     return ratio(overlap(a, b, low, high), base)
 
 
-def pair_metrics(df: DataFrame, by: tuple[str, ...] = ("doc_id",), relative_to: str = "minimum") -> DataFrame:
+def pair_metrics(df: DataFrame, by: tuple[str, ...] = ("doc_id",), relative_to: str = "minimum", within: float | None = None) -> DataFrame:
     """B15. Ordered pairs within ``by`` with overlaps, ratios, gaps, centre distance, intersection and IoU.
 
     Give a second key (line, island) where documents are long: pairs grow with its square.
+    ``within`` keeps pairs with a horizontal gap up to it, so that long lines cost no square.
     """
     mean = (height("a") + height("b")) / 2
     both = overlap("a", "b", "left", "right") * overlap("a", "b", "top", "bottom")
     dx, dy = center("a", "left", "right") - center("b", "left", "right"), center("a", "top", "bottom") - center("b", "top", "bottom")
-    return _pairs(df, by, None).select(
+    return _pairs(df, by, None, within).select(
         *(F.col(f"a.{c}") for c in by), F.col("a.box_id").alias("a"), F.col("b.box_id").alias("b"),
         overlap("a", "b", "left", "right").alias("x_overlap"), overlap("a", "b", "top", "bottom").alias("y_overlap"),
         overlap_ratio("a", "b", "left", "right", relative_to).alias("x_ratio"), overlap_ratio("a", "b", "top", "bottom", relative_to).alias("y_ratio"),
@@ -389,12 +407,15 @@ def below(c: str, a: str, strict: bool = False) -> Column:
     return beyond & (overlap_ratio(c, a, "left", "right") >= 0.20)
 
 
-def relate(df: DataFrame, kind: str, strict: bool = False, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """B16. Pairs (box, other) where other lies right_of, left_of, below, above or on the same_line of box."""
+def relate(df: DataFrame, kind: str, strict: bool = False, by: tuple[str, ...] = ("doc_id",), within: float | None = None) -> DataFrame:
+    """B16. Pairs (box, other) where other lies right_of, left_of, below, above or on the same_line of box.
+
+    ``within`` as for ``pair_metrics``.
+    """
     test = {"right_of": lambda: right_of("b", "a", strict), "left_of": lambda: right_of("a", "b", strict), "below": lambda: below("b", "a", strict), "above": lambda: below("a", "b", strict), "same_line": lambda: same_line("a", "b")}
     if kind not in test:
         raise ValueError(f"unknown relation {kind!r}")
-    return _pairs(df, by, test[kind]()).select(*(F.col(f"a.{c}") for c in by), F.col("a.box_id").alias("box"), F.col("b.box_id").alias("other"))
+    return _pairs(df, by, test[kind](), within).select(*(F.col(f"a.{c}") for c in by), F.col("a.box_id").alias("box"), F.col("b.box_id").alias("other"))
 
 
 def contains_point(df: DataFrame, points: DataFrame) -> DataFrame:

@@ -163,6 +163,27 @@ def b16_right_of(spark, sf_dir):
     return B.relate(close_boxes(spark, sf_dir), "right_of", by=("doc_id", "line_no", "block")).select("doc_id", "box", "other")
 
 
+# the same two over whole lines: every pair of a line with a gap up to REACH, whatever their word numbers
+
+REACH = 200.0
+NEAR_PAIRS = V.BOXES_SQL + f""", pr AS (SELECT a.doc_id, a.box_id AS a, b.box_id AS b, a."left" AS al, a."right" AS ar, b."left" AS bl, b."right" AS br FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.box_id <> b.box_id AND greatest(b."left" - a."right", a."left" - b."right", 0) <= {REACH})"""
+
+
+@query(
+    f"WITH {NEAR_PAIRS} SELECT doc_id, a, b, greatest(bl - ar, al - br, 0)::DOUBLE AS x_gap, 20.0::DOUBLE AS y_overlap, round(abs((al + ar) / 2 - (bl + br) / 2), 6) AS distance, round(greatest(bl - ar, al - br, 0) / 20, 6)::DOUBLE AS x_gap_ratio FROM pr"
+)
+def b15_line_pair_metrics(spark, sf_dir):
+    """Pairs of a line with a horizontal gap up to REACH."""
+    m = B.pair_metrics(V.boxes(spark, sf_dir), ("doc_id", "line_no"), within=REACH)
+    return m.select("doc_id", "a", "b", "x_gap", "y_overlap", F.round("distance", 6).alias("distance"), F.round("x_gap_ratio", 6).alias("x_gap_ratio"))
+
+
+@query(f"WITH {NEAR_PAIRS} SELECT doc_id, a AS box, b AS other FROM pr WHERE bl + br > al + ar")
+def b16_line_right_of(spark, sf_dir):
+    """Boxes right of a box on its line, with a horizontal gap up to REACH."""
+    return B.relate(V.boxes(spark, sf_dir), "right_of", by=("doc_id", "line_no"), within=REACH).select("doc_id", "box", "other")
+
+
 @query(
     f"""WITH {CARD_BOXES_SQL} SELECT a.doc_id, a.box_id AS box, b.box_id AS other FROM cards a JOIN cards b ON a.doc_id = b.doc_id AND b.top > a.top
  AND greatest(least(a."right", b."right") - greatest(a."left", b."left"), 0) / least(a."right" - a."left", b."right" - b."left") >= 0.2"""
