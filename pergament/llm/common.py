@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,14 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, local mode) a temporary folder is made, once a session.
+    Where that is unset, a local session (tests) gets a temporary folder, once; on a cluster,
+    whose machines do not share such a folder, it raises ValueError.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -104,7 +108,22 @@ def save_numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return save(rows, "numbered"), name
 
 
+#: Rows of a written table that is broadcast rather than shuffled to; two numbers a row, some 10 MB.
+FEW_ROWS = 100_000
+
+
+def join_written(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written table of row numbers.
+
+    Up to FEW_ROWS rows, counted in the files, are broadcast, so that long texts stay where
+    they are; beyond that both sides are sorted and merged.
+    """
+    few = table.count() <= FEW_ROWS
+    hinted = F.broadcast(table) if few else table.hint("merge")
+    return (rows if few else rows.hint("merge")).join(hinted, on, how)
+
+
 def without_rows(rows: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
     """Rows of ``save_numbered`` without those whose number is in ``dropped`` (row)."""
-    gone = dropped.select(F.col("row").alias(name))
-    return rows.hint("merge").join(gone.hint("merge"), name, "left_anti").drop(name)
+    gone = save(dropped.select(F.col("row").alias(name)), "dropped")
+    return join_written(rows, gone, name, "left_anti").drop(name)

@@ -34,6 +34,7 @@ SEED = 42
 BANDS, BAND_ROWS = 24, 5
 # Of 256 bits a pair of similarity 0.8 differs in 42 on average, 48 for very short texts, with a deviation of 6.
 FAR = 68
+MOST = 16_384  # rows of a cell that are compared in one task; larger cells are cut into blocks
 
 
 class Golay:
@@ -144,19 +145,72 @@ def fingerprints(docs: DataFrame, k: int, words: int = 1) -> DataFrame:
     return numbered.mapInArrow(run, schema)
 
 
-def cell_edges(node: np.ndarray, words: np.ndarray, home: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links of one anchor's home fingerprints to all its fingerprints."""
-    homes, label, out = np.flatnonzero(home), None, []
-    for at in range(0, len(homes), 256):
-        some = homes[at : at + 256]
-        d = np.bitwise_count(words[some, 0][:, None] ^ words[:, 0][None, :]).astype(np.int16)
-        for j in range(1, words.shape[1]):
-            d += np.bitwise_count(words[some, j][:, None] ^ words[:, j][None, :])
-        close = d <= limit
-        for r in np.flatnonzero(close.sum(axis=1) > 1):
+def by_cell(rows: DataFrame, n_keys: int, found: Callable, schema: str) -> DataFrame:
+    """``found(columns, starts)`` over rows dealt and sorted by their first ``n_keys`` columns.
+
+    columns hold some whole cells, starts where each begins, and the end. One batch of rows
+    and one cell are in memory at a time; ``dealt`` bounds the cells.
+    """
+    keys = rows.columns[:n_keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            new = np.logical_or.reduce([c[1:] != c[:-1] for c in columns[:n_keys]])
+            return found(columns, np.append(np.flatnonzero(np.r_[True, new]), len(columns[0])))
+
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            last = [c[-1] for c in held[-1][:n_keys]]
+            if all(c[0] == x for c, x in zip(held[0], last)):
+                continue  # still the same cell
+            columns = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.logical_and.reduce([c == x for c, x in zip(columns, last)]).argmax())
+            yield from whole([c[:cut] for c in columns])
+            held = [[c[cut:] for c in columns]]
+        if held:
+            yield from whole([np.concatenate(c) for c in zip(*held)])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def dealt(rows: DataFrame, cell: str, left: str) -> DataFrame:
+    """Rows with block numbers i and j and a flag ``right``; every left row meets every row of its cell in one block.
+
+    A cell with up to MOST rows is one block in which each row is on both sides. A larger
+    one is a grid: its left rows are split into parts i, all its rows into parts j, by the
+    hash of the node, and each pair of parts is a block of its own. ``rows`` is a written table.
+    """
+    sizes = rows.groupBy(cell).agg(F.count_if(left).alias("lefts"), F.count("*").alias("alls")).where(F.col("alls") > MOST)
+    parts = [F.ceil(F.col(n) / MOST).cast("int").alias(m) for n, m in (("lefts", "is"), ("alls", "js"))]
+    hot = common.save(sizes.select(cell, *parts), "hot-cells")
+    one = F.lit(0)
+    if hot.isEmpty():
+        return rows.withColumns({"i": one, "j": one, "right": F.lit(True)})
+    grid = rows.hint("merge").join(hot.hint("merge"), cell).where("is > 0")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(one, F.col(n) - 1))
+    lefts = grid.where(left).withColumns({"i": part("is"), "j": every("js"), "right": F.lit(False)})
+    rights = grid.withColumns({"i": every("is"), "j": part("js"), "right": F.lit(True), left: F.lit(False)})
+    rest = rows.hint("merge").join(hot.hint("merge"), cell, "left_anti").withColumns({"i": one, "j": one, "right": F.lit(True)})
+    return rest.unionByName(lefts.drop("is", "js")).unionByName(rights.drop("is", "js"))
+
+
+def cell_edges(node: np.ndarray, words: np.ndarray, left: np.ndarray, right: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Spanning forest of the links between a block's left and right fingerprints."""
+    lefts, rights, label, out = np.flatnonzero(left), np.flatnonzero(right), None, []
+    for at in range(0, len(lefts), 256):
+        some = lefts[at : at + 256]
+        d = np.zeros((len(some), len(rights)), dtype=np.int16)
+        for j in range(words.shape[1]):
+            d += np.bitwise_count(words[some, j][:, None] ^ words[rights, j][None, :])
+        close = (d <= limit) & (node[some][:, None] != node[rights][None, :])
+        for r in np.flatnonzero(close.any(axis=1)):
             if label is None:
                 label = np.arange(len(node))
-            me, hit = some[r], np.flatnonzero(close[r])
+            me, hit = some[r], rights[close[r]]
             others, first = np.unique(label[hit], return_index=True)
             new = others != label[me]
             if new.any():
@@ -169,7 +223,8 @@ def links(nodes: DataFrame, bands: list[list[list[int]]], threshold: int, limit:
     """Edges (a, b) between nodes (node, w0, ...) whose fingerprints differ in ``limit`` bits or fewer.
 
     Complete for one band if limit <= threshold; several bands with a larger limit find a
-    pair when any band holds it within the threshold.
+    pair when any band holds it within the threshold. An anchor that very many fingerprints
+    share is compared block by block, see ``dealt``.
     """
     names = [c for c in nodes.columns if c != "node"]
     schema = "anchor long, home boolean, node long, " + ", ".join(f"{n} long" for n in names)
@@ -185,36 +240,19 @@ def links(nodes: DataFrame, bands: list[list[list[int]]], threshold: int, limit:
                     row, key, home = anchors(words.view(np.uint64), band, threshold, code)
                     yield pa.RecordBatch.from_arrays([pa.array(key * len(bands) + b), pa.array(home), pa.array(node[row]), *(pa.array(words[row, j]) for j in range(len(names)))], names=["anchor", "home", "node", *names])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cells(columns: list[np.ndarray]) -> pa.RecordBatch:
-            anchor, home, node = columns[:3]
-            words = np.stack(columns[3:], axis=1).view(np.uint64)
-            at = np.append(np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(anchor))
-            any_home = np.add.reduceat(home.astype(np.int64), at[:-1]) > 0
-            edges = []
-            for g in np.flatnonzero((np.diff(at) > 1) & any_home):
-                s = slice(at[g], at[g + 1])
-                edges += cell_edges(node[s], words[s], home[s], limit)
-            a, b = zip(*edges) if edges else ((), ())
-            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), *(c.to_numpy() for c in batch.columns[2:])])
-            last = held[-1][0][-1]
-            if held[0][0][0] == last:
-                continue  # still the same anchor
-            columns = [np.concatenate(c) for c in zip(*held)]
-            cut = np.searchsorted(columns[0], last)
-            yield cells([c[:cut] for c in columns])
-            held = [[c[cut:] for c in columns]]
-        if held:
-            yield cells([np.concatenate(c) for c in zip(*held)])
-
-    replicas = nodes.select("node", *names).mapInArrow(replicate, schema)
-    found = replicas.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+    def forests(columns: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right, node = columns[3:6]
+        words, edges = np.stack(columns[6:], axis=1).view(np.uint64), []
+        any_left = np.add.reduceat(left.astype(np.int64), at[:-1]) > 0
+        for g in np.flatnonzero((np.diff(at) > 1) & any_left):
+            s = slice(at[g], at[g + 1])
+            edges += cell_edges(node[s], words[s], left[s], right[s], limit)
+        a, b = zip(*edges) if edges else ((), ())
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    replicas = common.save(nodes.select("node", *names).mapInArrow(replicate, schema), "replicas")
+    blocks = dealt(replicas, "anchor", "home").select("anchor", "i", "j", "home", "right", "node", *names)
+    found = by_cell(blocks, 3, forests, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -223,8 +261,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds; each round is a written table, so a lost
     executor costs one round. The number of rounds grows with the logarithm of the longest
-    path. Minima are combined before the shuffle; joins are sort-merge joins, whose large
-    partitions Spark splits where a node has very many neighbours.
+    path. Minima are combined before the shuffle and written, so the joins are plain
+    sort-merge joins, whose large partitions Spark splits where a node has very many
+    neighbours.
     """
     edges = common.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
@@ -234,10 +273,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = common.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.where("v > u").hint("merge").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = common.save(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = common.save(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.hint("merge").join(low.hint("merge"), "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = common.save(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
         after = state(edges)
@@ -260,7 +299,7 @@ def hamming_cluster(docs: DataFrame, k: int, words: int, bands: list[list[list[i
     marks = common.save(fingerprints(docs, k, words), "fingerprints")
     nodes = common.save(marks.groupBy(*names).agg(first_bearer()).withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = components(links(nodes.select("node", *names), bands, threshold, limit))
-    return marks.hint("merge").join(named(nodes, labels, names), names)
+    return marks.hint("merge").join(named(nodes, labels, names).hint("merge"), names)
 
 
 def first_bearer() -> Column:
@@ -268,10 +307,11 @@ def first_bearer() -> Column:
 
 
 def named(nodes: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
-    """(*names, component_id, first_row) of every node."""
-    grouped = nodes.hint("merge").join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    best = grouped.groupBy("component").agg(F.min("first").alias("best"))
-    return grouped.hint("merge").join(best.hint("merge"), "component").select(*names, F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("first_row"))
+    """(*names, component_id, first_row) of every node, written; so are the tables joined on the way."""
+    grouped = common.save(nodes.select("node", "first", *names).hint("merge").join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node")), "grouped")
+    best = common.save(grouped.groupBy("component").agg(F.min("first").alias("best")), "best")
+    joined = grouped.hint("merge").join(best.hint("merge"), "component")
+    return common.save(joined.select(*names, F.col("best.doc_id").alias("component_id"), F.col("best.row").alias("first_row")), "named")
 
 
 # ---- groups by exact shingle similarity
@@ -316,83 +356,89 @@ def sketches(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def near(n: np.ndarray, words: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Whether each of ``some`` may reach similarity 0.8 with each member: sizes (no loss) and fingerprints."""
-    d = np.bitwise_count(words[some][:, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.int16)
-    return (d <= FAR) & (5 * np.minimum(n[some][:, None], n[None, :]) >= 4 * np.maximum(n[some][:, None], n[None, :]))
-
-
-def star(node: np.ndarray, n: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a cell's middle member, nearest to the majority of all bits, with the others."""
-    hub = 0
-    if len(node) > 2:
-        bits = np.unpackbits(words.view(np.uint8), axis=1)
-        centre = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(node)).view(np.uint64)
-        hub = int(np.bitwise_count(words ^ centre).sum(axis=1, dtype=np.int64).argmin())
-    close = near(n, words, np.array([hub]))[0]
-    close[hub] = False
-    other = node[close]
-    return np.full(len(other), node[hub]), other
+def near(n: np.ndarray, words: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each (n, words) may reach similarity 0.8 with each (m, others): sizes (no loss) and fingerprints."""
+    d = np.zeros((len(n), len(m)), dtype=np.int16)
+    for j in range(words.shape[1]):
+        d += np.bitwise_count(words[:, j][:, None] ^ others[:, j][None, :])
+    return (d <= FAR) & (5 * np.minimum(n[:, None], m[None, :]) >= 4 * np.maximum(n[:, None], m[None, :]))
 
 
-def across(node: np.ndarray, n: np.ndarray, words: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a cell that are not yet in one group."""
-    names, at, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    rest, a, b = np.flatnonzero(at != sizes.argmax()), [], []
-    for k in range(0, len(rest), 256):
-        some = rest[k : k + 256]
-        r, c = np.nonzero(near(n, words, some) & (label[some][:, None] != label[None, :]))
-        a.append(node[some[r]])
-        b.append(node[c])
-    return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
+def star(columns: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(cell, a, b): each block's middle member, nearest to the majority of all bits, with the others near it.
 
-
-def candidates(members: DataFrame, pick: Callable) -> DataFrame:
-    """Distinct pairs (a, b) that ``pick`` finds in the cells of members (node, n, w0 to w3, label, keys)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def cells(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            cell, node, n, label = columns[:4]
-            words = np.stack(columns[4:], axis=1).view(np.uint64)
-            at = np.append(np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell))
-            mixed = np.minimum.reduceat(label, at[:-1]) != np.maximum.reduceat(label, at[:-1])
-            found, held = [], 0
-            for g in np.flatnonzero(mixed):
-                s = slice(at[g], at[g + 1])
-                found.append(pick(node[s], n[s], words[s], label[s]))
-                held += len(found[-1][0])
-                if held > 100_000:
-                    yield pairs(found)
-                    found, held = [], 0
-            if found:
-                yield pairs(found)
-
-        def pairs(found: list) -> pa.RecordBatch:
-            a, b = (np.concatenate(c) for c in zip(*found))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0].copy(), pa.int64()), "b": pa.array(both[:, 1].copy(), pa.int64())})
-
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([c.to_numpy() for c in batch.columns])
-            last = held[-1][0][-1]
-            if held[0][0][0] == last:
-                continue  # still the same cell
-            columns = [np.concatenate(c) for c in zip(*held)]
-            cut = np.searchsorted(columns[0], last)
-            yield from cells([c[:cut] for c in columns])
-            held = [[c[cut:] for c in columns]]
-        if held:
-            yield from cells([np.concatenate(c) for c in zip(*held)])
-
-    spread = members.select(F.explode("keys").alias("cell"), "node", "n", "label", *WORDS)
-    return spread.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long").distinct()
+    The middle of a block that is only a part of its cell comes along as (cell, a, a).
+    """
+    cell, node, n, blocks = columns[0], columns[2], columns[3], columns[4]
+    words, out = np.stack(columns[5:], axis=1).view(np.uint64), []
+    for g in range(len(at) - 1):
+        s, hub = slice(at[g], at[g + 1]), 0
+        if at[g + 1] - at[g] > 2:
+            bits = np.unpackbits(words[s].view(np.uint8), axis=1)
+            centre = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).view(np.uint64)
+            hub = int(np.bitwise_count(words[s] ^ centre).sum(axis=1, dtype=np.int64).argmin())
+        close = near(n[s][hub : hub + 1], words[s][hub : hub + 1], n[s], words[s])[0]
+        close[hub] = blocks[at[g]] > 1
+        other = node[s][close]
+        out.append((np.full(len(other), cell[at[g]]), np.full(len(other), node[s][hub]), other))
+    yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(c)) for k, c in zip(("cell", "a", "b"), zip(*out))})
+
+
+def across(columns: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b): pairs of a block's left and right members that may be near and are not yet in one group."""
+    left, right, node, n, label = columns[3:8]
+    words, a, b, held = np.stack(columns[8:], axis=1).view(np.uint64), [], [], 0
+    for g in range(len(at) - 1):
+        s = slice(at[g], at[g + 1])
+        lefts, rights = at[g] + np.flatnonzero(left[s]), at[g] + np.flatnonzero(right[s])
+        for k in range(0, len(lefts), 256):
+            some = lefts[k : k + 256]
+            may = near(n[some], words[some], n[rights], words[rights])
+            r, c = np.nonzero(may & (label[some][:, None] != label[rights][None, :]))
+            a.append(node[some[r]])
+            b.append(node[rights[c]])
+            held += len(r)
+            if held > 100_000:
+                yield as_pairs(a, b)
+                a, b, held = [], [], 0
+    if held:
+        yield as_pairs(a, b)
+
+
+def as_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    x, y = np.concatenate(a), np.concatenate(b)
+    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+    return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0].copy(), pa.int64()), "b": pa.array(both[:, 1].copy(), pa.int64())})
+
+
+def star_pairs(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``star`` in the cells of members (cell, count, node, n, w0 to w3)."""
+    blocks = F.ceil(F.col("count") / MOST).cast("int")
+    parts = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    found = common.save(by_cell(parts.select("cell", "block", "node", "n", "blocks", *WORDS), 2, star, "cell long, a long, b long"), "stars")
+    # the middles of a cell that was cut into blocks meet the smallest of them
+    middles = found.where("a = b").select("cell", F.col("a").alias("b"))
+    first = common.save(middles.groupBy("cell").agg(F.min("b").alias("a")), "middles")
+    more = middles.hint("merge").join(first.hint("merge"), "cell").select("a", "b")
+    return found.select("a", "b").unionByName(more).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def across_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``across``: in each cell, all pairs that no group joins.
+
+    All members of a cell but its largest group are compared with the whole cell.
+    """
+    known = members.drop("count").hint("merge").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    known = common.save(known, "known")
+    counts = known.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
+    mixed = common.save(counts.where("labels > 1").select("cell", "most"), "mixed")
+    open_ = common.save(known.hint("merge").join(mixed.hint("merge"), "cell").withColumn("left", F.col("label") != F.col("most")).drop("most"), "open")
+    blocks = dealt(open_, "cell", "left").select("cell", "i", "j", "left", "right", "node", "n", "label", *WORDS)
+    return by_cell(blocks, 3, across, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of 0.8 or more, by both sets whole."""
+def shingle_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, set) of wanted (node, row), a written table: the shingle hashes of the row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest as h
@@ -401,10 +447,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> Dat
             sets = [shingle_set(t, k, h).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bearers = nodes.select("node", F.col("first.row").alias("row")).hint("merge").join(wanted.hint("merge"), "node")
-    texts = rows.select("row", "text").hint("merge").join(bearers.hint("merge"), "row").select("node", "text")
-    sets = common.save(texts.mapInArrow(run, "node long, set array<long>"), "sets")
+    texts = common.join_written(rows.select("row", "text"), wanted.select("node", "row"), "row").select("node", "text")
+    return texts.mapInArrow(run, "node long, set array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of 0.8 or more, by both sets whole."""
     left, right = (sets.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set")).hint("merge") for c in "ab")
     shared = F.size(F.array_intersect("a_set", "b_set"))
     both = pairs.hint("merge").join(left, "a").hint("merge").join(right, "b")
@@ -414,10 +462,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> Dat
 def cluster(docs: DataFrame, k: int = 5, row: str | None = None) -> DataFrame:
     """(row, doc_id, component_id, first_row) of every row: groups linked by Jaccard similarity 0.8 of k-word shingles.
 
-    Equal shingle sets are one node. Nodes with a band key in common meet in a cell. First
-    each cell proposes its middle member with each other one; links that hold on the exact
-    sets form groups. Then all pairs of a cell that no group joins are proposed and held
-    to the same rule, so a group of copies costs as many checks as members, not pairs.
+    Equal shingle sets are one node. Nodes with a band key in common meet in a cell; only
+    they are looked at further. First each cell proposes its middle member with each other
+    one; links that hold on the exact sets form groups. Then all pairs of a cell that no
+    group joins are proposed and held to the same rule, so a group of copies costs as many
+    checks as members, not pairs. Cells with very many members are compared in blocks.
     ``row`` names a column of row numbers; without it the rows are numbered and written here.
 
     component_id is the smallest doc_id of the group (nulls ignored; null if all are),
@@ -431,19 +480,18 @@ def cluster(docs: DataFrame, k: int = 5, row: str | None = None) -> DataFrame:
     marks = common.save(sketches(rows, k), "sketches")
     same = [F.first(c).alias(c) for c in ("n", *WORDS, "keys")]
     nodes = common.save(marks.groupBy("mark").agg(first_bearer(), *same).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    members = nodes.select("node", "n", *WORDS, "keys")
-
-    def checked(pick: Callable, members: DataFrame) -> DataFrame:
-        pairs = common.save(candidates(members, pick), "pairs")
-        return common.save(verified(pairs, nodes, rows, k), "links")
-
-    edges = checked(star, members.withColumn("label", F.col("node")))
+    cells = nodes.select(F.explode("keys").alias("cell"), "node")
+    shared = common.save(cells.groupBy("cell").count().where("count > 1"), "shared")
+    met = common.save(cells.hint("merge").join(shared.hint("merge"), "cell"), "met")
+    some = common.save(nodes.hint("merge").join(met.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.col("first.row").alias("row"), "n", *WORDS), "some")
+    sets = common.save(shingle_sets(rows, some, k), "sets")
+    members = common.save(met.hint("merge").join(some.drop("row").hint("merge"), "node").select("cell", "count", "node", "n", *WORDS), "members")
+    edges = common.save(verified(common.save(star_pairs(members), "pairs"), sets), "links")
     labels = components(edges)
-    known = members.hint("merge").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node"))
-    more = checked(across, known)
+    more = common.save(verified(common.save(across_pairs(members, labels), "pairs"), sets), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
-    return marks.select("row", "doc_id", "mark").hint("merge").join(named(nodes, labels, ["mark"]), "mark").drop("mark")
+    return marks.select("row", "doc_id", "mark").hint("merge").join(named(nodes, labels, ["mark"]).hint("merge"), "mark").drop("mark")
 
 
 def exact_links(docs: DataFrame) -> DataFrame:
