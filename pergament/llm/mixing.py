@@ -2,9 +2,9 @@
 
 Each source gets a target number of words. A document of a source is taken floor(f) times
 and once more with probability f - floor(f), where f is target over source size. The cube
-method settles these fractions: in a flight, three open documents at a time move along the
+method settles these fractions: in a flight, a window of open documents moves along the
 null space of two balancing constraints (documents and words) until one is settled, so
-both totals stay exact; at most two per group stay open. Groups are hash buckets of a
+both totals stay exact; two small ones per group stay open. Groups are hash buckets of a
 source; their open documents are merged level by level, and only the last two of a source
 are landed with probabilities kept.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ CAP = 3  # no target above so many times its source's size
 BROADCAST_SOURCES = 100_000  # source tables up to so many rows are broadcast, larger ones merged
 BUCKET_ROWS = 20_000  # mean rows of a flight group
 FANOUT = 64  # groups merged at each further level
+WIDTH = 256  # open documents that a move of the flight may change
+TRIES = 32
+LIGHT = 0.9  # least freedom of a document, of 1, to move under both constraints
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
@@ -47,41 +51,48 @@ def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[fl
 
 
 def flight(rows: list[tuple[float, int]], rng: random.Random) -> list[float]:
-    """Probabilities after the flight: all 0 or 1 but at most two."""
-    done = [p for p, _ in rows]
-    active: list[int] = []
-
-    def move(u: list[float]) -> None:
-        up = min(((1 - done[k]) / d if d > 0 else done[k] / -d) for k, d in zip(active, u) if d)
-        down = min((done[k] / d if d > 0 else (1 - done[k]) / -d) for k, d in zip(active, u) if d)
-        step = up if rng.random() * (up + down) < down else -down
-        for k, d in zip(active, u):
-            p = done[k] + step * d
-            done[k] = 0.0 if p < 1e-9 else 1.0 if p > 1 - 1e-9 else p
-
-    for k, (p, _) in enumerate(rows):
-        if not 0 < p < 1:
-            continue
-        active.append(k)
-        if len(active) == 3:
-            a, b, c = (rows[j][1] for j in active)
-            move([float(b - c), float(c - a), float(a - b)] if not a == b == c else [1.0, -1.0, 0.0])
-            active = [j for j in active if 0 < done[j] < 1]
-    if len(active) == 2 and rows[active[0]][1] == rows[active[1]][1]:
-        move([1.0, -1.0])
-    return done
+    """Probabilities after the flight: all 0 or 1 but the last few that no move can settle, two as a rule.
+
+    Open documents enter a window of WIDTH, largest first. Each move goes along the null
+    space of the two constraints, in the direction nearest to settling the largest document
+    that can move, so its words are made up for by the whole window; what is open at the
+    end are small documents.
+    """
+    p, size = (np.array(c, dtype=np.float64) for c in zip(*rows)) if rows else (np.zeros(0), np.zeros(0))
+    queue = np.flatnonzero((p > 0) & (p < 1))
+    queue = queue[np.argsort(-size[queue], kind="stable")]
+    active, at = queue[:WIDTH], WIDTH
+    while len(active) > 1:
+        away = size[active] - size[active].mean()
+        spread = float(away @ away)
+        slope = away / spread if spread > 0 else away
+        free = 1 - 1 / len(active) - away * slope  # how far each document alone can move
+        k = int((free > 1e-9).argmax())
+        if free[k] <= 1e-9:
+            break
+        # a document that outweighs the window moves with the word total alone kept
+        u = -1 / len(active) - away[k] * slope if free[k] >= LIGHT else -size[active] * size[active[k]] / float(size[active] @ size[active])
+        u[k] += 1
+        u[np.abs(u) < 1e-12] = 0
+        now, moved = p[active], u != 0
+        room = np.where(u > 0, 1 - now, now)[moved] / np.abs(u[moved]), np.where(u > 0, now, 1 - now)[moved] / np.abs(u[moved])
+        up, down = float(room[0].min()), float(room[1].min())
+        now = now + u * (up if rng.random() * (up + down) < down else -down)
+        now[now < 1e-9] = 0.0
+        now[now > 1 - 1e-9] = 1.0
+        p[active] = now
+        active = active[(now > 0) & (now < 1)]
+        need = WIDTH - len(active)
+        active, at = np.append(active, queue[at : at + need]), at + need
+    return p.tolist()
 
 
 def land(rows: list[tuple[float, int]], rng: random.Random) -> list[float]:
-    """Settle the one or two that a flight leaves: probabilities kept, words as near as can be."""
+    """Settle what a flight leaves, two by two: probabilities kept, words as near as can be."""
     done = [p for p, _ in rows]
-    open_ = [k for k, p in enumerate(done) if 0 < p < 1]
-    if len(open_) == 1:
-        k = open_[0]
-        done[k] = float(rng.random() < done[k])
-    elif len(open_) == 2:
-        (p, a), (q, b) = (rows[k] for k in open_)
-        p, q = done[open_[0]], done[open_[1]]
+    open_ = sorted((k for k, p in enumerate(done) if 0 < p < 1), key=lambda k: -rows[k][1])
+    for k, m in zip(open_[::2], open_[1::2]):
+        (p, a), (q, b) = rows[k], rows[m]
 
         def cost(both: float) -> float:
             cases = ((both, 1, 1), (p - both, 1, 0), (q - both, 0, 1), (1 - p - q + both, 0, 0))
@@ -90,10 +101,28 @@ def land(rows: list[tuple[float, int]], rng: random.Random) -> list[float]:
         both = min(max(0.0, p + q - 1), min(p, q), key=cost)
         draw = rng.random()
         x, y = (1, 1) if draw < both else (1, 0) if draw < p else (0, 1) if draw < p + q - both else (0, 0)
-        done[open_[0]], done[open_[1]] = float(x), float(y)
+        done[k], done[m] = float(x), float(y)
+    if len(open_) % 2:
+        done[open_[-1]] = float(rng.random() < done[open_[-1]])
     return done
 
 
+def settled(rows: list[tuple[float, int]], key: str) -> list[float]:
+    """Flight and landing. One that ends farther from the word total than half the median document is
+    drawn again, at most TRIES times, and the nearest stays (rejective sampling)."""
+    total, sizes = sum(p * s for p, s in rows), sorted(s for p, s in rows if 0 < p < 1)
+    best, off = [p for p, _ in rows], float("inf")
+    for k in range(TRIES):
+        rng = random.Random(zlib.crc32(f"{key}|{k}".encode()))
+        done = land([(p, s) for p, (_, s) in zip(flight(rows, rng), rows)], rng)
+        now = abs(sum(p * s for p, (_, s) in zip(done, rows)) - total)
+        if now < off:
+            best, off = done, now
+        if off <= (sizes[len(sizes) // 2] if sizes else 0) / 2:
+            break
+    return best
+
+
 def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
     """(row, doc_id, source, size, mark): words of each text and a digest of all three, made in the scan."""
     number = docs[row] if row else F.monotonically_increasing_id()
@@ -124,7 +153,11 @@ def told_apart(light: DataFrame) -> DataFrame:
 
 
 def source_targets(light: DataFrame, weights=WEIGHTS, cap: float = CAP) -> tuple[DataFrame, int]:
-    """((source_name, source_size, target), number of documents): one row per source passes the driver."""
+    """((source_name, source_size, target), number of documents).
+
+    One row per source, some 100 bytes, passes the driver: a table of sources, not of
+    documents, so a million sources are 100 MB there.
+    """
     rows = light.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
     rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
     found = targets([r["size"] for r in rows], [weights[k % len(weights)] for k in range(len(rows))], cap)
@@ -139,7 +172,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9, row:
     Null or empty text: size 0, taken 0. A null source is a source of its own, the last.
     Repeated rows are separate documents. Empty table: no rows. Extra columns are ignored.
     Groups depend on doc_id, source, text and seed alone, so reruns agree on any cluster
-    (among rows that repeat all three it is open which one is taken).
+    (among rows that repeat all three it is open which one is taken). A group of a flight
+    holds BUCKET_ROWS rows of a source on average, however large the source is.
     ``row`` names a column of row numbers; without it they are those of this one scan.
     """
     light = common.save(sized(docs, row), "sizes")
@@ -159,28 +193,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9, row:
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["doc_id", "size", "mark", "nth"], na_position="last")
             key = f"{seed}|{level}|{pdf['source'].iloc[0]}|{pdf['bucket'].iloc[0] if not last else 0}"
-            rng = random.Random(zlib.crc32(key.encode()))
             units = list(zip(pdf["p"].tolist(), pdf["size"].tolist()))
-            done = flight(units, rng)
-            if last:
-                done = land([(p, s) for p, (_, s) in zip(done, units)], rng)
-            return pdf.assign(p=done)
+            return pdf.assign(p=settled(units, key) if last else flight(units, random.Random(zlib.crc32(key.encode()))))
 
         return run
 
-    settled, level = [], 0
+    finished, level = [], 0
     while True:
         last = buckets == 1
         now = rows.groupBy("source", "bucket").applyInPandas(settle(level, last), schema)
         now = common.save(now, "flight")
         if last:
-            settled.append(now)
+            finished.append(now)
             break
-        settled.append(now.where("p = 0 OR p = 1"))
+        finished.append(now.where("p = 0 OR p = 1"))
         buckets, level = -(-buckets // FANOUT), level + 1
         rows = now.where("p > 0 AND p < 1").withColumn("bucket", F.floor(F.col("bucket") / FANOUT).cast("int"))
-    whole = settled[0]
-    for more in settled[1:]:
+    whole = finished[0]
+    for more in finished[1:]:
         whole = whole.unionByName(more)
     copies = (F.col("base") + F.col("p")).cast("long")
     return whole.select("row", "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

@@ -399,12 +399,28 @@ def test_mixing(spark, corpus, no_rows):
     assert mixing.take(corpus).columns == corpus.columns
 
 
+def test_mix_comes_near_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = defaultdict(list)
+    for r in mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect():
+        by[r["source"]].append(r)
+    for rows in by.values():
+        sizes = sorted(r["size"] for r in rows)
+        # off by a small document, not by one of the large ones
+        assert abs(sum(r["taken"] for r in rows) - rows[0]["target"]) <= sizes[len(sizes) // 2]
+
+
 def test_cube_keeps_totals_and_probabilities():
     import random
 
     rng = random.Random(3)
     units = [(rng.random(), rng.randint(1, 500)) for _ in range(800)]
     done = mixing.flight(units, random.Random(1))
+    far = [(0.3, 9000), *((0.3, 100 + k) for k in range(120))]
+    for seed in range(20):  # a document that outweighs the others is settled, and made up for
+        after = mixing.flight(far, random.Random(seed))
+        assert after[0] in (0, 1) and math.isclose(sum(p * s for p, (_, s) in zip(after, far)), sum(p * s for p, s in far), rel_tol=1e-6)
+    assert mixing.flight([], rng) == [] and mixing.flight([(0.5, 0)] * 3, rng).count(0.5) <= 1
     assert sum(0 < p < 1 for p in done) <= 2
     assert math.isclose(sum(done), sum(p for p, _ in units), rel_tol=1e-6)
     assert math.isclose(sum(p * s for p, (_, s) in zip(done, units)), sum(p * s for p, s in units), rel_tol=1e-6)
