@@ -29,7 +29,7 @@ BUCKET_ROWS = 20_000  # mean rows of a flight group
 FANOUT = 64  # groups merged at each further level
 WIDTH = 256  # open documents that a move of the flight may change
 TRIES = 32
-LIGHT = 0.9  # least freedom of a document, of 1, to move under both constraints
+HEAVY = 0.1  # share of the window's spread of sizes from which a document outweighs it
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
@@ -71,7 +71,8 @@ def flight(rows: list[tuple[float, int]], rng: random.Random) -> list[float]:
         if free[k] <= 1e-9:
             break
         # a document that outweighs the window moves with the word total alone kept
-        u = -1 / len(active) - away[k] * slope if free[k] >= LIGHT else -size[active] * size[active[k]] / float(size[active] @ size[active])
+        heavy = away[k] * slope[k] > max(HEAVY, 4 / len(active))
+        u = -1 / len(active) - away[k] * slope if not heavy else -size[active] * size[active[k]] / float(size[active] @ size[active])
         u[k] += 1
         u[np.abs(u) < 1e-12] = 0
         now, moved = p[active], u != 0
