@@ -15,6 +15,7 @@ Segment layout (little endian):
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -178,8 +179,19 @@ def read_segment(path: str, table: Table) -> tuple[int, np.ndarray, np.ndarray,
     return start, docs[:n_docs], docs[n_docs:], ids
 
 
-# Fixed value: the word pattern of the vocabulary's pre-tokenizer, applied after lower-casing.
+# The settings of a vocabulary file that ``WordEncoder`` follows word by word.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+SHORT = 64  # longer words, in bytes, stay out of the memo
+
+
+def word_by_word(data: dict) -> bool:
+    """Whether a vocabulary file has the settings above, under which no token spans ASCII white space."""
+    pre = (data.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    plain = all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in data["added_tokens"])
+    last = len(pre) == 2 and pre[1].get("type") == "ByteLevel" and not pre[1].get("add_prefix_space") and not pre[1].get("use_regex")
+    return data.get("normalizer") == NORMALIZER and last and pre[0] == SPLIT and plain and data["model"].get("type") == "BPE"
 
 
 class Pieces(dict):
@@ -194,7 +206,9 @@ class Pieces(dict):
         if len(self) >= self.limit:
             self.clear()
         text = piece.encode().decode("latin-1").translate(self.letters)
-        ids = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(text)])
+        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(text)])
+        if len(piece) <= SHORT:
+            self[piece] = ids
         return ids
 
 
@@ -222,6 +236,8 @@ class Words(dict):
                 ids = b"".join(map(self.pieces.__getitem__, self.find(low)))
             else:
                 ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) > SHORT:
+            return ids
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
@@ -230,23 +246,28 @@ class Words(dict):
 
 
 class WordEncoder:
-    """The library's tokenizer for a vocabulary whose tokens never span ASCII white space.
+    """The library's tokenizer, word by word where the vocabulary's settings allow it, else text by text.
 
     Normalising, the BPE model and any unusual word (beyond Latin letters, or with special
     tokens in it) are the library's; its ids are kept word by word in a bounded memo, and
-    the ids of a text are those of its words in order.
+    the ids of a text are those of its words in order. Any vocabulary with other settings
+    is given whole texts.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        self.memo = Words(tok, limit)
+        with open(path, encoding="utf-8") as file:
+            whole = not word_by_word(json.load(file))
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.memo = None if whole else Words(self.tok, limit)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian uint32 ids of each text; a null text has none."""
+        if self.memo is None:
+            return [np.array(self.tok.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
         get = self.memo.__getitem__
         return [b"".join(map(get, t.encode().split())) if t else b"" for t in texts]
 
