@@ -65,43 +65,47 @@ def template_positions(spark: SparkSession, templates) -> DataFrame:
 def votes(docs: DataFrame, templates) -> DataFrame:
     """One row per document (template HEADER) and one per voted diagonal.
 
-    (row, doc_id, n_words, template, n_grams, label, base, diagonal, votes, seen); seen is a
-    bit mask of the template positions hit on the diagonal.
+    (row, doc_id, n_words, template, n_grams, label, base, diagonal, votes, seen, first_at,
+    last_at); seen is a bit mask of the template positions hit on the diagonal, first_at and
+    last_at the places of its first and last 2-gram. Each 2-gram is exploded with its own
+    two words alone, so time grows with the length of a text.
     """
     table = template_positions(docs.sparkSession, templates)
-    grams = F.concat(
-        F.array(F.xxhash64(F.lit(""), F.lit(""))),
-        F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1))),
-    )
+
+    def gram(at, w0, w1):
+        return F.struct(at.cast("int").alias("at"), F.xxhash64(w0, w1).alias("gram"), w0.alias("u"), w1.alias("v"))
+
+    none = F.lit("")
+    grams = F.concat(F.array(gram(F.lit(HEADER), none, none)), F.zip_with("words", F.transform(F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))), lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda u, x: gram(x.at, u, x.w)))
     hits = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(lower_ascii(F.col("text").cast("string"))).alias("words"))
         .withColumn("row", F.monotonically_increasing_id())
-        .withColumn("n_words", F.size("words").cast("long"))
-        .select("row", "doc_id", "n_words", "words", F.posexplode(grams).alias("at", "gram"))
-        .withColumn("at", F.col("at") - 1)
+        .select("row", "doc_id", F.size("words").cast("long").alias("n_words"), grams.alias("grams"))
+        .select("row", "doc_id", "n_words", F.inline("grams"))
         .join(F.broadcast(table), "gram")
-        .where((F.col("at") == -1) & (F.col("template") == HEADER) | (F.get("words", F.col("at")) == F.col("w0")) & (F.get("words", F.col("at") + 1) == F.col("w1")))
-        .select("row", "doc_id", "n_words", "template", "n_grams", "label", "base", "t", (F.col("at") - F.col("t")).alias("diagonal"))
+        .where((F.col("u") == F.col("w0")) & (F.col("v") == F.col("w1")))
+        .select("row", "doc_id", "n_words", "template", "n_grams", "label", "base", "t", "at", (F.col("at") - F.col("t")).alias("diagonal"))
     )
     return (
         hits.repartition("row")
         .groupBy("row", "doc_id", "n_words", "template", "n_grams", "label", "base", "diagonal")
-        .agg(F.count("*").alias("votes"), F.expr("bit_or(shiftleft(1L, greatest(t, 0)))").alias("seen"))
+        .agg(F.count("*").alias("votes"), F.expr("bit_or(shiftleft(1L, greatest(t, 0)))").alias("seen"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     )
 
 
 def spans(docs: DataFrame, templates=None) -> DataFrame:
-    """``votes`` with the share of the template that the merged diagonals hold and the verdict.
+    """``votes`` with the span and the share of the template that the merged diagonals hold, and the verdict.
 
-    found: a base phrase needs all its 2-grams on its own diagonal; any other template
-    MIN_SHARE of its 2-grams within DRIFT diagonals. HEADER rows come along unfound.
+    start and end: first and last word of the span in the text, from 0. found: a base phrase
+    needs all its 2-grams on its own diagonal; any other template MIN_SHARE of its 2-grams
+    within DRIFT diagonals. HEADER rows come along unfound.
     """
     templates = templates or [(p, x, True) for p, x in BASE] + [(p, x, False) for p, x in TEMPLATES]
     near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
     share = F.bit_count("merged") / F.col("n_grams")
     return (
         votes(docs, templates)
-        .withColumn("merged", F.bit_or("seen").over(near))
+        .withColumns({"merged": F.bit_or("seen").over(near), "start": F.min("first_at").over(near), "end": F.max("last_at").over(near) + 1})
         .withColumn("share", F.when(F.col("template") == HEADER, 0.0).when(F.col("base"), F.col("votes") / F.col("n_grams")).otherwise(share))
         .withColumn("found", (F.col("template") != HEADER) & (F.col("share") >= F.when(F.col("base"), 1.0).otherwise(MIN_SHARE)))
     )
