@@ -1,8 +1,9 @@
 """URL filter: fixed rules first, then logistic regression on hashed character n-grams.
 
 DataFrame functions and spark.ml (JVM) only. The classifier is trained from a small
-labelled URL table; its default is the URLs of the scanned table that a rule decides, at
-most TRAIN_ROWS of them (a documented bound), chosen by the hash of the URL.
+labelled URL table: a caller's own, or by default ``labelled_urls``, invented URLs of
+unwanted and of plain sites. The rules' verdicts are no labels: they say where a site
+lies, not what it is.
 """
 
 from __future__ import annotations
@@ -10,13 +11,29 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Verdict, host, path prefix of the rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+# Invented words for the labelled table, by what a site is.
+UNWANTED = (
+    "adult", "xxx", "porn", "nude", "escort", "sexcam", "casino", "slots", "poker", "roulette", "jackpot", "bets", "betting", "lottery",
+    "pills", "viagra", "pharmacy-deals", "steroids", "diet-miracle", "payday-loan", "quick-cash", "get-rich", "warez", "keygen", "torrent",
+    "spam", "link-farm", "click-farm", "ads", "adserver", "tracker", "tracking", "popup", "malware", "phishing", "free-prize",
+)
+PLAIN = (
+    "news", "weather", "recipes", "garden", "library", "museum", "school", "university", "travel", "health", "science", "history", "music", "books",
+    "maps", "docs", "wiki", "forum", "football", "local", "city", "arts", "cinema", "energy", "water", "law", "market", "jobs", "family", "kitchen",
+    "review", "photo", "nature", "tennis", "theatre", "opera", "letters", "journal", "times", "herald", "radio", "studio", "cycling", "hiking",
+    "haus", "schule", "reise", "wetter", "maison", "jardin", "livre", "voyage", "casa", "tiempo", "libro", "mundo", "nation", "ration", "theory", "thread",
+)
+PARTNERS = ("world", "hub", "zone", "online", "daily", "x", "net", "place", "win", "club", "point", "one")
+SITES = ("www.", "", "blog.", "m.", "http.", "de.")
+PATHS = ("/", "/en/12", "/fr/834.html", "/de/page/7/", "/es/4", "/archive/2020/05", "/index.php", "/a/b/c.html")
+ENDS = ("com", "org", "net", "info", "example.org", "example.net", "example.com")
 TRAIN_ROWS = 8_000
-FEATURES = 1 << 12
+FEATURES = 1 << 16
 GRAMS = (3, 4)
 
 
@@ -44,11 +61,24 @@ def ruled(urls: DataFrame, rules=RULES) -> DataFrame:
 def grams(host: Column, path: Column) -> Column:
     """Character n-grams of host and path, marked by the part they come from."""
 
-    def of(text: Column, mark: str) -> list[Column]:
+    def of(text: Column, mark: str, n: int) -> Column:
         text = F.concat(F.lit("^"), text, F.lit("$"))
-        return [F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(text, i, F.lit(n)))) for n in GRAMS]
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda at: F.concat(F.lit(mark), F.substring(text, at, F.lit(n))))
 
-    return F.concat(*of(host, "h"), *of(path, "p"))
+    return F.concat(*(of(text, mark, n) for text, mark in ((host, "h"), (path, "p")) for n in GRAMS))
+
+
+def labelled_urls(spark: SparkSession, each: int = 7) -> DataFrame:
+    """(url, label 1.0 = block): ``each`` URLs for every word, the last two with the word in the path alone."""
+    rows = []
+    for label, words in ((1.0, UNWANTED), (0.0, PLAIN)):
+        for k, word in enumerate(words):
+            for n in range(each):
+                other, end, path = PARTNERS[(k + 5 * n) % len(PARTNERS)], ENDS[(3 * k + n) % len(ENDS)], PATHS[(k + n) % len(PATHS)]
+                host = f"{PLAIN[(7 * k + n) % len(PLAIN)]}.{end}" if n >= each - 2 else f"{word}-{other}.{end}" if n % 2 else f"{other}-{word}.{end}" if n % 3 else f"{word}.{end}"
+                rows.append((f"http://{SITES[(k + n) % len(SITES)]}{host}" + (f"/{word}{path}" if n >= each - 2 else path), label))
+    return spark.createDataFrame(rows, "url string, label double")
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -60,26 +90,25 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LogisticRegressionMode
     """Fit on (host, path, label 1.0 = block); at most ``rows`` distinct ones. None if a class is missing."""
     some = labelled.groupBy("host", "path").agg(F.max("label").alias("label")).orderBy(F.xxhash64("host", "path"), "host", "path").limit(rows)
     table = features(some).cache()
-    if table.select("label").distinct().count() < 2:
-        return None
-    model = LogisticRegression(regParam=1e-3, maxIter=60).fit(table.select("features", "label"))
-    table.unpersist()
-    return model
+    try:
+        if table.select("label").distinct().count() < 2:
+            return None
+        return LogisticRegression(regParam=1e-3, maxIter=60).fit(table.select("features", "label"))
+    finally:
+        table.unpersist()
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, block_probability) of every row.
 
-    labelled: (url, label 1.0 = block, 0.0 = allow); default the rule-decided URLs. Null
-    url or no ://: empty host and path, judged by the model like any other (allow where no
-    model can be trained). Null page_ids and repeated rows stay; an empty table gives no
+    labelled: (url, label 1.0 = block, 0.0 = allow), of which at most TRAIN_ROWS distinct
+    URLs, picked by hash, are fitted on; default ``labelled_urls``. Null url or no ://: empty
+    host and path, judged by the model like any other (allow where no model can be trained). Null page_ids and repeated rows stay; an empty table gives no
     rows; extra columns are ignored.
     """
     rows = ruled(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")))
-    if labelled is None:
-        known = rows.where("rule_verdict IS NOT NULL").withColumn("label", F.when(F.col("rule_verdict") == "block", 1.0).otherwise(0.0))
-    else:
-        known = labelled.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    labelled = labelled_urls(pages.sparkSession) if labelled is None else labelled
+    known = labelled.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     model = train(known.select("host", "path", "label"))
     if model is None:
         scored = rows.withColumn("block_probability", F.lit(0.0))
