@@ -53,12 +53,32 @@ NOT_HEADINGS = ("CONG HOA", "SOCIALIST", "INDEPENDENCE", "FREEDOM", "HAPPINESS",
 # ---- fixed values: category words
 FEMALE_WORDS = ("nu", "female", "ni", "nw", "nv", "nii", "nuu")
 MALE_WORDS = ("nam", "male")
+FEMALE_WORDS_LINE = ("nu", "nữ", "ni", "nv", "nw", "female")
+
+# ---- fixed values: readings of the country's name
+COUNTRY_LINE = r"\bviet\s*nam\b"
+COUNTRY_LABEL = r"\b(?:viet\s*nam|vict\s*nam|vict\s*nana)\b"
+COUNTRY_FIELD = r"\b(?:vi[ec]t\s*nam|viet\s*nana|vict\s*nana|vietnam)\b"
+COUNTRY_FUSION, COUNTRY_LEGACY = "vietna[mn]", "VIET|VICT|NANA"
+COUNTRY_LAYOUT, COUNTRY_SHORT = ("vietnam", "vietnan", "vietnarn", "victnam"), ("vn", "vnm")
 
 # ---- fixed values: label patterns, matched without case
 ORIGIN_EN = r"place\s*o[fl]\s*o(?:ri|r|n|ni|i)?g(?:i)?n"
 RESIDENCE_EN = r"place\s*o[fl]\s*['\"]?\s*resid[eaou]nce"
 RESIDENCE_VI = r"n[o0](?:i|[1l])?\s*thu[o0]ng\s*tr?u"
 EXPIRY = r"(?:co|c[o0])\s*[i1l]?\s*[g9]ia(?:\s+[a-z])?\s*[\(\[]?\s*(?:tr[iyj1l]|t[1il])\s*den|date\s*of\s*expiry"
+# ---- fixed values: parts of a misread expiry label: rule, part, which words may be it, the word it stands for, least
+# gestalt ratio, endings that will do instead, letter it must begin with. A rule needs all its parts, a part one row.
+EXPIRY_PARTS = (
+    ("english", "date", "first", "date", 0.50, (), ""),
+    ("english", "expiry", "later", "expiry", 0.55, ("piry",), ""),
+    ("local", "gia", "any", "gia", 0.65, (), ""),
+    ("local", "gia", "any", "cogia", 0.70, (), ""),
+    ("local", "den", "last", "den", 0.62, ("den", "oen"), ""),
+    ("local", "whole", "glued", "cogiatriden", 0.70, (), "c"),
+)
+
+# ---- fixed values: label patterns, continued
 NAME_LABEL = r"(?:ho\s*va\s*ten|full\s*name)"
 BIRTH_LABEL = r"(?:ngay\s*sinh|date\s*of\s*birth)"
 GENDER_LABEL = r"(?:gioi\s*tinh|sex)"
@@ -66,6 +86,12 @@ NATIONALITY_LABEL = r"(?:quoc\s*tich|nationality)"
 ORIGIN_LABEL = r"(?:que\s*quan|place\s*of\s*origin)"
 RESIDENCE_LABEL = r"(?:noi\s*thuong\s*tru|place\s*of\s*residence)"
 EXPIRY_LABEL = r"(?:co\s*gia\s*tri\s*den|gia\s*tri\s*den|date\s*of\s*expiry|expiry\s*date|date\s*of\s*expir[yv])"
+GENDER_LABEL_RECOVER = r"\b(?:gioi\s*tinh|sex)\b"
+NATIONALITY_LABEL_WORD = r"\b(?:quoc\s*tich|nationality)\b"
+NAME_LABEL_RECOVER = r"(?:ho\s*va\s*ten\s*/?\s*|full\s*name\s*:?)"
+NATIONALITY_LABEL_RECOVER = r"(?:quoc\s*tich\s*/?\s*|nationality\s*:?)"
+ENGLISH_HALF = r"^\s*/?\s*(?:full\s*name|date\s*of\s*birth|sex|nationality|place\s*of\s*origin|place\s*of\s*residence)\s*:?\s*"
+EXPIRY_WITH_DATE = r"(?:co|c[o0])\s*[g9]ia\s*(?:tri|t[1il])\s*den\s*\d{1,2}[/-]\d{1,2}[/-]\d{4}"
 STOP_LABEL_LINE = (
     r"(?:ho\s*va\s*ten|full\s*name|ngay\s*sinh|date\s*of\s*birth|gioi\s*tinh|sex|quoc\s*tich|nationality|que\s*quan|place\s*of\s*origin"
     r"|noi\s*thuong\s*tru|place\s*of\s*residence|date\s*of\s*expiry|co\s*gia\s*tri\s*den)"
@@ -109,6 +135,12 @@ REGIONS = (
     ("placeOfOrigin", 290, 490, 760, 550), ("placeOfResidence", 290, 535, 995, 630), ("dateOfExpiry", 15, 545, 300, 615), ("portrait", 20, 200, 270, 520),
 )
 
+# ---- fixed values: the same of the earlier sheet
+REGIONS_V1 = (
+    ("idNumber", 335, 205, 740, 285), ("fullName", 285, 270, 790, 355), ("dateOfBirth", 575, 330, 850, 410), ("gender", 285, 375, 505, 445), ("nationality", 570, 375, 900, 445),
+    ("placeOfOrigin", 275, 425, 940, 515), ("placeOfResidence", 270, 495, 960, 600), ("dateOfExpiry", 15, 490, 285, 590), ("portrait", 20, 200, 270, 505),
+)
+
 # ---- fixed values: source priority by field; identifiers never come from raw text
 PRIORITIES = {
     "idNumber": ("FULL_CARD_OCR", "FIELD_OCR"),
@@ -121,6 +153,18 @@ PRIORITIES = {
     "dateOfExpiry": ("RAW_TEXT_RECOVERY", "FULL_CARD_OCR", "FIELD_OCR"),
 }
 
+# ---- fixed values: the earlier priority: the field reading first, raw text for birth dates and nationality only
+PRIORITIES_V1 = {
+    "idNumber": ("FIELD_OCR", "FULL_CARD_OCR"),
+    "fullName": ("FIELD_OCR", "FULL_CARD_OCR"),
+    "dateOfBirth": ("FIELD_OCR", "FULL_CARD_OCR", "RAW_TEXT_RECOVERY"),
+    "gender": ("FIELD_OCR", "FULL_CARD_OCR"),
+    "nationality": ("FIELD_OCR", "FULL_CARD_OCR", "RAW_TEXT_RECOVERY"),
+    "placeOfOrigin": ("FIELD_OCR", "FULL_CARD_OCR"),
+    "placeOfResidence": ("FIELD_OCR", "FULL_CARD_OCR"),
+    "dateOfExpiry": ("FIELD_OCR", "FULL_CARD_OCR"),
+}
+
 # ---- fixed values: validation messages in order
 ERRORS = {
     "idNumber": "Số CCCD không hợp lệ",

@@ -1,19 +1,20 @@
 """Text repair, accent folding and field cleaning as column expressions.
 
 Everything runs in the JVM; the only Python is ``nfkc`` for rows that hold characters
-outside the stable classes, ``repair_mojibake`` for rows with box-drawing letters and the
-gestalt ratio of ``similarity`` (on distinct pairs, see ``operators.labels``).
+outside the stable classes, ``repair_mojibake`` for rows with box-drawing letters and
+``gestalt``, which the operators give distinct pairs.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from pergament.functions import tables as T
 
@@ -29,6 +30,20 @@ def let(c: Column | str, f) -> Column:
     return F.get(F.transform(F.array(col(c)), f), F.lit(0))
 
 
+def kept(df: DataFrame, name: str, value: Column, test) -> DataFrame:
+    """``df`` with the column ``name``, and only the rows whose value passes ``test`` (of a column).
+
+    The value is computed once a row: a filter on a computed column would be moved below it
+    and compute it again.
+    """
+    return df.withColumn(name, F.explode(F.filter(F.array(value), test)))
+
+
+def filled(c: Column) -> Column:
+    """Neither null nor empty."""
+    return c.isNotNull() & (c != "")
+
+
 # ---- T2: folding
 
 
@@ -287,27 +302,28 @@ def _date(c: Column, profile: str) -> Column:
         found = F.regexp_extract(text, r"\b\d{2}/\d{2}/\d{4}\b", 0)
         return F.when(found != "", found)
     if profile == "fusion_v1":
-        text = fix_digits(c, "fusion")
-        runs = F.regexp_extract_all(text, F.lit(r"(?<!\d)(\d{8,9})(?!\d)"), F.lit(1))
-        more = F.filter(F.transform(runs, lambda t: F.when(F.length(t) == 8, real_date(eight(t), 1900, 2100))), lambda t: t.isNotNull())
+        runs = F.regexp_extract_all(fix_digits(c, "fusion"), F.lit(r"\d{8,9}"), F.lit(0))
+        more = F.filter(F.transform(runs, compact_date), lambda t: t.isNotNull())
         return F.coalesce(_date(c, "fusion"), F.get(more, F.lit(0)))
     raise ValueError(f"unknown date profile {profile!r}")
 
 
-def _fusion_date(text: Column) -> Column:
-    d, m, y = parts_of(text, r"(?<!\d)(\d{1,2})[./\\-](\d{1,2})[./\\-](\d{4})(?!\d)")
-    split = F.when(d != "", real_date(date_of(d, m, y), 1900, 2100))
+def compact_date(digits: Column) -> Column:
+    """The date of eight digits, or of nine of which one is too many."""
 
-    def compact(digits: Column) -> Column:
-        def without(k: Column) -> Column:
-            return F.concat(F.substring(digits, F.lit(1), k - 1), F.substring(digits, k + 1, F.lit(9)))
+    def without(k: Column) -> Column:
+        return F.concat(F.substring(digits, F.lit(1), k - 1), F.substring(digits, k + 1, F.lit(9)))
 
-        twice = F.filter(F.sequence(F.lit(1), F.lit(8)), lambda k: F.substring(digits, k, F.lit(1)) == F.substring(digits, k + 1, F.lit(1)))
-        tries = F.transform(F.concat(twice, F.sequence(F.lit(1), F.lit(9))), without)
-        good = F.filter(F.transform(tries, lambda t: real_date(eight(t), 1900, 2100)), lambda t: t.isNotNull())
-        return F.when(F.length(digits) == 8, real_date(eight(digits), 1900, 2100)).when(F.length(digits) == 9, F.get(good, F.lit(0)))
+    twice = F.filter(F.sequence(F.lit(1), F.lit(8)), lambda k: F.substring(digits, k, F.lit(1)) == F.substring(digits, k + 1, F.lit(1)))
+    tries = F.transform(F.concat(twice, F.sequence(F.lit(1), F.lit(9))), without)
+    good = F.filter(F.transform(tries, lambda t: real_date(eight(t), 1900, 2100)), lambda t: t.isNotNull())
+    return F.when(F.length(digits) == 8, real_date(eight(digits), 1900, 2100)).when(F.length(digits) == 9, F.get(good, F.lit(0)))
 
-    return F.coalesce(split, let(F.regexp_replace(text, r"\D", ""), compact))
+
+def _fusion_date(text: Column) -> Column:
+    d, m, y = parts_of(text, r"(?<!\d)(\d{1,2})[./\\-](\d{1,2})[./\\-](\d{4})(?!\d)")
+    split = F.when(d != "", real_date(date_of(d, m, y), 1900, 2100))
+    return F.coalesce(split, let(F.regexp_replace(text, r"\D", ""), compact_date))
 
 
 def _field_date(text: Column) -> Column:
@@ -408,20 +424,20 @@ def canon_nationality(c: Column | str, profile: str = "fusion") -> Column:
 def _canon_nationality(c: Column, profile: str) -> Column:
     folded = F.lower(fold(c))
     if profile == "fusion":
-        return F.when(F.regexp_replace(folded, "[^a-z]", "").rlike("vietna[mn]"), T.COUNTRY)
+        return F.when(F.regexp_replace(folded, "[^a-z]", "").rlike(T.COUNTRY_FUSION), T.COUNTRY)
     if profile == "field":
         name = F.array_join(F.regexp_extract_all(c, F.lit(r"[\p{L}\p{Nl}]+"), F.lit(0)), " ")
-        return F.when(folded.rlike(r"\b(?:vi[ec]t\s*nam|viet\s*nana|vict\s*nana|vietnam)\b"), T.COUNTRY).otherwise(F.when(name != "", name))
+        return F.when(folded.rlike(T.COUNTRY_FIELD), T.COUNTRY).otherwise(F.when(name != "", name))
     if profile == "layout":
         value = strip_chars(squeeze(strip_labels(c, "nationality", "prefix")), " :-/")
         word = F.regexp_replace(F.lower(value), "[^a-z]", "")
-        return F.when(word.isin("vietnam", "vietnan", "vietnarn", "victnam"), T.COUNTRY).otherwise(value)
+        return F.when(word.isin(*T.COUNTRY_LAYOUT), T.COUNTRY).otherwise(value)
     if profile == "legacy":
         up = F.upper(c)
-        return F.when(up.rlike("VIET|VICT|NANA"), T.COUNTRY)
+        return F.when(up.rlike(T.COUNTRY_LEGACY), T.COUNTRY)
     if profile == "v1":
         word = F.regexp_replace(folded, "[^a-z]", "")
-        return F.when(word.rlike("vietna[mn]") | word.isin("vn", "vnm"), T.COUNTRY).when(F.length(word) >= 4, squeeze(c))
+        return F.when(word.rlike(T.COUNTRY_FUSION) | word.isin(*T.COUNTRY_SHORT), T.COUNTRY).when(F.length(word) >= 4, squeeze(c))
     raise ValueError(f"unknown nationality profile {profile!r}")
 
 
@@ -457,7 +473,7 @@ def _clean_address(c: Column, profile: str) -> Column:
         text = strip_chars(squeeze(F.regexp_replace(F.regexp_replace(text, r"\s*,\s*", ", "), r",(?:\s*,)+", ", ")), " ,/:;-")
         return F.when(text != "", text)
     if profile == "line":
-        text = F.regexp_replace(c, r"(?i)(?:co|c[o0])\s*[g9]ia\s*(?:tri|t[1il])\s*den\s*\d{1,2}[/-]\d{1,2}[/-]\d{4}", " ")
+        text = F.regexp_replace(c, "(?i)" + T.EXPIRY_WITH_DATE, " ")
         text = F.regexp_replace(F.regexp_replace(text, r"\s+([,.;])", "$1"), r"[,;]\s*[,;]+", ", ")
         return strip_chars(F.regexp_replace(text, r"\s+", " "), " ,.;:-")
     if profile == "field":
@@ -492,7 +508,7 @@ def strip_labels(c: Column | str, field: str, mode: str = "anywhere") -> Column:
     if mode == "first":
         rest = F.concat(F.regexp_extract(c, f"(?is)^(.*?){label}", 1), F.regexp_extract(c, f"(?is)^.*?{label}(.*)$", 1))
         rest = F.when(c.rlike("(?i)" + label), rest).otherwise(c)
-        rest = F.regexp_replace(rest, r"(?i)^\s*/?\s*(?:full\s*name|date\s*of\s*birth|sex|nationality|place\s*of\s*origin|place\s*of\s*residence)\s*:?\s*", "")
+        rest = F.regexp_replace(rest, "(?i)" + T.ENGLISH_HALF, "")
         return F.trim(F.regexp_replace(rest, r"^[\s:;/,-]+", ""))
     if mode == "prefix":
         return reduce(lambda x, a: F.regexp_replace(x, r"(?iu)^\s*" + quoted(a) + r"\s*[:/\-]*\s*", ""), T.ALIASES[field], F.trim(c))
@@ -551,23 +567,38 @@ def diacritic_score(c: Column | str) -> Column:
 # ---- T16: similarity
 
 
+@F.pandas_udf(DoubleType())
+def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratio of matching blocks (longest first) to both lengths; null for a null side."""
+    pairs = pd.DataFrame({"a": a, "b": b})
+    known = {p: SequenceMatcher(None, *p).ratio() for p in pairs.dropna().drop_duplicates().itertuples(index=False, name=None)}
+    return pd.Series([known.get(p) for p in pairs.itertuples(index=False, name=None)], dtype="float64")
+
+
+def gestalt_bound(a: Column, b: Column) -> Column:
+    """What no gestalt ratio of two texts exceeds: twice the shorter length over both."""
+    return 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
+
+
 def similarity(a: Column | str, b: Column | str, method: str = "levenshtein") -> Column:
-    """T16 with a native edit ratio: 1 on equal keys, 0 on empty ones, else the best of three ratios.
+    """T16: 1 on equal keys, 0 on empty ones, else the best of two ratios and containment.
 
-    method gestalt lives in ``operators.labels.gestalt``, which scores distinct pairs.
+    method: levenshtein (native) or gestalt (Python; ``operators.labels`` scores distinct pairs).
     """
-    if method != "levenshtein":
-        raise ValueError("method gestalt works on tables, see operators.labels.gestalt")
+    if method not in ("levenshtein", "gestalt"):
+        raise ValueError(f"unknown similarity {method!r}")
+    if method == "gestalt":
+        return key_similarity(key(a, "anchor"), key(b, "anchor"), key(a, "compact"), key(b, "compact"), gestalt)
     keys = F.struct(key(a, "anchor").alias("x"), key(b, "anchor").alias("y"), key(a, "compact").alias("u"), key(b, "compact").alias("v"))
     return let(keys, lambda k: edit_similarity(k.x, k.y, k.u, k.v))
 
 
 def edit_similarity(x: Column, y: Column, u: Column, v: Column) -> Column:
     """Similarity of two texts by their anchor keys x, y and compact keys u, v."""
+    return key_similarity(x, y, u, v, lambda p, q: 1 - F.levenshtein(p, q) / F.greatest(F.length(p), F.length(q)))
 
-    def ratio(p: Column, q: Column) -> Column:
-        return 1 - F.levenshtein(p, q) / F.greatest(F.length(p), F.length(q))
 
+def key_similarity(x: Column, y: Column, u: Column, v: Column, ratio) -> Column:
     return F.when((x == "") | (y == ""), 0.0).when((x == y) | (u == v), 1.0).otherwise(F.greatest(ratio(x, y), ratio(u, v), containment(x, y), containment(u, v)))
 
 

@@ -8,12 +8,12 @@ one very long document is many small groups.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
 from pergament.functions import text as X
+from pergament.functions.numbers import rounded
 
 EDGES = ("left", "top", "right", "bottom")
 
@@ -106,31 +106,34 @@ def iou(a: str, b: str) -> Column:
 def suppress_duplicates(df: DataFrame, min_iou: float = 0.8, compare_text: bool = True) -> DataFrame:
     """B4. Greedy: by confidence, then area, a box goes when a kept box overlaps it and says the same.
 
-    A suppressed box suppresses nothing. The conflict pairs come from an equality join on
-    document, island and text key; a box that only ever loses to undisputed boxes is
-    dropped by that join alone, and the few chains are folded island by island.
+    A suppressed box suppresses nothing. Boxes can only meet within an island, with one text
+    key, where no gap parts them in x either; such small groups are folded in the JVM. All
+    windows and the grouping share one shuffle by document, and nothing is joined.
     """
-    rank = Window.partitionBy("doc_id").orderBy(F.desc("confidence"), F.desc((F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))), "box_id")
+    if min_iou <= 0:
+        raise ValueError("min_iou must be above 0")
     name = X.key("text", "alnum") if compare_text else F.lit("")
-    ranked = with_islands(df).withColumns({"__rank": F.row_number().over(rank), "__key": name})
-    slim = ranked.select("doc_id", "island", "__key", "__rank", *EDGES)
-    a, b = slim.alias("a"), slim.alias("b")
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("doc_id", "island", "__key")]
-    pairs = a.join(b, [*on, F.col("a.__rank") < F.col("b.__rank"), iou("a", "b") >= min_iou]).select("a.doc_id", "a.island", F.col("a.__rank").alias("winner"), F.col("b.__rank").alias("loser"))
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone: set[int] = set()
-        for w, x in sorted(zip(pdf["winner"], pdf["loser"])):
-            if w not in gone:
-                gone.add(x)
-        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]] * len(gone), "loser": sorted(gone)})
-
-    losers = pairs.select("doc_id", "island", F.col("loser").alias("winner")).distinct()
-    disputed = pairs.join(losers, ["doc_id", "island", "winner"], "left_semi").select("doc_id", "island").distinct()
-    plain = pairs.join(disputed, ["doc_id", "island"], "left_anti").select("doc_id", "loser").distinct()
-    id_type = df.schema["doc_id"].dataType.simpleString()
-    chained = pairs.join(disputed, ["doc_id", "island"], "left_semi").groupBy("doc_id", "island").applyInPandas(fold, f"doc_id {id_type}, loser int")
-    gone = plain.unionByName(chained).withColumnRenamed("loser", "__rank")
-    return ranked.join(gone, ["doc_id", "__rank"], "left_anti").select(*df.columns)
+    w = Window.partitionBy("doc_id", "island", "__key").orderBy("left", "right", "box_id")
+    edge = F.max("right").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = with_islands(df).withColumn("__key", name).withColumn("__cut", F.when(edge.isNull() | (F.col("left") >= edge), 1).otherwise(0))
+    cut = cut.withColumn("__part", F.sum("__cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    size = (F.col("right") - F.col("left")) * (F.col("bottom") - F.col("top"))
+    item = F.struct((-F.col("confidence")).alias("c"), (-size).alias("a"), F.col("box_id").alias("id"), F.struct(*df.columns).alias("box"))
+    packed = cut.groupBy("doc_id", "island", "__key", "__part").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    start = F.array().cast(packed.schema["all"].dataType)
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when(F.exists(kept, lambda k: struct_iou(k.box, x.box) >= min_iou), kept).otherwise(F.concat(kept, F.array(x)))
+
+    kept = F.when(F.size("all") == 1, F.col("all")).otherwise(F.aggregate("all", start, step))
+    return packed.select(F.explode(kept).alias("k")).select("k.box.*")
+
+
+def struct_iou(a: Column, b: Column) -> Column:
+    span = lambda low, high: F.greatest(F.least(a[high], b[high]) - F.greatest(a[low], b[low]), F.lit(0.0))
+    own = lambda x: (x["right"] - x["left"]) * (x["bottom"] - x["top"])
+    both = span("left", "right") * span("top", "bottom")
+    return ratio(both, own(a) + own(b) - both)
 
 
 # ---- B6, B8: greedy grouping
@@ -258,7 +261,7 @@ def merge_segments(df: DataFrame, normalize: bool = True) -> DataFrame:
     out = df.groupBy("doc_id", "row_id", "segment_id").agg(
         (X.normalize_text(text) if normalize else text).alias("text"),
         F.min("left").alias("left"), F.min("top").alias("top"), F.max("right").alias("right"), F.max("bottom").alias("bottom"),
-        F.round(F.avg("confidence"), 4).alias("confidence"), F.count("*").alias("source_count"),
+        rounded(F.avg("confidence"), 4).alias("confidence"), F.count("*").alias("source_count"),
     )
     pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("top", "left", "row_id", "segment_id"))
     return out.where("text <> ''").withColumn("pos", pos)
@@ -303,13 +306,14 @@ def template_fields(df: DataFrame, pages: DataFrame, regions=T.REGIONS) -> DataF
 
     pages(doc_id, page_width, page_height). Texts of a field in reading order, joined by
     ", " for addresses and a space else, then cleaned by the field rules; portrait is no text.
+    T.REGIONS_V1 are the regions of the earlier sheet.
     """
-    scaled = df.join(pages, "doc_id")
+    scaled = df.hint("merge").join(pages.hint("merge"), "doc_id")
     x, y = F.lit(float(T.SHEET[0])) / F.col("page_width"), F.lit(float(T.SHEET[1])) / F.col("page_height")
     scaled = scaled.withColumns({"left": F.col("left") * x, "right": F.col("right") * x, "top": F.col("top") * y, "bottom": F.col("bottom") * y})
     hit = boxes_in_regions(scaled, [r for r in regions if r[0] != "portrait"])
     text = F.when(F.col("region").isin("placeOfOrigin", "placeOfResidence"), joined_text(order_columns("reading"), ", ")).otherwise(joined_text(order_columns("reading")))
-    out = hit.groupBy("doc_id", "region").agg(text.alias("raw"), F.round(F.avg("confidence"), 4).alias("confidence"))
+    out = hit.groupBy("doc_id", "region").agg(text.alias("raw"), rounded(F.avg("confidence"), 4).alias("confidence"))
     return out.select("doc_id", F.col("region").alias("field"), clean_field("region", "raw").alias("value"), "raw", "confidence")
 
 
@@ -340,7 +344,7 @@ def _pairs(df: DataFrame, by: tuple[str, ...], condition, within: float | None =
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.box_id") != F.col("b.box_id")]
     on += [condition] if condition is not None else []
     if within is None:
-        return df.alias("a").join(df.alias("b"), on)
+        return df.alias("a").hint("merge").join(df.alias("b").hint("merge"), on)
 
     def dealt(wider: float) -> DataFrame:
         first, last = F.floor((F.col("left") - wider) / STRIP), F.floor((F.col("right") + wider) / STRIP)
@@ -348,7 +352,7 @@ def _pairs(df: DataFrame, by: tuple[str, ...], condition, within: float | None =
 
     a, b = dealt(within).alias("a"), dealt(0.0).alias("b")
     once = F.col("a.__strip") == F.greatest("a.__first", "b.__first")
-    return a.join(b, [*on, F.col("a.__strip") == F.col("b.__strip"), once, gap("a", "b", "left", "right") <= within])
+    return a.hint("merge").join(b.hint("merge"), [*on, F.col("a.__strip") == F.col("b.__strip"), once, gap("a", "b", "left", "right") <= within])
 
 
 def gap(a: str, b: str, low: str, high: str) -> Column:
@@ -422,7 +426,7 @@ def contains_point(df: DataFrame, points: DataFrame) -> DataFrame:
     """B17. points(doc_id, point_id, x, y) in boxes, all edges inclusive."""
     b, p = df.alias("b"), points.alias("p")
     on = (F.col("b.doc_id") == F.col("p.doc_id")) & F.col("p.x").between(F.col("b.left"), F.col("b.right")) & F.col("p.y").between(F.col("b.top"), F.col("b.bottom"))
-    return b.join(p, on).select("b.doc_id", "b.box_id", "p.point_id")
+    return b.hint("merge").join(p.hint("merge"), on).select("b.doc_id", "b.box_id", "p.point_id")
 
 
 def contains_box(df: DataFrame, tolerance: float = 0.0, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:

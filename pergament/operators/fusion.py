@@ -7,13 +7,12 @@ evenly; dictionaries are literal maps of a few dozen entries.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
 from pergament.functions import text as X
+from pergament.sources.scratch import stored
 
 
 def priority_table(spark, priorities=T.PRIORITIES) -> DataFrame:
@@ -45,12 +44,25 @@ RULES = {
 }
 
 
-def clean_candidates(candidates: DataFrame) -> DataFrame:
-    """Each value under its field's rule; readings of raw text are taken as recovered already."""
-    value = F.lit(None).cast("string")
-    for field, rule in RULES.items():
-        value = F.when(F.col("field") == field, rule(F.col("value"))).otherwise(value)
-    return candidates.withColumn("value", F.when(F.col("source") == "RAW_TEXT_RECOVERY", F.col("value")).otherwise(value))
+#: The earlier rules: three fields are cleaned, the others taken as they are.
+RULES_V1 = {"fullName": RULES["fullName"], "dateOfBirth": lambda v: X.clean_date(v, "fusion_v1"), "nationality": lambda v: X.canon_nationality(v, "v1")}
+
+
+def clean_candidates(candidates: DataFrame, rules=RULES, recovered: bool = True) -> DataFrame:
+    """Each value under its field's rule, those of other fields as they are; rows without a value left go.
+
+    recovered: readings of raw text are taken as recovered already and stay.
+    """
+    raw = (F.col("source") == "RAW_TEXT_RECOVERY") & F.lit(recovered)
+    value = F.when(raw, F.col("value"))
+    for field, rule in rules.items():
+        value = value.when(F.col("field") == field, rule(F.col("value")))
+    return X.kept(candidates, "value", value.otherwise(F.col("value")), X.filled)
+
+
+def fuse_v1(candidates: DataFrame) -> DataFrame:
+    """F2 by the earlier priority table and rules: the field reading first, raw text cleaned like the others."""
+    return ranked(candidates, clean_candidates(candidates, RULES_V1, recovered=False), T.PRIORITIES_V1)
 
 
 def fuse(candidates: DataFrame, priorities=T.PRIORITIES, clean: bool = True) -> DataFrame:
@@ -59,10 +71,13 @@ def fuse(candidates: DataFrame, priorities=T.PRIORITIES, clean: bool = True) ->
     The order of the sources is a table by field. Ranked aggregation (min_by) combines
     before the shuffle, so no window over candidates is needed.
     """
-    spark = candidates.sparkSession
-    valid = (clean_candidates(candidates) if clean else candidates).where("value IS NOT NULL AND value <> ''")
-    ranked = valid.join(F.broadcast(priority_table(spark, priorities)), ["field", "source"])
-    best = ranked.groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "source"), F.struct("rank", "value")).alias("b"))
+    return ranked(candidates, clean_candidates(candidates) if clean else candidates.where("value <> ''"), priorities)
+
+
+def ranked(candidates: DataFrame, valid: DataFrame, priorities) -> DataFrame:
+    """F2 of cleaned readings, for every document of ``candidates``."""
+    places = valid.join(F.broadcast(priority_table(candidates.sparkSession, priorities)), ["field", "source"])
+    best = places.groupBy("doc_id", "field").agg(F.min_by(F.struct("value", "source"), F.struct("rank", "value")).alias("b"))
     domain = candidates.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, T.FIELDS))).alias("field"))
     joined = domain.hint("merge").join(best.hint("merge"), ["doc_id", "field"], "left")
     return joined.select("doc_id", "field", F.col("b.value").alias("value"), F.coalesce("b.source", F.lit("NOT_FOUND")).alias("source"))
@@ -80,9 +95,9 @@ def to_records(fused: DataFrame) -> DataFrame:
 
 def richest_equivalent(candidates: DataFrame, priorities=T.PRIORITIES, field: str = "fullName") -> DataFrame:
     """F3. Of the readings with the winner's folded key, the one with most accents (ties: the earlier source)."""
-    ranked = candidates.where(F.col("field") == field).where("value <> ''").join(F.broadcast(priority_table(candidates.sparkSession, priorities)), ["field", "source"])
-    ranked = ranked.withColumns({"key": X.key("value", "name"), "score": X.diacritic_score("value")})
-    by_key = ranked.groupBy("doc_id", "key").agg(F.min("rank").alias("first"), F.max_by(F.struct("value", "source"), F.struct("score", -F.col("rank"))).alias("b"))
+    places = candidates.where(F.col("field") == field).where("value <> ''").join(F.broadcast(priority_table(candidates.sparkSession, priorities)), ["field", "source"])
+    places = places.withColumns({"key": X.key("value", "name"), "score": X.diacritic_score("value")})
+    by_key = places.groupBy("doc_id", "key").agg(F.min("rank").alias("first"), F.max_by(F.struct("value", "source"), F.struct("score", -F.col("rank"))).alias("b"))
     best = by_key.groupBy("doc_id").agg(F.min_by("b", "first").alias("b"))
     return best.select("doc_id", F.col("b.value").alias("value"), F.col("b.source").alias("source"))
 
@@ -155,27 +170,20 @@ def repair_identifiers(primary: DataFrame, alternatives: DataFrame) -> DataFrame
 def fuse_records(candidates: DataFrame) -> DataFrame:
     """F2 to F8 together: eight fields per document with sources.
 
-    Raw-text values are recovered values already (operators.lines, recover forms).
+    Raw-text values are recovered values already (operators.lines, recover forms). The
+    cleaned and the fused readings are read several times, so both are written first.
     """
-    fused = fuse(candidates)
-    cleaned = clean_candidates(candidates).where("value <> ''")
-    names = richest_equivalent(cleaned)
-    names = names.drop("value").join(reconcile_disputed(names.select("doc_id", "value"), cleaned.where("field = 'fullName'").select("doc_id", "value")), "doc_id")
-    records = to_records(fused)
-    records = records.join(names.select("doc_id", F.col("value").alias("__n"), F.col("source").alias("__s")), "doc_id", "left").withColumn("fullName", F.col("__n"))
+    cleaned = stored(clean_candidates(candidates), "cleaned")
+    fused = stored(ranked(candidates, cleaned, T.PRIORITIES), "fused")
+    best = richest_equivalent(cleaned)
+    spelt = reconcile_disputed(best.select("doc_id", "value"), cleaned.where("field = 'fullName'").select("doc_id", "value"))
+    names = best.drop("value").hint("merge").join(spelt.hint("merge"), "doc_id").select("doc_id", F.col("value").alias("__n"), F.col("source").alias("__s"))
+    records = to_records(fused).hint("merge").join(names.hint("merge"), "doc_id", "left").withColumn("fullName", F.col("__n"))
     sources = F.transform_values("sources", lambda k, v: F.when(k == "fullName", F.coalesce("__s", F.lit("NOT_FOUND"))).otherwise(v))
     records = restore_by_context(records.withColumn("sources", sources).drop("__n", "__s"))
     for field in ("placeOfOrigin", "placeOfResidence"):
         own = fused.where((F.col("field") == field) & F.col("value").isNotNull()).select("doc_id", "value")
         others = cleaned.where(F.col("field") == field).select("doc_id", "value")
         fixed = repair_identifiers(restore_components(own, others), others).select("doc_id", X.apply_gazetteer("value").alias("__v"))
-        records = records.join(fixed, "doc_id", "left").withColumn(field, F.col("__v")).drop("__v")
+        records = records.hint("merge").join(fixed.hint("merge"), "doc_id", "left").withColumn(field, F.col("__v")).drop("__v")
     return records.select("doc_id", *T.FIELDS, "sources")
-
-
-def provenance_counts(fused: DataFrame) -> DataFrame:
-    return fused.groupBy("field", "source").count()
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

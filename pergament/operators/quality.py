@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
+from pergament.functions.numbers import rounded
 
 
 def validate(records: DataFrame) -> DataFrame:
@@ -40,14 +41,14 @@ def schema_summary(checked: DataFrame) -> DataFrame:
 def avg_confidence(boxes: DataFrame, docs: DataFrame | None = None, by: str = "doc_id") -> DataFrame:
     """Q3. Mean of the parsable confidences within [0, 1], rounded to 4; 0 where there is none."""
     score = F.col("confidence").try_cast("double")
-    out = boxes.groupBy(by).agg(F.coalesce(F.round(F.avg(F.when(score.between(0.0, 1.0), score)), 4), F.lit(0.0)).alias("avg_confidence"))
+    out = boxes.groupBy(by).agg(F.coalesce(rounded(F.avg(F.when(score.between(0.0, 1.0), score)), 4), F.lit(0.0)).alias("avg_confidence"))
     if docs is None:
         return out
-    return docs.select(by).distinct().join(out, by, "left").select(by, F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"))
+    return docs.select(by).distinct().hint("merge").join(out.hint("merge"), by, "left").select(by, F.coalesce("avg_confidence", F.lit(0.0)).alias("avg_confidence"))
 
 
 def field_confidences(df: DataFrame) -> DataFrame:
-    """Q4. (doc_id, confidences map) of (doc_id, field, confidence); unparsable is 0, rounded to 4, the first field of a name wins."""
+    """Q4. (doc_id, confidences map) of (doc_id, field, confidence); unparsable is 0, rounded to 4; of repeated fields the largest counts."""
     score = F.round(F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0)), 4)
     one = df.groupBy("doc_id", "field").agg(F.max(score).alias("c"))
     return one.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "c")))).alias("confidences"))

@@ -43,7 +43,7 @@ def select_portrait(faces: DataFrame, images: DataFrame, min_score: float = 0.40
     """
     x1, x2, y1, y2 = (F.floor(F.col("images." + d) * s) for d, s in (("width", 0.02), ("width", 0.37), ("height", 0.25), ("height", 0.94)))
     i = images.alias("images").select("images.*", x1.alias("x1"), x2.alias("x2"), y1.alias("y1"), y2.alias("y2"))
-    f = faces.where(F.col("score") >= min_score).join(i, "image_id")
+    f = faces.where(F.col("score") >= min_score).hint("merge").join(i.hint("merge"), "image_id")
     region = F.col("pass") == "region"
     f = f.withColumns({"left": F.when(region, F.col("left") + F.col("x1")).otherwise(F.col("left")), "right": F.when(region, F.col("right") + F.col("x1")).otherwise(F.col("right")), "top": F.when(region, F.col("top") + F.col("y1")).otherwise(F.col("top")), "bottom": F.when(region, F.col("bottom") + F.col("y1")).otherwise(F.col("bottom"))})
     wide, tall = F.col("right") - F.col("left"), F.col("bottom") - F.col("top")
@@ -104,7 +104,7 @@ def screen_quads(quads: DataFrame, images: DataFrame, most: int = 80, min_area:
     sides of ``floor`` pixels at least; rotate says that the card stands upright.
     """
     w = Window.partitionBy("image_id").orderBy(F.desc("area"), "quad_id")
-    some = quads.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(images, "image_id")
+    some = quads.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).hint("merge").join(images.hint("merge"), "image_id")
     s, d = F.transform("corners", lambda p: p[0] + p[1]), F.transform("corners", lambda p: p[1] - p[0])
     pick = lambda by, value: F.get(F.filter(F.col("corners"), lambda p: by(p) == value), F.lit(0))
     plus, minus = (lambda p: p[0] + p[1]), (lambda p: p[1] - p[0])

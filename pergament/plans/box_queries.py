@@ -10,7 +10,9 @@ from pergament.operators import boxes as B
 from pergament.operators import labels as A
 from pergament.plans import text_queries as TQ
 from pergament.plans import views as V
-from pergament.plans.registry import query
+from pergament.functions.numbers import rounded
+from pergament.plans.registry import query, rounded_sql
+from pergament.sources.scratch import stored
 
 BOX = "doc_id, box_id, text"
 CY, CX = '("top" + bottom) / 2', '("left" + "right") / 2'
@@ -62,11 +64,11 @@ def b6_group_lines(spark, sf_dir):
 
 @query(
     f"""WITH {V.BOXES_SQL} SELECT doc_id, line_no::INT AS line_no, md5(string_agg(text, ' ' ORDER BY "left")) AS text, min("left") AS "left", max("right") AS "right", count(*) AS box_count,
- round(sum(confidence * greatest(("right" - "left") * 20, 1)) / sum(greatest(("right" - "left") * 20, 1)), 4) AS confidence FROM boxes GROUP BY ALL"""
+ {rounded_sql('sum(confidence * greatest(("right" - "left") * 20, 1)) / sum(greatest(("right" - "left") * 20, 1))', 4)} AS confidence FROM boxes GROUP BY ALL"""
 )
 def b7_merge_lines(spark, sf_dir):
     merged = B.merge_lines(V.boxes(spark, sf_dir), "line_no")
-    return merged.select("doc_id", "line_no", F.md5("text").alias("text"), "left", "right", "box_count", F.round("confidence", 4).alias("confidence"))
+    return merged.select("doc_id", "line_no", F.md5("text").alias("text"), "left", "right", "box_count", rounded("confidence", 4).alias("confidence"))
 
 
 @query(f"WITH {V.BOXES_SQL} SELECT doc_id, box_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS row_id FROM boxes")
@@ -80,7 +82,7 @@ def b8_group_rows(spark, sf_dir):
 CARD_BOXES = """SELECT doc_id, line_no * 2 AS box_id, line_no AS row_id, trim(split_part(line, ':', 1)) AS text, 300.0 AS x, 0.95 - (doc_id % 40) / 100.0 AS c FROM lines
 UNION ALL SELECT doc_id, line_no * 2 + 1, line_no, trim(substr(line, length(split_part(line, ':', 1)) + 2)), 330.0 + 8 * length(split_part(line, ':', 1)) + 20.0 * (doc_id % 3), 0.55 + (doc_id % 40) / 100.0 FROM lines WHERE contains(line, ':')"""
 CARD_BOXES_SQL = (
-    TQ.NORMAL_SQL + f""", cb AS ({CARD_BOXES}), cards AS (SELECT doc_id, box_id, row_id, text, x::DOUBLE AS "left", 40.0::DOUBLE * row_id AS top, (x + 8 * length(text))::DOUBLE AS "right", 40.0::DOUBLE * row_id + 24 AS bottom, c::DOUBLE AS confidence FROM cb WHERE text <> '')"""
+    TQ.NORMAL_SQL + f""", cb AS ({CARD_BOXES}), cards AS MATERIALIZED (SELECT doc_id, box_id, row_id, text, x::DOUBLE AS "left", 40.0::DOUBLE * row_id AS top, (x + 8 * length(text))::DOUBLE AS "right", 40.0::DOUBLE * row_id + 24 AS bottom, c::DOUBLE AS confidence FROM cb WHERE text <> '')"""
 )
 
 
@@ -88,8 +90,8 @@ def card_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = TQ.lines_of(spark, sf_dir)
     raw = spark.sql(CARD_BOXES.replace("FROM lines", "FROM {lines}"), lines=lines).where("text <> ''")
     d = lambda c: F.expr(c).cast("double")
-    # read several times by label search, so kept
-    return raw.select("doc_id", F.col("box_id").cast("long").alias("box_id"), F.col("row_id").cast("long").alias("row_id"), "text", d("x").alias("left"), (40.0 * d("row_id")).alias("top"), (d("x") + 8.0 * F.length("text")).alias("right"), (40.0 * d("row_id") + 24).alias("bottom"), d("c").alias("confidence")).persist()
+    # read several times by label search, so written
+    return stored(raw.select("doc_id", F.col("box_id").cast("long").alias("box_id"), F.col("row_id").cast("long").alias("row_id"), "text", d("x").alias("left"), (40.0 * d("row_id")).alias("top"), (d("x") + 8.0 * F.length("text")).alias("right"), (40.0 * d("row_id") + 24).alias("bottom"), d("c").alias("confidence")), "card-boxes")
 
 
 LAGS = 'lag("right") OVER w AS pr, lag("left") OVER w AS pl, lag(text) OVER w AS pt, lag(box_id) OVER w AS pb'
@@ -106,7 +108,7 @@ def b9_segments(spark, sf_dir):
 
 
 @query(
-    f"""WITH {V.BOXES_SQL}, m AS (SELECT doc_id, line_no, word_no // 5 AS seg, string_agg(text, ' ' ORDER BY "left", box_id) AS text, min("left") AS "left", max("right") AS "right", min(top) AS top, round(avg(confidence), 4) AS confidence, count(*) AS source_count FROM boxes GROUP BY ALL)
+    f"""WITH {V.BOXES_SQL}, m AS (SELECT doc_id, line_no, word_no // 5 AS seg, string_agg(text, ' ' ORDER BY "left", box_id) AS text, min("left") AS "left", max("right") AS "right", min(top) AS top, {rounded_sql("avg(confidence)", 4)} AS confidence, count(*) AS source_count FROM boxes GROUP BY ALL)
 SELECT doc_id, md5(text) AS text, "left", "right", confidence, source_count, row_number() OVER (PARTITION BY doc_id ORDER BY top, "left")::INT AS pos FROM m"""
 )
 def b10_merge_segments(spark, sf_dir):
@@ -135,35 +137,15 @@ def b13_regions(spark, sf_dir):
 
 @query(
     f"""WITH {V.BOXES_SQL}, {REGIONS_SQL}, s AS (SELECT doc_id, box_id, text, confidence, "left" * 1000 / (1000 + doc_id % 3 * 500) AS "left", "right" * 1000 / (1000 + doc_id % 3 * 500) AS "right", top * 630 / (630 + doc_id % 2 * 630) AS top, bottom * 630 / (630 + doc_id % 2 * 630) AS bottom FROM boxes)
-SELECT doc_id, region AS field, CASE WHEN region LIKE 'place%' THEN string_agg(text, ', ' ORDER BY {CY}, "left", box_id) ELSE string_agg(text, ' ' ORDER BY {CY}, "left", box_id) END AS raw, round(round(avg(confidence), 4), 2) AS confidence FROM s JOIN regions ON {INSIDE} WHERE region <> 'portrait' GROUP BY doc_id, region"""
+SELECT doc_id, region AS field, CASE WHEN region LIKE 'place%' THEN string_agg(text, ', ' ORDER BY {CY}, "left", box_id) ELSE string_agg(text, ' ' ORDER BY {CY}, "left", box_id) END AS raw, {rounded_sql("avg(confidence)", 4)} AS confidence FROM s JOIN regions ON {INSIDE} WHERE region <> 'portrait' GROUP BY doc_id, region"""
 )
 def b14_template(spark, sf_dir):
     boxes = V.boxes(spark, sf_dir)
     pages = boxes.select("doc_id").distinct().select("doc_id", (1000 + F.col("doc_id") % 3 * 500).alias("page_width"), (630 + F.col("doc_id") % 2 * 630).alias("page_height"))
-    return B.template_fields(boxes, pages).select("doc_id", "field", "raw", F.round("confidence", 2).alias("confidence"))
+    return B.template_fields(boxes, pages).select("doc_id", "field", "raw", "confidence")
 
 
-def close_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.boxes(spark, sf_dir).withColumn("block", F.floor(F.col("word_no") / 6))
-
-
-BLOCKS = V.BOXES_SQL + ", bl AS (SELECT *, word_no // 6 AS block FROM boxes), pr AS (SELECT a.doc_id, a.box_id AS a, b.box_id AS b, a.\"left\" AS al, a.\"right\" AS ar, b.\"left\" AS bl, b.\"right\" AS br FROM bl a JOIN bl b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.block = b.block AND a.box_id <> b.box_id)"
-
-
-@query(
-    f"WITH {BLOCKS} SELECT doc_id, a, b, greatest(bl - ar, al - br, 0)::DOUBLE AS x_gap, 20.0::DOUBLE AS y_overlap, round(abs((al + ar) / 2 - (bl + br) / 2), 6) AS distance, round(greatest(bl - ar, al - br, 0) / 20, 6)::DOUBLE AS x_gap_ratio FROM pr"
-)
-def b15_pair_metrics(spark, sf_dir):
-    m = B.pair_metrics(close_boxes(spark, sf_dir), ("doc_id", "line_no", "block"))
-    return m.select("doc_id", "a", "b", "x_gap", "y_overlap", F.round("distance", 6).alias("distance"), F.round("x_gap_ratio", 6).alias("x_gap_ratio"))
-
-
-@query(f"WITH {BLOCKS} SELECT doc_id, a AS box, b AS other FROM pr WHERE bl + br > al + ar")
-def b16_right_of(spark, sf_dir):
-    return B.relate(close_boxes(spark, sf_dir), "right_of", by=("doc_id", "line_no", "block")).select("doc_id", "box", "other")
-
-
-# the same two over whole lines: every pair of a line with a gap up to REACH, whatever their word numbers
+# pairs over whole lines: every pair of a line with a gap up to REACH, whatever their word numbers
 
 REACH = 200.0
 NEAR_PAIRS = V.BOXES_SQL + f""", pr AS (SELECT a.doc_id, a.box_id AS a, b.box_id AS b, a."left" AS al, a."right" AS ar, b."left" AS bl, b."right" AS br FROM boxes a JOIN boxes b ON a.doc_id = b.doc_id AND a.line_no = b.line_no AND a.box_id <> b.box_id AND greatest(b."left" - a."right", a."left" - b."right", 0) <= {REACH})"""
@@ -172,14 +154,14 @@ NEAR_PAIRS = V.BOXES_SQL + f""", pr AS (SELECT a.doc_id, a.box_id AS a, b.box_id
 @query(
     f"WITH {NEAR_PAIRS} SELECT doc_id, a, b, greatest(bl - ar, al - br, 0)::DOUBLE AS x_gap, 20.0::DOUBLE AS y_overlap, round(abs((al + ar) / 2 - (bl + br) / 2), 6) AS distance, round(greatest(bl - ar, al - br, 0) / 20, 6)::DOUBLE AS x_gap_ratio FROM pr"
 )
-def b15_line_pair_metrics(spark, sf_dir):
+def b15_pair_metrics(spark, sf_dir):
     """Pairs of a line with a horizontal gap up to REACH."""
     m = B.pair_metrics(V.boxes(spark, sf_dir), ("doc_id", "line_no"), within=REACH)
     return m.select("doc_id", "a", "b", "x_gap", "y_overlap", F.round("distance", 6).alias("distance"), F.round("x_gap_ratio", 6).alias("x_gap_ratio"))
 
 
 @query(f"WITH {NEAR_PAIRS} SELECT doc_id, a AS box, b AS other FROM pr WHERE bl + br > al + ar")
-def b16_line_right_of(spark, sf_dir):
+def b16_right_of(spark, sf_dir):
     """Boxes right of a box on its line, with a horizontal gap up to REACH."""
     return B.relate(V.boxes(spark, sf_dir), "right_of", by=("doc_id", "line_no"), within=REACH).select("doc_id", "box", "other")
 
@@ -204,6 +186,42 @@ def b18_prepare(spark, sf_dir):
     return B.prepare_boxes(V.boxes(spark, sf_dir)).select("doc_id", "box_id", "text", "pos")
 
 
+RATIO = lambda x, y, low, high: f'greatest(least({x}."{high}", {y}."{high}") - greatest({x}."{low}", {y}."{low}"), 0) / least({x}."{high}" - {x}."{low}", {y}."{high}" - {y}."{low}")'
+LINE_OF = lambda x, y: f"({RATIO(x, y, 'top', 'bottom')} >= 0.45 OR abs({x}.top - {y}.top) / 24 <= 0.65)"
+BESIDE = lambda c, a, beyond: f"({beyond} AND ({RATIO(c, a, 'top', 'bottom')} >= 0.3 OR {LINE_OF(c, a)}))"
+FARTHER = lambda c, a: f'{c}."left" + {c}."right" > {a}."left" + {a}."right"'
+RELATIONS = {
+    "left_of": BESIDE("a", "b", FARTHER("a", "b")), "left_of_strict": BESIDE("a", "b", 'a."left" >= b."right"'), "right_of_strict": BESIDE("b", "a", 'b."left" >= a."right"'),
+    "above": f"a.top > b.top AND {RATIO('a', 'b', 'left', 'right')} >= 0.2", "below_strict": f"b.top >= a.bottom AND {RATIO('b', 'a', 'left', 'right')} >= 0.2", "same_line": LINE_OF("a", "b"),
+}
+
+
+@query(f"WITH {CARD_BOXES_SQL}, pr AS (SELECT a.doc_id, a.box_id AS box, b.box_id AS other, [" + ", ".join(f"CASE WHEN {on} THEN '{k}' END" for k, on in RELATIONS.items()) + "] AS kinds FROM cards a JOIN cards b ON a.doc_id = b.doc_id AND a.box_id <> b.box_id), ks AS (SELECT doc_id, box, other, unnest(kinds) AS kind FROM pr) SELECT doc_id, box, other, kind FROM ks WHERE kind IS NOT NULL")
+def b16_relations(spark, sf_dir):
+    """The relations that the two queries above leave out, over the boxes of a card."""
+    boxes = card_boxes(spark, sf_dir)
+    parts = [B.relate(boxes, k.removesuffix("_strict"), strict=k.endswith("_strict")).withColumn("kind", F.lit(k)) for k in RELATIONS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"""WITH {CARD_BOXES_SQL} SELECT a.doc_id, a.box_id AS outer_box, b.box_id AS inner_box FROM cards a JOIN cards b ON a.doc_id = b.doc_id AND a.box_id <> b.box_id AND b."left" >= a."left" - 60 AND b."right" <= a."right" + 60 AND b.top >= a.top - 60 AND b.bottom <= a.bottom + 60""")
+def b17_contains_box(spark, sf_dir):
+    return B.contains_box(card_boxes(spark, sf_dir), tolerance=60.0).toDF("doc_id", "outer_box", "inner_box")
+
+
+REGIONS_V1_SQL = "regions(region, x1, y1, x2, y2) AS (VALUES " + ", ".join(f"('{n}', {a}, {b}, {c}, {d})" for n, a, b, c, d in T.REGIONS_V1) + ")"
+
+
+@query(f"""WITH {V.BOXES_SQL}, {REGIONS_V1_SQL} SELECT doc_id, region AS field, CASE WHEN region LIKE 'place%' THEN string_agg(text, ', ' ORDER BY {CY}, "left", box_id) ELSE string_agg(text, ' ' ORDER BY {CY}, "left", box_id) END AS raw, {rounded_sql("avg(confidence)", 4)} AS confidence FROM boxes JOIN regions ON {INSIDE} WHERE region <> 'portrait' GROUP BY doc_id, region""")
+def b14_template_earlier(spark, sf_dir):
+    boxes = V.boxes(spark, sf_dir)
+    pages = boxes.select("doc_id").distinct().select("doc_id", F.lit(1000).alias("page_width"), F.lit(630).alias("page_height"))
+    return B.template_fields(boxes, pages, T.REGIONS_V1).select("doc_id", "field", "raw", "confidence")
+
+
 # ---- label search
 
 

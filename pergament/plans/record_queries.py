@@ -13,8 +13,10 @@ from pergament.operators import quality as Q
 from pergament.operators import vectors as E
 from pergament.plans import text_queries as TQ
 from pergament.plans import views as V
-from pergament.plans.registry import query
+from pergament.plans.registry import query, rounded_sql
 from pergament.sources import io as S
+from pergament.sources.scratch import folder
+from pergament.streaming.records import stream_records
 
 q = TQ.q
 
@@ -52,9 +54,14 @@ def l3_expiry_date(spark, sf_dir):
     return L.expiry_date(TQ.lines_of(spark, sf_dir))
 
 
-@query()
+MISREAD = "CASE doc_id % 4 WHEN 0 THEN replace(line, 'Co gia tri den', 'Duto of erpiry') WHEN 1 THEN replace(line, 'Co gia tri den', 'Co gia un den') ELSE line END"
+
+
+@query(f"""WITH {TQ.NORMAL_SQL}, ml AS (SELECT doc_id, line_no, {MISREAD} AS line FROM lines), near AS (SELECT *, lead(line) OVER w AS next, lead(line, 2) OVER w AS next2 FROM ml WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+{first_sql('dateOfExpiry', f"CASE WHEN regexp_matches(line, {q(T.EXPIRY)}, 'i') OR regexp_matches(line, '^(Duto of erpiry|Co gia un den)') THEN coalesce({TQ.fusion_date_sql('line')}, {TQ.fusion_date_sql('next')}, {TQ.fusion_date_sql('next2')}) END")}""")
 def l3_expiry_fuzzy(spark, sf_dir):
-    return L.expiry_date(TQ.lines_of(spark, sf_dir), fuzzy=True)
+    """Every second card has its expiry label misread."""
+    return L.expiry_date(TQ.lines_of(spark, sf_dir).withColumn("line", F.expr(MISREAD)), fuzzy=True)
 
 
 AFTER_GENDER = f"regexp_replace(regexp_replace(regexp_extract(line, {q('(?is)^.*?' + T.GENDER_LABEL + '(.*)$')}, 1), {q('(?is)' + T.NATIONALITY_LABEL + '.*$')}, ''), '(?i)^\\s*/?\\s*sex\\s*[:;/,-]?\\s*', '')"
@@ -92,15 +99,9 @@ def l5_nationality(spark, sf_dir):
     return L.labelled_nationality(TQ.lines_of(spark, sf_dir))
 
 
-def line_name_sql(c: str) -> str:
-    text = TQ.squeeze_sql(f"regexp_replace(regexp_replace({c}, {q(T.STOP_LABEL_LINE)}, ' ', 'gi'), '[^{TQ.LET}\\s]', ' ', 'g')")
-    kept = f"list_filter(string_split({text}, ' '), lambda w: length(w) > 1 AND NOT list_contains([{', '.join(map(q, T.NOT_NAMES_LINE))}], upper(w)))"
-    return f"CASE WHEN len({kept}) BETWEEN 2 AND 7 THEN upper(array_to_string({kept}, ' ')) END"
-
-
 NAME_SQL = (
-    f"CASE WHEN {has_sql(T.NAME_LABEL)} THEN coalesce({line_name_sql('regexp_extract(line, ' + q('(?is)^(.*?)' + T.NAME_LABEL) + ', 1)')}, "
-    f"{line_name_sql('regexp_extract(line, ' + q('(?is)^.*?' + T.NAME_LABEL + '(.*)$') + ', 1)')}, {line_name_sql('prev')}, {line_name_sql('next')}) END"
+    f"CASE WHEN {has_sql(T.NAME_LABEL)} THEN coalesce({TQ.line_name_sql('regexp_extract(line, ' + q('(?is)^(.*?)' + T.NAME_LABEL) + ', 1)')}, "
+    f"{TQ.line_name_sql('regexp_extract(line, ' + q('(?is)^.*?' + T.NAME_LABEL + '(.*)$') + ', 1)')}, {TQ.line_name_sql('prev')}, {TQ.line_name_sql('next')}) END"
 )
 
 
@@ -166,7 +167,13 @@ def l10_extract(spark, sf_dir):
     return L.extract_by_lines(TQ.lines_of(spark, sf_dir))
 
 
-@query()
+LEGACY_DATE = "nullif(regexp_extract(regexp_replace(regexp_replace(translate(t, 'OoIl', '0011'), '(\\d{2})/(\\d{2})1(\\d{4})', '\\1/\\2/\\3', 'g'), '(\\d{2})/(\\d{2})(\\d{4})', '\\1/\\2/\\3', 'g'), '\\b\\d{2}/\\d{2}/\\d{4}\\b'), '')"
+
+
+@query(f"""WITH {TQ.NORMAL_SQL}, lc AS (SELECT doc_id, line_no, translate(regexp_replace(trim(line), '\\s+', ' ', 'g'), '!|;', '//:') AS line FROM lines), near AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM lc),
+a AS ({first_sql('x', f"CASE WHEN regexp_matches(upper(line), 'FULL NAME|HO VA TEN|HOVA TEN') AND next IS NOT NULL THEN {LEGACY_NAME('next')} END")}), b AS ({first_sql('y', LOUD)}), w AS (SELECT doc_id, string_agg(line, ' ' ORDER BY line_no) AS t FROM lc GROUP BY doc_id)
+SELECT w.doc_id, nullif(regexp_extract(t, '\\b\\d{{12}}\\b'), '') AS idNumber, {LEGACY_DATE} AS dateOfBirth, CASE WHEN regexp_matches(upper(t), '\\bNAM\\b') THEN 'Nam' WHEN contains(upper(t), 'NU') OR contains(upper(t), 'NỮ') THEN 'Nữ' END AS gender,
+ CASE WHEN regexp_matches(upper(t), 'VIET|VICT|NANA') THEN 'Việt Nam' END AS nationality, coalesce(x, y) AS fullName FROM w JOIN a USING (doc_id) JOIN b USING (doc_id)""")
 def l10_extract_legacy(spark, sf_dir):
     return L.extract_by_lines(TQ.lines_of(spark, sf_dir), legacy=True)
 
@@ -211,7 +218,7 @@ def q2_label_schema(spark, sf_dir):
     return Q.check_label_schema(label_rows(spark, sf_dir)).select("doc_id", F.array_join("missing", ",").alias("missing"), F.array_join("legacy", ",").alias("legacy"), "is_valid")
 
 
-@query(f"WITH {V.BOXES_SQL} SELECT doc_id, coalesce(round(avg(confidence * 2 - 0.5) FILTER (confidence * 2 - 0.5 BETWEEN 0 AND 1), 4), 0)::DOUBLE AS avg_confidence FROM boxes GROUP BY doc_id")
+@query(f"WITH {V.BOXES_SQL} SELECT doc_id, coalesce({rounded_sql('avg(confidence * 2 - 0.5) FILTER (confidence * 2 - 0.5 BETWEEN 0 AND 1)', 4)}, 0)::DOUBLE AS avg_confidence FROM boxes GROUP BY doc_id")
 def q3_avg_confidence(spark, sf_dir):
     return Q.avg_confidence(V.boxes(spark, sf_dir).withColumn("confidence", F.col("confidence") * 2 - 0.5))
 
@@ -305,7 +312,7 @@ NAMES_SQL = f"{FUSED_SQL}, nk AS (SELECT *, upper({TQ.FOLD.format(c='value')}) A
 
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Fu.clean_candidates(V.candidates(spark, sf_dir)).where("value <> ''")
+    return Fu.clean_candidates(V.candidates(spark, sf_dir))
 
 
 @query(f"WITH {NAMES_SQL} SELECT doc_id, value, source FROM nn")
@@ -338,16 +345,29 @@ def address_readings(spark: SparkSession, sf_dir: str, field: str) -> tuple[Data
 
 
 PIECES = "list_filter(list_transform(regexp_split_to_array(value, '[,;]'), lambda p: trim(p, ' ,.;:/-')), lambda p: p <> '')"
+TOKENS = "regexp_extract_all(value, '[\\pL\\pN]+|[^\\pL\\pN]+')"
+
+
+def components_sql(field: str, name: str) -> str:
+    """CTE ``name`` (doc_id, value): F6 on a field of ``fused`` and ``cl``."""
+    return f"""al_{name} AS (SELECT doc_id, unnest({PIECES}) AS p FROM cl WHERE field = '{field}' AND value <> ''), ag_{name} AS (SELECT doc_id, {TQ.key_sql('p')} AS k, count(DISTINCT lower(p)) AS n, max(p) AS s FROM al_{name} WHERE regexp_matches(p, '[^\\x00-\\x7F]') GROUP BY ALL),
+ow_{name} AS (SELECT doc_id, unnest(range(0, len({PIECES}))) AS i, unnest({PIECES}) AS p FROM fused WHERE field = '{field}' AND value IS NOT NULL),
+{name} AS (SELECT o.doc_id, string_agg(CASE WHEN n = 1 AND NOT regexp_matches(p, '[^\\x00-\\x7F]') THEN s ELSE p END, ', ' ORDER BY i) AS value FROM ow_{name} o LEFT JOIN ag_{name} g ON o.doc_id = g.doc_id AND {TQ.key_sql('p')} = g.k GROUP BY o.doc_id)"""
 
 
-@query(f"""WITH {FUSED_SQL}, al AS (SELECT doc_id, unnest({PIECES}) AS p FROM cl WHERE field = 'placeOfOrigin' AND value <> ''), ag AS (SELECT doc_id, {TQ.key_sql('p')} AS k, count(DISTINCT lower(p)) AS n, max(p) AS s FROM al WHERE regexp_matches(p, '[^\\x00-\\x7F]') GROUP BY ALL),
-ow AS (SELECT doc_id, unnest(range(0, len({PIECES}))) AS i, unnest({PIECES}) AS p FROM fused WHERE field = 'placeOfOrigin' AND value IS NOT NULL)
-SELECT ow.doc_id, string_agg(CASE WHEN n = 1 AND NOT regexp_matches(p, '[^\\x00-\\x7F]') THEN s ELSE p END, ', ' ORDER BY i) AS value FROM ow LEFT JOIN ag ON ow.doc_id = ag.doc_id AND {TQ.key_sql('p')} = ag.k GROUP BY ow.doc_id""")
+def identifiers_sql(field: str, own: str, name: str) -> str:
+    """CTE ``name`` (doc_id, value): F7 on ``own`` (doc_id, value) with the readings of a field of ``cl``."""
+    return f"""tk_{name} AS (SELECT doc_id, unnest({TOKENS}) AS t FROM cl WHERE field = '{field}' AND value <> ''), ix_{name} AS (SELECT doc_id, translate(lower({TQ.FOLD.format(c='t')}), '8015', 'bois') AS k, count(DISTINCT t) AS n, max(t) AS t FROM tk_{name} WHERE regexp_matches(t, '\\pN') AND regexp_matches(t, '\\pL') GROUP BY ALL),
+wd_{name} AS (SELECT doc_id, unnest(range(0, len({TOKENS}))) AS i, unnest({TOKENS}) AS w FROM ({own})),
+{name} AS (SELECT d.doc_id, string_agg(CASE WHEN n = 1 AND regexp_matches(w, '^[0-9]+$') THEN t ELSE w END, '' ORDER BY i) AS value FROM wd_{name} d LEFT JOIN ix_{name} x ON d.doc_id = x.doc_id AND translate(w, '8015', 'bois') = x.k GROUP BY d.doc_id)"""
+
+
+@query(f"WITH {FUSED_SQL}, {components_sql('placeOfOrigin', 'fixed')} SELECT doc_id, value FROM fixed")
 def f6_components(spark, sf_dir):
     return Fu.restore_components(*address_readings(spark, sf_dir, "placeOfOrigin"))
 
 
-@query()
+@query(f"""WITH {FUSED_SQL}, {identifiers_sql('placeOfResidence', "SELECT doc_id, value FROM fused WHERE field = 'placeOfResidence' AND value IS NOT NULL", 'fixed')} SELECT doc_id, value FROM fixed""")
 def f7_identifiers(spark, sf_dir):
     return Fu.repair_identifiers(*address_readings(spark, sf_dir, "placeOfResidence"))
 
@@ -372,11 +392,31 @@ def f10_valid_name(spark, sf_dir):
     return TQ.lines_of(spark, sf_dir).select("doc_id", "line_no", X.is_valid_name("line").alias("valid"))
 
 
-@query()
+SPELT_SQL = f"""sp AS (SELECT doc_id, count(DISTINCT upper(split_part(value, ' ', 1))) AS n FROM cl WHERE field = 'fullName' AND value <> '' AND upper({TQ.FOLD.format(c="split_part(value, ' ', 1)")}) = 'HO' GROUP BY doc_id),
+nm AS (SELECT doc_id, source, CASE WHEN n >= 2 AND upper({TQ.FOLD.format(c="split_part(value, ' ', 1)")}) = 'HO' THEN 'HỒ' || substr(value, length(split_part(value, ' ', 1)) + 1) ELSE value END AS value FROM nn LEFT JOIN sp USING (doc_id))"""
+ONE_FIELD = ", ".join(f"max(value) FILTER (field = '{f}') AS {f}, max(source) FILTER (field = '{f}') AS s_{f}" for f in T.FIELDS)
+SOURCES_JSON = "'{' || " + " || ',' || ".join(f"'\"{f}\":\"' || " + ("coalesce(nm.source, 'NOT_FOUND')" if f == "fullName" else f"s_{f}") + " || '\"'" for f in T.FIELDS) + " || '}'"
+CONTEXT = f"""CASE WHEN nm.value IS NULL OR coalesce(gender, '') = '' THEN nm.value ELSE array_to_string(list_transform(string_split(nm.value, ' '), lambda x, i: CASE WHEN i = 1 THEN {case_sql('x', T.SURNAMES)} WHEN gender = 'Nữ' THEN {case_sql('x', T.FEMALE_NAMES)} WHEN gender = 'Nam' THEN {case_sql('x', T.MALE_NAMES)} ELSE x END), ' ') END"""
+
+
+@query(f"""WITH {NAMES_SQL.replace(', cl AS (', ', cl AS MATERIALIZED (').replace(', fused AS (', ', fused AS MATERIALIZED (')}, {SPELT_SQL}, {components_sql('placeOfOrigin', 'o1')}, {identifiers_sql('placeOfOrigin', 'SELECT * FROM o1', 'o2')}, {components_sql('placeOfResidence', 'r1')}, {identifiers_sql('placeOfResidence', 'SELECT * FROM r1', 'r2')},
+wide AS (SELECT doc_id, {ONE_FIELD} FROM fused GROUP BY doc_id)
+SELECT wide.doc_id, idNumber, {CONTEXT} AS fullName, dateOfBirth, gender, nationality, {TQ.phrases_sql('o2.value', T.PLACES)} AS placeOfOrigin, {TQ.phrases_sql('r2.value', T.PLACES)} AS placeOfResidence, dateOfExpiry, {SOURCES_JSON} AS sources
+FROM wide LEFT JOIN nm ON wide.doc_id = nm.doc_id LEFT JOIN o2 ON wide.doc_id = o2.doc_id LEFT JOIN r2 ON wide.doc_id = r2.doc_id""")
 def fuse_records(spark, sf_dir):
     return Fu.fuse_records(V.candidates(spark, sf_dir)).withColumn("sources", F.to_json("sources"))
 
 
+PRIORITY_V1_SQL = "prio1(field, source, rank) AS (VALUES " + ", ".join(f"('{f}', '{s}', {k})" for f, order in T.PRIORITIES_V1.items() for k, s in enumerate(order)) + ")"
+
+
+@query(f"""WITH {V.CANDIDATES_SQL}, {PRIORITY_V1_SQL}, rk AS (SELECT * FROM candidates JOIN prio1 USING (field, source) WHERE field IN ('gender', 'idNumber', 'dateOfExpiry', 'placeOfOrigin', 'placeOfResidence') AND value <> ''), bs AS (SELECT doc_id, field, arg_min(value, rank) AS value, arg_min(source, rank) AS source FROM rk GROUP BY ALL),
+dm AS (SELECT k AS doc_id, unnest(['gender', 'idNumber', 'dateOfExpiry', 'placeOfOrigin', 'placeOfResidence']) AS field FROM truth) SELECT doc_id, field, value, coalesce(source, 'NOT_FOUND') AS source FROM dm LEFT JOIN bs USING (doc_id, field)""")
+def f2_fuse_earlier(spark, sf_dir):
+    """The five fields that the earlier rules take as they are."""
+    return Fu.fuse_v1(V.candidates(spark, sf_dir)).where("field NOT IN ('fullName', 'dateOfBirth', 'nationality')")
+
+
 # ---- vectors
 
 
@@ -417,7 +457,7 @@ def e3_portrait(spark, sf_dir):
 SELECT *, crop_right <= crop_left OR crop_bottom <= crop_top AS crop_error FROM c""")
 def e4_crop(spark, sf_dir):
     V.load(spark, sf_dir, "orders")
-    done = E.crop_box(faces(spark, sf_dir).join(spark.sql(IMAGES), "image_id"))
+    done = E.crop_box(faces(spark, sf_dir).hint("merge").join(spark.sql(IMAGES).hint("merge"), "image_id"))
     return done.select("image_id", "pos", "crop_left", "crop_top", "crop_right", "crop_bottom", "crop_error")
 
 
@@ -481,3 +521,27 @@ def s2_intake(spark, sf_dir):
 def s5_decode(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))
     return S.decode_fallback(docs).select(F.col("path").alias("doc_id"), F.md5("text").alias("text"), "charset")
+
+
+NESTED = """'{"sampleId": "' || CAST(k AS STRING) || '", "documentType": "CARD", "fields": {"idNumber": "' || id || '", "fullName": "' || name || '"}}'"""
+LABEL_TEXT = f"""CASE k % 4 WHEN 0 THEN {NESTED} WHEN 1 THEN '{{"sampleId": "' || CAST(k AS STRING) || '", "idNumber": "' || id || '", "fullName": "' || name || '"}}' WHEN 2 THEN char(65279) || {NESTED} ELSE '["' || id || '"]' END"""
+
+
+@query(f"""WITH truth AS ({V.TRUTH}) SELECT k AS path, CASE WHEN k % 4 < 3 THEN CAST(k AS VARCHAR) END AS sample_id, CASE WHEN k % 4 IN (0, 2) THEN 'CARD' END AS document_type, CASE WHEN k % 4 < 3 THEN id END AS idNumber, CASE WHEN k % 4 < 3 THEN name END AS fullName,
+CASE WHEN k % 4 < 3 THEN 2 END::INT AS n_fields, CASE WHEN k % 4 = 3 THEN 'not a JSON object' END AS parse_error FROM truth""")
+def s1_labels(spark, sf_dir):
+    """Label texts of cards: with a fields object, flat, with a byte-order mark, and no object at all."""
+    found = S.parse_labels(V.truth(spark, sf_dir).select(F.col("k").alias("path"), F.expr(LABEL_TEXT.replace("char(65279)", "'\ufeff'")).alias("value")))
+    size = F.when(F.col("fields").isNotNull(), F.size("fields"))
+    return found.select("path", "sample_id", "document_type", F.col("fields")["idNumber"].alias("idNumber"), F.col("fields")["fullName"].alias("fullName"), size.alias("n_fields"), "parse_error")
+
+
+@query(f"WITH {RECORDS_SQL}, v AS (SELECT doc_id, idNumber, gender, {VALID_SQL} AS errors FROM records) SELECT doc_id, idNumber, gender, array_to_string(errors, '; ') AS errors, len(errors) = 0 AS is_valid FROM v")
+def s6_stream(spark, sf_dir):
+    """Cards that arrive as files, run through the stream; the SQL is that of the batch form."""
+    base = folder(spark, "arrivals")
+    packed = V.cards(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line).alias("lines"))
+    packed.select("doc_id", F.lit("2024-01-01 00:00:00").alias("arrived"), "lines").write.json(f"{base}/in")
+    stream_records(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    done = spark.read.parquet(f"{base}/out")
+    return done.select("doc_id", "idNumber", "gender", F.array_join("errors", "; ").alias("errors"), "is_valid")

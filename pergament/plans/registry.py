@@ -18,3 +18,8 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def rounded_sql(c: str, digits: int) -> str:
+    """``numbers.rounded`` in DuckDB."""
+    return f"round(({c})::DECIMAL(28, 10), {digits})::DOUBLE"

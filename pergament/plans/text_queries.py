@@ -8,6 +8,7 @@ from pergament.functions import tables as T
 from pergament.functions import text as X
 from pergament.operators import labels as A
 from pergament.operators import lines as L
+from pergament.operators.cleaning import clean_columns
 from pergament.plans import views as V
 from pergament.plans.registry import query
 
@@ -43,12 +44,12 @@ def normalize_sql(c: str) -> str:
 
 
 #: Normalised card lines, renumbered; used by all line queries.
-NORMAL_SQL = V.CARDS_SQL + f", n0 AS (SELECT doc_id, line_no AS place, {normalize_sql('line')} AS line FROM raw_cards), lines AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS line_no, line FROM n0 WHERE line <> '')"
+NORMAL_SQL = V.CARDS_SQL + f", n0 AS (SELECT doc_id, line_no AS place, {normalize_sql('line')} AS line FROM raw_cards), lines AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS line_no, line FROM n0 WHERE line <> '')"
 
 
 def lines_of(spark, sf_dir):
-    rows = V.cards(spark, sf_dir).withColumn("line", X.normalize_text("line", compose=False)).where("line <> ''").withColumnRenamed("line_no", "at")
-    return L.renumber(rows)
+    rows = X.kept(V.cards(spark, sf_dir), "line", X.normalize_text("line", compose=False), X.filled)
+    return L.renumber(rows.withColumnRenamed("line_no", "at"))
 
 
 @query(f"WITH {V.CARDS_SQL} SELECT doc_id, line_no::INT AS line_no, {normalize_sql('line')} AS line FROM raw_cards")
@@ -192,10 +193,14 @@ def t12_labels(spark, sf_dir):
     return lines.select("doc_id", "line_no", X.strip_labels("line", "dateOfBirth").alias("anywhere"), X.strip_labels("line", "dateOfBirth", "after").alias("after_"), X.strip_labels("line", "dateOfBirth", "before").alias("before_"))
 
 
-@query()
+# an e with acute accent as the code page 437 shows its two UTF-8 bytes; a text with any other accent has no way back
+ONLY_ACUTE = "regexp_matches(text, '^[\\x00-\\x7Fé]*$')"
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN {ONLY_ACUTE} THEN text ELSE replace(text, 'é', '├⌐') END) AS repaired FROM documents")
 def t13_mojibake(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.md5(X.repair_mojibake("text")).alias("repaired"))
+    return docs.select("doc_id", F.md5(X.repair_mojibake(F.replace("text", F.lit("é"), F.lit("├⌐")))).alias("repaired"))
 
 
 @query("SELECT doc_id, CASE WHEN lower(trim(source)) NOT IN ('', 'none', 'null', 'unknown', 'not found') THEN trim(source) END AS source, CASE WHEN lower(trim(lang)) NOT IN ('', 'none', 'null', 'unknown', 'not found') THEN trim(lang) END AS lang FROM documents")
@@ -229,3 +234,61 @@ s AS (SELECT text, field, alias, {similarity_sql('x', 'y', 'u', 'v')} AS s, leas
 def t16_similarity(spark, sf_dir):
     texts = lines_of(spark, sf_dir).select(F.trim(F.split_part("line", F.lit(":"), F.lit(1))).alias("text"))
     return A.label_scores(texts, A.label_table(spark), "levenshtein").select("text", "field", "alias", F.round("similarity", 6).alias("similarity"))
+
+
+# ---- profiles that the queries above leave out
+
+def _prefix_sql(c: str, names: tuple[str, ...]) -> str:
+    for a in names:
+        c = f"regexp_replace({c}, {q('^' + chr(92) + 's*' + X.quoted(a) + chr(92) + 's*[:/' + chr(92) + '-]*' + chr(92) + 's*')}, '', 'i')"
+    return c
+
+
+def line_name_sql(c: str) -> str:
+    text = squeeze_sql(f"regexp_replace(regexp_replace({c}, {q(T.STOP_LABEL_LINE)}, ' ', 'gi'), '[^{LET}\\s]', ' ', 'g')")
+    kept = f"list_filter(string_split({text}, ' '), lambda w: length(w) > 1 AND NOT list_contains([{', '.join(map(q, T.NOT_NAMES_LINE))}], upper(w)))"
+    return f"CASE WHEN len({kept}) BETWEEN 2 AND 7 THEN upper(array_to_string({kept}, ' ')) END"
+
+
+@query(f"""WITH {V.CANDIDATES_SQL} SELECT doc_id, source, {line_name_sql('value')} AS line, upper({squeeze_sql(f"regexp_replace(value, '[^{LET}{chr(92)}s]', '', 'g')")}) AS legacy,
+ trim({squeeze_sql(f"regexp_replace({_prefix_sql('trim(value)', T.ALIASES['fullName'])}, '[^{LET}{chr(92)}s''-]', ' ', 'g')")}, ' :-/') AS layout FROM candidates WHERE field = 'fullName' AND value IS NOT NULL""")
+def t8_profiles(spark, sf_dir):
+    some = V.candidates(spark, sf_dir).where("field = 'fullName' AND value IS NOT NULL")
+    return some.select("doc_id", "source", *(X.clean_name("value", p).alias(p) for p in ("line", "legacy", "layout")))
+
+
+GENDER_WORD = f"regexp_replace(lower({_prefix_sql('trim(value)', T.ALIASES['gender'])}), '[^a-zà-ỹđ]', '', 'g')"
+
+
+@query(f"""WITH {V.CANDIDATES_SQL}, g AS (SELECT *, {GENDER_WORD} AS w FROM candidates WHERE field = 'gender') SELECT doc_id, source, {gender_sql('value', [w for w in T.FEMALE_WORDS if w != 'nuu'])} AS field_,
+ CASE WHEN w IN ('nam', 'male') THEN 'Nam' WHEN w IN ('nu', 'nữ') OR contains(w, 'female') THEN 'Nữ' WHEN contains(w, 'male') THEN 'Nam' WHEN contains(w, 'nu') THEN 'Nữ' WHEN contains(w, 'nam') THEN 'Nam' ELSE {squeeze_sql('value')} END AS layout FROM g""")
+def t9_profiles(spark, sf_dir):
+    some = V.candidates(spark, sf_dir).where("field = 'gender'")
+    return some.select("doc_id", "source", X.canon_gender("value", "field").alias("field_"), X.canon_gender("value", "layout").alias("layout"))
+
+
+NATION_LAYOUT = f"trim({squeeze_sql(_prefix_sql('trim(value)', T.ALIASES['nationality']))}, ' :-/')"
+
+
+@query(f"""WITH {V.CANDIDATES_SQL}, n AS (SELECT *, {NATION_LAYOUT} AS lv, regexp_replace(lower({FOLD.format(c='value')}), '[^a-z]', '', 'g') AS w FROM candidates WHERE field = 'nationality')
+SELECT doc_id, source, CASE WHEN regexp_matches(upper(value), 'VIET|VICT|NANA') THEN 'Việt Nam' END AS legacy, CASE WHEN regexp_matches(w, 'vietna[mn]') OR w IN ('vn', 'vnm') THEN 'Việt Nam' WHEN length(w) >= 4 THEN {squeeze_sql('value')} END AS v1,
+ CASE WHEN regexp_replace(lower(lv), '[^a-z]', '', 'g') IN ('vietnam', 'vietnan', 'vietnarn', 'victnam') THEN 'Việt Nam' ELSE lv END AS layout FROM n""")
+def t10_profiles(spark, sf_dir):
+    some = V.candidates(spark, sf_dir).where("field = 'nationality'")
+    return some.select("doc_id", "source", *(X.canon_nationality("value", p).alias(p) for p in ("legacy", "v1", "layout")))
+
+
+@query(f"""WITH {NORMAL_SQL}, f AS (SELECT *, CASE WHEN regexp_matches(line, {q(T.BIRTH_LABEL)}, 'i') THEN regexp_extract(line, {q('(?is)^(.*?)' + T.BIRTH_LABEL)}, 1) || regexp_extract(line, {q('(?is)^.*?' + T.BIRTH_LABEL + '(.*)$')}, 1) ELSE line END AS r FROM lines)
+SELECT doc_id, line_no::INT AS line_no, trim(regexp_replace(regexp_replace(r, '(?i)^\\s*/?\\s*(?:full\\s*name|date\\s*of\\s*birth|sex|nationality|place\\s*of\\s*origin|place\\s*of\\s*residence)\\s*:?\\s*', ''), '^[\\s:;/,-]+', '')) AS first_,
+ {_prefix_sql('trim(line)', T.ALIASES['dateOfBirth'])} AS prefix FROM f""")
+def t12_modes(spark, sf_dir):
+    lines = lines_of(spark, sf_dir)
+    return lines.select("doc_id", "line_no", X.strip_labels("line", "dateOfBirth", "first").alias("first_"), X.strip_labels("line", "dateOfBirth", "prefix").alias("prefix"))
+
+
+@query("""WITH n AS (SELECT *, CASE WHEN lower(trim(source)) NOT IN ('', 'none', 'null', 'unknown', 'not found') THEN trim(source) END AS s, translate(upper(text), 'OILSB', '01158') AS d FROM documents)
+SELECT 'source' AS column_name, 1 AS step, 'null_tokens' AS rule, count(*) AS rows, count(*) FILTER (source IS DISTINCT FROM s) AS changed, count(*) FILTER (source IS NOT NULL AND s IS NULL) AS nulled FROM n
+UNION ALL SELECT 'text', 1, 'digits', count(*), count(*) FILTER (text IS DISTINCT FROM d), count(*) FILTER (text IS NOT NULL AND d IS NULL) FROM n""")
+def clean_columns_report(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return clean_columns(docs, {"source": [("null_tokens",)], "text": [("digits", "layout")]})[1]

@@ -113,8 +113,8 @@ BOXES_SQL = """lines0 AS (SELECT doc_id, unnest(range(0, len(string_split(text,
 words0 AS (SELECT doc_id, line_no, list_filter(string_split(line, ' '), lambda x: x <> '') AS w FROM lines0),
 flat0 AS (SELECT doc_id, line_no, unnest(range(0, len(w))) AS word_no, unnest(w) AS text FROM words0),
 at0 AS (SELECT *, 8.0::DOUBLE * coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY word_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM flat0),
-boxes AS (SELECT doc_id, line_no * 100000 + word_no AS box_id, line_no, word_no, text, l AS "left", 24.0::DOUBLE * line_no AS top, l + 8.0::DOUBLE * length(text) AS "right", 24.0::DOUBLE * line_no + 20 AS bottom, ((doc_id * 31 + line_no * 7 + word_no * 13) % 100) / 100.0::DOUBLE AS confidence FROM at0)"""
-BOXES_TWICE_SQL = BOXES_SQL + """, boxes2 AS (SELECT * FROM boxes UNION ALL SELECT doc_id, box_id + 50000, line_no, word_no, text, "left" + 1, top, "right" + 1, bottom, confidence / 2 FROM boxes WHERE (line_no + word_no) % 7 = 0)"""
+boxes AS MATERIALIZED (SELECT doc_id, line_no * 100000 + word_no AS box_id, line_no, word_no, text, l AS "left", 24.0::DOUBLE * line_no AS top, l + 8.0::DOUBLE * length(text) AS "right", 24.0::DOUBLE * line_no + 20 AS bottom, ((doc_id * 31 + line_no * 7 + word_no * 13) % 100) / 100.0::DOUBLE AS confidence FROM at0)"""
+BOXES_TWICE_SQL = BOXES_SQL + """, boxes2 AS MATERIALIZED (SELECT * FROM boxes UNION ALL SELECT doc_id, box_id + 50000, line_no, word_no, text, "left" + 1, top, "right" + 1, bottom, confidence / 2 FROM boxes WHERE (line_no + word_no) % 7 = 0)"""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

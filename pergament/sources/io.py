@@ -18,12 +18,12 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     Both {"fields": {...}} and flat objects; a leading byte-order mark is accepted; anything
     that is no JSON object is a row with parse_error.
     """
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    return parse_labels(files)
+    return parse_labels(spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def parse_labels(files: DataFrame) -> DataFrame:
-    """S1 for (path, value) rows."""
+    """S1 for (path, value) rows; null values are no objects either."""
+    files = files.withColumn("value", F.regexp_replace("value", "^﻿", ""))
     root = F.from_json("value", "map<string,string>", {"mode": "PERMISSIVE"})
     good = F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull()
     nested = F.from_json(F.get_json_object("value", "$.fields"), "map<string,string>")
@@ -68,15 +68,40 @@ def explode_boxes(df: DataFrame, column: str = "items", key: str = "doc_id", nor
         zipped = F.slice(F.arrays_zip(c["texts"].alias("t"), c["scores"].alias("s"), c["boxes"].alias("b")), 1, F.greatest(n, F.lit(0)))
         rows = df.select(key, F.posexplode(zipped).alias("box_id", "i")).select(key, "box_id", F.col("i.t").alias("original_text"), F.col("i.s").alias("confidence"), F.col("i.b").alias("corners"))
     text = X.normalize_text("original_text") if normalize else F.trim("original_text")
-    return rows.withColumn("text", text).where("text <> ''").select(key, "box_id", "text", "original_text", "confidence", "corners")
+    return X.kept(rows, "text", text, X.filled).select(key, "box_id", "text", "original_text", "confidence", "corners")
 
 
 # ---- S4
 
 
+DETAILS = ("raw_text", "text_boxes", "field_results", "metadata")
+
+
 def as_success_record(df: DataFrame) -> DataFrame:
-    """S4. (doc_id, status, data struct, is_valid, errors, metadata) of validated records."""
-    return df.select("doc_id", F.lit("success").alias("status"), F.struct(*T.FIELDS).alias("data"), "is_valid", "errors")
+    """S4. (doc_id, status, data struct, is_valid, errors) of validated records, and any of DETAILS that ``df`` has."""
+    more = [c for c in DETAILS if c in df.columns]
+    return df.select("doc_id", F.lit("success").alias("status"), F.struct(*T.FIELDS).alias("data"), "is_valid", "errors", *more)
+
+
+def with_details(df: DataFrame, lines: DataFrame | None = None, boxes: DataFrame | None = None, fields: DataFrame | None = None, metadata: DataFrame | None = None) -> DataFrame:
+    """S4. Adds what a result document also holds, for ``as_success_record``; each table is packed by document.
+
+    raw_text: lines(doc_id, line_no, line) in order. text_boxes: boxes(doc_id, box_id, text,
+    confidence, edges). field_results: fields(doc_id, field, value, source). metadata: the
+    other columns of metadata(doc_id, ...), one row a document. Documents without rows have null.
+    """
+    packed = []
+    if lines is not None:
+        packed.append(lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line).alias("raw_text")))
+    if boxes is not None:
+        packed.append(boxes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("box_id", "text", "confidence", "left", "top", "right", "bottom"))).alias("text_boxes")))
+    if fields is not None:
+        packed.append(fields.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("field", "value", "source"))).alias("field_results")))
+    if metadata is not None:
+        packed.append(metadata.select("doc_id", F.struct(*(c for c in metadata.columns if c != "doc_id")).alias("metadata")))
+    for table in packed:
+        df = df.hint("merge").join(table.hint("merge"), "doc_id", "left")
+    return df
 
 
 def as_error_record(df: DataFrame) -> DataFrame:
@@ -87,7 +112,7 @@ def as_error_record(df: DataFrame) -> DataFrame:
 
 def write_results(success: DataFrame, failed: DataFrame, path: str, kind: str = "parquet") -> None:
     """S4. One table partitioned by status."""
-    rows = as_success_record(success).unionByName(as_error_record(failed))
+    rows = as_success_record(success).unionByName(as_error_record(failed), allowMissingColumns=True)
     rows.write.partitionBy("status").format(kind).save(path)
 
 

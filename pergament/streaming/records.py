@@ -17,7 +17,7 @@ ARRIVAL = "doc_id long, arrived timestamp, lines array<string>"
 def records_of(arrivals: DataFrame) -> DataFrame:
     """Records of a bounded table of arrivals: T4, L10 and Q1, one row per document."""
     rows = arrivals.select("doc_id", F.posexplode("lines").alias("at", "line"))
-    lines = L.renumber(rows.withColumn("line", X.normalize_text("line")).where("line <> ''"))
+    lines = L.renumber(X.kept(rows, "line", X.normalize_text("line"), X.filled))
     return Q.validate(L.extract_by_lines(lines))
 
 

@@ -48,5 +48,5 @@ def test_other_queries_run(spark, small, name):
 
 
 def test_line_pairs_cross_word_six(spark, small):
-    found = {(r["box"] % 100_000, r["other"] % 100_000) for r in QUERIES["b16_line_right_of"](spark, small).collect()}
+    found = {(r["box"] % 100_000, r["other"] % 100_000) for r in QUERIES["b16_right_of"](spark, small).collect()}
     assert (5, 6) in found and (11, 12) in found
