@@ -151,6 +151,12 @@ def replace_tolerant(c: Column, pattern: str, new: str, flags: str = "") -> Colu
     return F.when(c.rlike(ASCII), plain).otherwise(F.regexp_replace(c, (f"(?{flags})" if flags else "") + tolerant(pattern), new))
 
 
+def some_phrase(phrases: tuple[tuple[str, str], ...]) -> str:
+    """One pattern that every folded text with a phrase fits; looked for at word starts with a right first letter."""
+    bare = [p.removeprefix(r"\b").replace(r"\b", "") for p, _ in phrases]
+    return r"(?i)\b(?=[" + "".join(sorted({p[0] for p in bare})) + "])(?:" + "|".join(bare) + ")"
+
+
 def replace_ordered(c: Column | str, phrases: tuple[tuple[str, str], ...]) -> Column:
     """Replace accent- and case-insensitive patterns in their order, the text around them untouched.
 
@@ -162,7 +168,7 @@ def replace_ordered(c: Column | str, phrases: tuple[tuple[str, str], ...]) -> Co
     def chain(x: Column, form) -> Column:
         return reduce(lambda y, k: F.regexp_replace(y, form(phrases[k][0]), new[k]), range(len(phrases)), x)
 
-    some = "(?i)" + "|".join("(?:" + p.replace(r"\b", "") + ")" for p, _ in phrases)
+    some = some_phrase(phrases)
 
     def replaced(x: Column) -> Column:
         return F.when(~fold(x).rlike(some), x).when(x.rlike(ASCII), chain(x, lambda p: "(?i)" + p)).otherwise(chain(x, tolerant))
@@ -225,6 +231,10 @@ def normalize_text(c: Column | str, compose: bool = True) -> Column:
 
 
 def _normalized(c: Column) -> Column:
+    return F.when(c.rlike(ASCII), _normalized_ascii(c)).otherwise(_normalized_any(c))
+
+
+def _normalized_any(c: Column) -> Column:
     c = F.translate(c, "_|\u2013\u2014", " /--")
     c = squeeze(F.regexp_replace(c, r"\p{C}", ""))
     c = F.regexp_replace(c, r"(?U)\s+([,.:;])", "$1")
@@ -234,6 +244,24 @@ def _normalized(c: Column) -> Column:
     return squeeze(space_slashes(join_dates(c)))
 
 
+CONTROLS = "".join(map(chr, [*range(32), 127]))
+
+
+def _normalized_ascii(c: Column) -> Column:
+    """The same for ASCII text, whose only white space is the space once control characters are gone."""
+
+    def spaced(x: Column) -> Column:
+        return F.trim(F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, "  +", " ")).otherwise(x))
+
+    def slashes(x: Column) -> Column:
+        joined = F.regexp_replace(x, r"(?<=\d) */ *(?=\d)", "/")
+        return F.when(F.contains(x, F.lit("/")), F.regexp_replace(joined, r"(?<=[A-Za-z]) */ *(?=[A-Za-z])", " / ")).otherwise(x)
+
+    bare = let(F.translate(c, "_|" + CONTROLS, " /"), spaced)
+    parted = F.regexp_replace(F.regexp_replace(bare, " ([,.:;])", "$1"), r"([,:;])(?=[A-Za-z0-9])", "$1 ")
+    return let(let(parted, slashes), lambda x: F.when(~x.rlike(some_phrase(T.PHRASES)), spaced(x)).otherwise(squeeze(space_slashes(join_dates(replace_phrases(x))))))
+
+
 # ---- T5: digits
 
 
@@ -260,8 +288,7 @@ def date_of(day: Column, month: Column, year: Column) -> Column:
 
 def real_date(c: Column, low: int = 1, high: int = 9999) -> Column:
     """The DD/MM/YYYY string where it is a calendar date within the years, else null."""
-    parsed = F.try_to_date(c, "d/M/yyyy")
-    return F.when(parsed.isNotNull() & F.year(parsed).between(low, high), c)
+    return let(c, lambda x: F.when(let(F.year(F.try_to_date(x, "d/M/yyyy")), lambda y: y.between(low, high)), x))
 
 
 def eight(digits: Column) -> Column:
@@ -292,9 +319,7 @@ def _date(c: Column, profile: str) -> Column:
     if profile == "layout":
         return let(F.regexp_replace(F.translate(F.trim(c), ".-\\", "///"), r"(?U)\s*/\s*", "/"), _layout_date)
     if profile in ("line", "expiry"):
-        d, m, y = parts_of(c, r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b")
-        inside = F.lpad(d, 2, "0").between("01", "31") & F.lpad(m, 2, "0").between("01", "12") & (y >= "1900")
-        return F.when(d != "", real_date(date_of(d, m, y))) if profile == "expiry" else F.when((d != "") & inside, date_of(d, m, y))
+        return let(F.regexp_extract(c, r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b", 0), lambda x: F.when(x != "", _line_date(x, profile)))
     if profile == "legacy":
         text = F.translate(c, "OoIl", "0011")
         text = F.regexp_replace(text, r"(\d{2})/(\d{2})1(\d{4})", "$1/$2/$3")
@@ -308,6 +333,17 @@ def _date(c: Column, profile: str) -> Column:
     raise ValueError(f"unknown date profile {profile!r}")
 
 
+def _line_date(found: Column, profile: str) -> Column:
+    """Of day, month and year between slashes or dashes: calendar-checked (expiry), or bounded with a year from 1900 (line)."""
+    p = F.split(found, "[/-]")
+
+    def bounded(x: Column) -> Column:
+        return F.when(F.substring(x, 1, 2).between("01", "31") & F.substring(x, 4, 2).between("01", "12") & (F.substring(x, 7, 4) >= "1900"), x)
+
+    whole = let(p, lambda q: date_of(q[0], q[1], q[2]))
+    return real_date(whole) if profile == "expiry" else let(whole, bounded)
+
+
 def compact_date(digits: Column) -> Column:
     """The date of eight digits, or of nine of which one is too many."""
 
@@ -321,9 +357,9 @@ def compact_date(digits: Column) -> Column:
 
 
 def _fusion_date(text: Column) -> Column:
-    d, m, y = parts_of(text, r"(?<!\d)(\d{1,2})[./\\-](\d{1,2})[./\\-](\d{4})(?!\d)")
-    split = F.when(d != "", real_date(date_of(d, m, y), 1900, 2100))
-    return F.coalesce(split, let(F.regexp_replace(text, r"\D", ""), compact_date))
+    found = F.regexp_extract(text, r"(?<!\d)\d{1,2}[./\\-]\d{1,2}[./\\-]\d{4}(?!\d)", 0)
+    parted = let(F.split(found, r"[./\\-]"), lambda q: F.when(F.size(q) == 3, date_of(q[0], q[1], q[2])))
+    return F.coalesce(real_date(parted, 1900, 2100), let(F.regexp_replace(text, r"\D", ""), compact_date))
 
 
 def _field_date(text: Column) -> Column:
@@ -369,17 +405,14 @@ def _clean_name(c: Column, profile: str) -> Column:
     if profile in ("fusion", "line"):
         if profile == "fusion":
             words = F.regexp_extract_all(before_label(c), F.lit(r"[\p{L}\p{Nl}\p{Mn}]+"), F.lit(0))
-            stop = F.array(*map(F.lit, T.NOT_NAMES))
-            kept = F.filter(words, lambda w: ~F.array_contains(stop, F.upper(fold(w))) & (F.length(fold(w)) > 1))
+            kept = F.filter(words, lambda w: let(fold(w), lambda x: ~F.upper(x).isin(*T.NOT_NAMES) & (F.length(x) > 1)))
         else:
             text = F.regexp_replace(F.regexp_replace(c, "(?i)" + T.STOP_LABEL_LINE, " "), r"[^A-Za-z\u00C0-\u1EF9\s]", " ")
-            stop = F.array(*map(F.lit, T.NOT_NAMES_LINE))
-            kept = F.filter(F.split(squeeze(text), " "), lambda w: ~F.array_contains(stop, F.upper(w)) & (F.length(w) > 1))
-        return F.when(F.size(kept).between(2, 7), F.upper(F.array_join(kept, " ")))
+            kept = F.filter(F.split(squeeze(text), " "), lambda w: ~F.upper(w).isin(*T.NOT_NAMES_LINE) & (F.length(w) > 1))
+        return let(kept, lambda k: F.when(F.size(k).between(2, 7), F.upper(F.array_join(k, " "))))
     if profile == "field":
         words = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{Nl}]+"), F.lit(0))
-        name = F.array_join(words, " ")
-        return F.when((F.length(name) >= 3) & (F.size(words) >= 2), F.upper(name))
+        return let(words, lambda w: F.when((F.length(F.array_join(w, " ")) >= 3) & (F.size(w) >= 2), F.upper(F.array_join(w, " "))))
     if profile == "layout":
         text = strip_labels(c, "fullName", "prefix")
         return strip_chars(squeeze(F.regexp_replace(text, r"[^A-Za-z\u00C0-\u1EF9Đđ\s'-]", " ")), " :-/")
@@ -459,11 +492,13 @@ def clean_address(c: Column | str, profile: str = "fusion") -> Column:
 def _clean_address(c: Column, profile: str) -> Column:
     if profile == "fusion":
         def piece(p: Column) -> Column:
+            """Nothing of a piece with an expiry label but what follows the date after it."""
             repaired = fix_digits(p, "fusion")
             tail = F.substring(p, F.length(F.regexp_extract(repaired, r"(?s)^(.*?" + DATE_RUN + ")", 1)) + 1, F.length(p))
             head = F.regexp_extract(repaired, r"(?s)^(.*?)" + DATE_RUN, 1)
             labelled = F.rlike(fold(F.substring(p, F.lit(1), F.length(head))), F.lit("(?i)" + T.EXPIRY))
-            return F.when(repaired.rlike(DATE_RUN) & labelled, tail).when(F.rlike(fold(p), F.lit("(?i)" + T.EXPIRY)), "").otherwise(p)
+            rest = F.when(repaired.rlike(DATE_RUN) & labelled, tail).otherwise("")
+            return F.when(F.rlike(fold(p), F.lit("(?i)" + T.EXPIRY)), rest).otherwise(p)
 
         kept = F.filter(F.transform(F.split(c, "[,;]"), piece), lambda p: strip_chars(p, " :/-") != "")
         text = F.array_join(kept, ", ")
@@ -613,7 +648,10 @@ def is_valid_address(c: Column | str, origin: bool = False) -> Column:
 
 
 def _valid_address(plain: Column, origin: bool) -> Column:
-    words = F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0))
+    return let(F.struct(plain.alias("plain"), F.regexp_extract_all(plain, F.lit("[a-z0-9]+"), F.lit(0)).alias("words")), lambda s: _valid_words(s.plain, s.words, origin))
+
+
+def _valid_words(plain: Column, words: Column, origin: bool) -> Column:
     good = (F.size(words) >= 3) & (F.size(F.filter(words, lambda w: F.length(w) == 1)) < 3) & ~F.arrays_overlap(words, F.array(*map(F.lit, T.NOISE_WORDS)))
     good &= ~reduce(lambda x, y: x | y, (plain.contains(x) for x in T.NOT_ADDRESS_LABELS))
     if origin:
