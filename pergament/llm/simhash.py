@@ -10,8 +10,8 @@ product of blocks, the threshold is shared among the blocks, so few replicas suf
 Equal fingerprints are one node from the start. Each anchor emits a spanning forest of the
 links it found, never all pairs; connected components follow from these edges.
 
-``cluster`` holds pairs to an exact shingle similarity instead: fingerprints and band keys
-only propose pairs, and each link is checked on the two shingle sets before it counts.
+``cluster`` holds pairs to an exact shingle similarity instead: band keys bring documents
+together, and each link is checked on the two shingle sets before it counts.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ BANDS, BAND_ROWS = 24, 5
 # Of 256 bits a pair of similarity 0.8 differs in 42 on average, 48 for very short texts, with a deviation of 6.
 FAR = 68
 MOST = 16_384  # rows of a cell that are compared in one task; larger cells are cut into blocks
+HASHES = 1 << 21  # shingle hashes of a block on either side, 16 MB
 
 
 class Golay:
@@ -176,15 +177,16 @@ def by_cell(rows: DataFrame, n_keys: int, found: Callable, schema: str) -> DataF
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def dealt(rows: DataFrame, cell: str, left: str) -> DataFrame:
+def dealt(rows: DataFrame, cell: str, left: str, weight: Column, most: int) -> DataFrame:
     """Rows with block numbers i and j and a flag ``right``; every left row meets every row of its cell in one block.
 
-    A cell with up to MOST rows is one block in which each row is on both sides. A larger
-    one is a grid: its left rows are split into parts i, all its rows into parts j, by the
-    hash of the node, and each pair of parts is a block of its own. ``rows`` is a written table.
+    A cell whose rows weigh up to ``most`` is one block in which each row is on both sides.
+    A heavier one is a grid: its left rows are split into parts i, all its rows into parts
+    j, by the hash of the node, and each pair of parts is a block of its own. ``rows`` is a
+    written table.
     """
-    sizes = rows.groupBy(cell).agg(F.count_if(left).alias("lefts"), F.count("*").alias("alls")).where(F.col("alls") > MOST)
-    parts = [F.ceil(F.col(n) / MOST).cast("int").alias(m) for n, m in (("lefts", "is"), ("alls", "js"))]
+    sizes = rows.groupBy(cell).agg(F.sum(F.when(F.col(left), weight).otherwise(0)).alias("lefts"), F.sum(weight).alias("alls")).where(F.col("alls") > most)
+    parts = [F.ceil(F.col(n) / most).cast("int").alias(m) for n, m in (("lefts", "is"), ("alls", "js"))]
     hot = common.save(sizes.select(cell, *parts), "hot-cells")
     one = F.lit(0)
     if hot.isEmpty():
@@ -251,7 +253,7 @@ def links(nodes: DataFrame, bands: list[list[list[int]]], threshold: int, limit:
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     replicas = common.save(nodes.select("node", *names).mapInArrow(replicate, schema), "replicas")
-    blocks = dealt(replicas, "anchor", "home").select("anchor", "i", "j", "home", "right", "node", *names)
+    blocks = dealt(replicas, "anchor", "home", F.lit(1), MOST).select("anchor", "i", "j", "home", "right", "node", *names)
     found = by_cell(blocks, 3, forests, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -259,31 +261,36 @@ def links(nodes: DataFrame, bands: list[list[list[int]]], threshold: int, limit:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node on an edge.
 
-    Alternating large-star and small-star rounds; each round is a written table, so a lost
-    executor costs one round. The number of rounds grows with the logarithm of the longest
-    path. Minima are combined before the shuffle and written, so the joins are plain
-    sort-merge joins, whose large partitions Spark splits where a node has very many
-    neighbours.
+    Alternating large-star and small-star rounds; each half is a written table, so a lost
+    executor costs half a round. The number of rounds grows with the logarithm of the
+    longest path. Minima are combined before the shuffle. Few of them, by the number of
+    edges, are broadcast; more are written, so that the joins are plain sort-merge joins,
+    whose large partitions Spark splits where a node has very many neighbours.
     """
     edges = common.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
+    def joined(df: DataFrame, low: DataFrame, n: int) -> DataFrame:
+        if 2 * n <= common.FEW_ROWS:  # two nodes an edge
+            return df.join(F.broadcast(low), "u")
+        return df.hint("merge").join(common.save(low, "lowest").hint("merge"), "u")
+
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = common.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
-        large = both.where("v > u").hint("merge").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = joined(both.where("v > u"), low, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = common.save(large, "edges")
-        low = common.save(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
-        small = large.hint("merge").join(low.hint("merge"), "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        edges = common.save(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
-        after = state(edges)
-        if after == before:
+        after = state(large)
+        if after == before and large.groupBy("u").count().where("count > 1").isEmpty():
             break
-        before = after
-    # every remaining edge leads from a node to the smallest of its component
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = joined(large, low, after[0]).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        edges = common.save(small.select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct(), "edges")
+        before = state(edges)
+    # each edge leads from a node, which has no other, to the smallest of its component
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select("v", F.col("v").alias("w")).distinct().toDF("node", "component"))
 
 
@@ -384,31 +391,52 @@ def star(columns: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({k: pa.array(np.concatenate(c)) for k, c in zip(("cell", "a", "b"), zip(*out))})
 
 
-def across(columns: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(a, b): pairs of a block's left and right members that may be near and are not yet in one group."""
-    left, right, node, n, label = columns[3:8]
-    words, a, b, held = np.stack(columns[8:], axis=1).view(np.uint64), [], [], 0
-    for g in range(len(at) - 1):
-        s = slice(at[g], at[g + 1])
-        lefts, rights = at[g] + np.flatnonzero(left[s]), at[g] + np.flatnonzero(right[s])
+def shared_shingles(sets: list[np.ndarray], lefts: np.ndarray, rights: np.ndarray) -> np.ndarray:
+    """Number of hashes that each left set has in common with each right one, by bit rows over the hashes that recur."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    again = times[word] > 1
+    owner, word = owner[again], (np.cumsum(times > 1) - 1)[word[again]]
+    shared = np.zeros((len(lefts), len(rights)), dtype=np.int32)
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    for at in range(0, int(word[-1]) + 1 if len(word) else 0, 4096):
+        some = slice(*np.searchsorted(word, [at, at + 4096]))
+        bits = np.zeros((len(sets), 4096), dtype=bool)
+        bits[owner[some], word[some] - at] = True
+        packed = np.packbits(bits[:, : int(word[some][-1]) - at + 1], axis=1)
+        packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
         for k in range(0, len(lefts), 256):
-            some = lefts[k : k + 256]
-            may = near(n[some], words[some], n[rights], words[rights])
-            r, c = np.nonzero(may & (label[some][:, None] != label[rights][None, :]))
-            a.append(node[some[r]])
-            b.append(node[rights[c]])
-            held += len(r)
-            if held > 100_000:
-                yield as_pairs(a, b)
-                a, b, held = [], [], 0
-    if held:
-        yield as_pairs(a, b)
+            for w in range(packed.shape[1]):
+                mine = packed[lefts[k : k + 256], w]
+                if mine.any():
+                    shared[k : k + 256] += np.bitwise_count(mine[:, None] & packed[rights, w][None, :])
+    return shared
 
 
-def as_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    x, y = np.concatenate(a), np.concatenate(b)
-    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-    return pa.RecordBatch.from_pydict({"a": pa.array(both[:, 0].copy(), pa.int64()), "b": pa.array(both[:, 1].copy(), pa.int64())})
+def across(columns: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(a, b): links of similarity 0.8 or more between a block's left and right members, one for each pair of groups that they join.
+
+    All pairs are compared, on the sets whole; none but the links leave the task.
+    """
+    left, right, node, n, label, sets = columns[3:9]
+    a, b = [], []
+    for g in range(len(at) - 1):
+        s = slice(at[g], at[g + 1])
+        lefts, rights = np.flatnonzero(left[s]), np.flatnonzero(right[s])
+        if not len(lefts) or not len(rights):
+            continue
+        size, name, own = n[s], label[s].copy(), node[s]
+        shared = shared_shingles(list(sets[s]), lefts, rights)
+        close = (9 * shared >= 4 * (size[lefts][:, None] + size[rights][None, :])) & (name[lefts][:, None] != name[rights][None, :])
+        for r in np.flatnonzero(close.any(axis=1)):
+            me, hit = lefts[r], rights[close[r]]
+            others, first = np.unique(name[hit], return_index=True)
+            new = others != name[me]
+            a += [own[me]] * int(new.sum())
+            b += own[hit[first[new]]].tolist()
+            name[np.isin(name, others)] = name[me]
+    yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
@@ -423,18 +451,18 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return found.select("a", "b").unionByName(more).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def across_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ``across``: in each cell, all pairs that no group joins.
+def across_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) of ``across``: in each cell that holds several groups, between all its members of different groups.
 
     All members of a cell but its largest group are compared with the whole cell.
     """
-    known = members.drop("count").hint("merge").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    known = members.select("cell", "node", "n").hint("merge").join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     known = common.save(known, "known")
     counts = known.groupBy("cell", "label").count().groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.count("*").alias("labels"))
     mixed = common.save(counts.where("labels > 1").select("cell", "most"), "mixed")
     open_ = common.save(known.hint("merge").join(mixed.hint("merge"), "cell").withColumn("left", F.col("label") != F.col("most")).drop("most"), "open")
-    blocks = dealt(open_, "cell", "left").select("cell", "i", "j", "left", "right", "node", "n", "label", *WORDS)
-    return by_cell(blocks, 3, across, "a long, b long").distinct()
+    blocks = dealt(open_, "cell", "left", F.greatest("n", F.lit(HASHES >> 12)), HASHES).hint("merge").join(sets.hint("merge"), "node")
+    return by_cell(blocks.select("cell", "i", "j", "left", "right", "node", "n", "label", "set"), 3, across, "a long, b long").distinct()
 
 
 def shingle_sets(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -464,9 +492,10 @@ def cluster(docs: DataFrame, k: int = 5, row: str | None = None) -> DataFrame:
 
     Equal shingle sets are one node. Nodes with a band key in common meet in a cell; only
     they are looked at further. First each cell proposes its middle member with each other
-    one; links that hold on the exact sets form groups. Then all pairs of a cell that no
-    group joins are proposed and held to the same rule, so a group of copies costs as many
-    checks as members, not pairs. Cells with very many members are compared in blocks.
+    one; links that hold on the exact sets form groups, so a group of copies costs as many
+    checks as members. Then, in cells that hold several groups, all members of different
+    groups are compared on their sets, within a task; only links come out of it. Cells with
+    very many members are compared in blocks.
     ``row`` names a column of row numbers; without it the rows are numbered and written here.
 
     component_id is the smallest doc_id of the group (nulls ignored; null if all are),
@@ -488,9 +517,15 @@ def cluster(docs: DataFrame, k: int = 5, row: str | None = None) -> DataFrame:
     members = common.save(met.hint("merge").join(some.drop("row").hint("merge"), "node").select("cell", "count", "node", "n", *WORDS), "members")
     edges = common.save(verified(common.save(star_pairs(members), "pairs"), sets), "links")
     labels = components(edges)
-    more = common.save(verified(common.save(across_pairs(members, labels), "pairs"), sets), "links")
+    more = common.save(across_links(members, labels, sets), "links")
     if not more.isEmpty():
-        labels = components(edges.unionByName(more))
+        # only the groups that the new links join; every node then takes the name of its group's group
+        name = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        between = more.hint("merge").join(name("a").hint("merge"), "a", "left").hint("merge").join(name("b").hint("merge"), "b", "left")
+        joined = components(between.select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))).toDF("component", "whole")
+        renamed = labels.hint("merge").join(joined.hint("merge"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+        # ends that were in no group before
+        labels = renamed.unionByName(joined.hint("merge").join(labels.select(F.col("node").alias("component")).hint("merge"), "component", "left_anti").toDF("node", "component"))
     return marks.select("row", "doc_id", "mark").hint("merge").join(named(nodes, labels, ["mark"]).hint("merge"), "mark").drop("mark")
 
 
