@@ -282,13 +282,19 @@ def a5_label_value(spark, sf_dir):
     return A.label_value(card_boxes(spark, sf_dir), A.label_table(spark), "levenshtein").select("doc_id", "field", "direction", "value_box")
 
 
-def exclusive_sql() -> str:
+def exclusive_ctes() -> tuple[str, str]:
+    """CTEs of A6, one for each field in order, and the union of their rows (doc_id, field, value_box)."""
     steps, used = [], []
     for n, field in enumerate(T.FIELDS):
         free = " AND ".join(f"NOT EXISTS (SELECT 1 FROM e{m} WHERE e{m}.doc_id = cd.doc_id AND e{m}.value_box = cd.value_box)" for m in range(n)) or "true"
         steps.append(f"e{n} AS MATERIALIZED (SELECT doc_id, field, value_box FROM cd WHERE field = '{field}' AND {free} QUALIFY row_number() OVER ({RANKED}) = 1)")
         used.append(f"SELECT * FROM e{n}")
-    return f"WITH {ALL_CAND.replace('cd AS (', 'cd AS MATERIALIZED (')}, {', '.join(steps)} {' UNION ALL '.join(used)}"
+    return f"{ALL_CAND.replace('cd AS (', 'cd AS MATERIALIZED (')}, {', '.join(steps)}", " UNION ALL ".join(used)
+
+
+def exclusive_sql() -> str:
+    ctes, rows = exclusive_ctes()
+    return f"WITH {ctes} {rows}"
 
 
 @query(exclusive_sql())
@@ -318,3 +324,31 @@ def a8_date_fallback(spark, sf_dir):
 @query()
 def a9_layout(spark, sf_dir):
     return A.extract_by_layout(card_boxes(spark, sf_dir))
+
+
+def layout_sql() -> str:
+    """A9 with the edit ratio: exclusive values under their layout rules, the two fallbacks, empty strings else."""
+    ctes, rows = exclusive_ctes()
+    name = TQ.squeeze_sql(f"regexp_replace({TQ._prefix_sql('trim(value)', T.ALIASES['fullName'])}, '[^{TQ.LET}{chr(92)}s''-]', ' ', 'g')")
+    place = TQ._prefix_sql(f"trim({TQ._prefix_sql('trim(value)', T.ALIASES['placeOfOrigin'])})", T.ALIASES["placeOfResidence"])
+    place = TQ.squeeze_sql(f"regexp_replace(regexp_replace({place}, '\\s*,\\s*', ', ', 'g'), '\\s*;\\s*', ', ', 'g')")
+    inside = "substr(dt, 1, 2) BETWEEN '01' AND '31' AND substr(dt, 4, 2) BETWEEN '01' AND '12' AND substr(dt, 7) BETWEEN '1900' AND '2199'"
+    date = f"CASE WHEN regexp_matches(ld, {TQ.q(TQ.LAYOUT_DATE)}) THEN CASE WHEN {inside} THEN dt END WHEN length(dg) = 8 THEN {TQ.eight_sql('dg')} END"
+    dated = lambda source, more="": f"SELECT *, ({TQ.dmy_sql('ld', TQ.LAYOUT_DATE)}) AS dt, regexp_replace(ld, '\\D', '', 'g') AS dg FROM (SELECT *, {TQ.LD} AS ld{more} FROM {source})"
+    digits = DIGITS.replace("(text)", "(value)")
+    gender = f"CASE WHEN g IN ('nam', 'male') THEN 'Nam' WHEN g IN ('nu', 'nữ') OR contains(g, 'female') THEN 'Nữ' WHEN contains(g, 'male') THEN 'Nam' WHEN contains(g, 'nu') THEN 'Nữ' WHEN contains(g, 'nam') THEN 'Nam' ELSE {TQ.squeeze_sql('value')} END"
+    nation = f"CASE WHEN regexp_replace(lower({TQ.NATION_LAYOUT}), '[^a-z]', '', 'g') IN ('vietnam', 'vietnan', 'vietnarn', 'victnam') THEN 'Việt Nam' ELSE {TQ.NATION_LAYOUT} END"
+    wide = ", ".join(f"max(v) FILTER (field = '{f}') AS {f}" for f in T.FIELDS)
+    backup = {"idNumber": "coalesce(nullif(p.idNumber, ''), f7.v, '')", "dateOfBirth": "coalesce(p.dateOfBirth, f8.v, '')"}
+    return f"""WITH {ctes}, chosen AS ({rows}), vt AS (SELECT h.doc_id, field, c.text AS value FROM chosen h JOIN cards c ON h.doc_id = c.doc_id AND h.value_box = c.box_id),
+cleaned AS (SELECT doc_id, field, CASE WHEN field = 'idNumber' THEN CASE WHEN length(dd) >= 12 THEN substr(dd, 1, 12) ELSE dd END WHEN field = 'fullName' THEN trim({name}, ' :-/') WHEN field LIKE 'date%' THEN {date} WHEN field = 'gender' THEN {gender} WHEN field = 'nationality' THEN {nation} ELSE trim({place}, ' :-/,') END AS v
+ FROM ({dated('vt', f", {digits} AS dd, {TQ.GENDER_WORD} AS g")})),
+p AS (SELECT doc_id, {wide} FROM cleaned GROUP BY doc_id),
+f7 AS (SELECT doc_id, substr(dd, 1, 12) AS v FROM (SELECT *, {DIGITS} AS dd FROM cards) WHERE length(dd) >= 12 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY 2 * confidence - 0.0001 * {CY} DESC, {CY}, "left", box_id) = 1),
+f8 AS (SELECT doc_id, v FROM (SELECT *, {date} AS v, {CY} / low AS rel FROM ({dated('(SELECT *, text AS value, max(bottom) OVER (PARTITION BY doc_id) AS low FROM cards)')})) WHERE v IS NOT NULL AND rel <= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY 2 * confidence - rel DESC, {CY}, "left", box_id) = 1)
+SELECT d.doc_id, {', '.join(backup.get(f, f"coalesce(p.{f}, '')") + f' AS {f}' for f in T.FIELDS)} FROM (SELECT DISTINCT doc_id FROM cards) d LEFT JOIN p ON d.doc_id = p.doc_id LEFT JOIN f7 ON d.doc_id = f7.doc_id LEFT JOIN f8 ON d.doc_id = f8.doc_id"""
+
+
+@query(layout_sql())
+def a9_layout_edit(spark, sf_dir):
+    return A.extract_by_layout(card_boxes(spark, sf_dir), method="levenshtein")
