@@ -38,7 +38,7 @@ def select_portrait(faces: DataFrame, images: DataFrame, min_score: float = 0.40
 
     faces also have pass ('image' or 'region'; region boxes relative to the region),
     images(image_id, width, height). First: whole-image faces with centre x in the left 55 %,
-    centre y in 15 to 92 % and both sides 40 or more, best by area, then score. Second: the
+    centre y in 15 to 92 % and both sides 40 or more, best by area, then score, pos and edges. Second: the
     best region face, shifted back. Last: the fixed region with score 0.
     """
     x1, x2, y1, y2 = (F.floor(F.col("images." + d) * s) for d, s in (("width", 0.02), ("width", 0.37), ("height", 0.25), ("height", 0.94)))
@@ -53,7 +53,7 @@ def select_portrait(faces: DataFrame, images: DataFrame, min_score: float = 0.40
     cols = ["image_id", "left", "top", "right", "bottom", "score"]
     fixed = i.select("image_id", *(F.col(c).cast("double").alias(n) for c, n in (("x1", "left"), ("y1", "top"), ("x2", "right"), ("y2", "bottom"))), F.lit(0.0).alias("score"), F.lit(2).alias("branch"), F.lit(0.0).alias("area"), F.lit(0).cast("long").alias("pos"))
     found = f.select(*(F.col(c).cast("double").alias(c) if c != "image_id" else c for c in cols), "branch", F.col("area").cast("double").alias("area"), F.col("pos").cast("long").alias("pos")).unionByName(fixed)
-    w = Window.partitionBy("image_id").orderBy("branch", F.desc("area"), F.desc("score"), "pos")
+    w = Window.partitionBy("image_id").orderBy("branch", F.desc("area"), F.desc("score"), "pos", "left", "top")
     names = F.element_at(F.array(*map(F.lit, ("whole_image", "region", "fixed_region"))), F.col("branch") + 1)
     return found.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(*cols, names.alias("method"))
 

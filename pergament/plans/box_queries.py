@@ -136,7 +136,7 @@ def b13_regions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {V.BOXES_SQL}, {REGIONS_SQL}, s AS (SELECT doc_id, box_id, text, confidence, "left" * 1000 / (1000 + doc_id % 3 * 500) AS "left", "right" * 1000 / (1000 + doc_id % 3 * 500) AS "right", top * 630 / (630 + doc_id % 2 * 630) AS top, bottom * 630 / (630 + doc_id % 2 * 630) AS bottom FROM boxes)
+    f"""WITH {V.BOXES_SQL}, {REGIONS_SQL}, s AS (SELECT doc_id, box_id, text, confidence, "left" * sx AS "left", "right" * sx AS "right", top * sy AS top, bottom * sy AS bottom FROM (SELECT *, 1000.0::DOUBLE / (1000 + doc_id % 3 * 500) AS sx, 630.0::DOUBLE / (630 + doc_id % 2 * 630) AS sy FROM boxes))
 SELECT doc_id, region AS field, CASE WHEN region LIKE 'place%' THEN string_agg(text, ', ' ORDER BY {CY}, "left", box_id) ELSE string_agg(text, ' ' ORDER BY {CY}, "left", box_id) END AS raw, {rounded_sql("avg(confidence)", 4)} AS confidence FROM s JOIN regions ON {INSIDE} WHERE region <> 'portrait' GROUP BY doc_id, region"""
 )
 def b14_template(spark, sf_dir):

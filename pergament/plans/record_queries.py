@@ -443,7 +443,7 @@ IMAGES = "SELECT o_orderkey AS image_id, CAST(900 + o_orderkey % 3 * 100 AS INT)
 PORTRAIT_SQL = f"""f AS ({FACES}), i AS ({IMAGES}), r AS (SELECT *, floor(width * 0.02) AS x1, floor(width * 0.37) AS x2, floor(height * 0.25) AS y1, floor(height * 0.94) AS y2 FROM i),
 g AS (SELECT image_id, pos, x + CASE WHEN pass = 'region' THEN x1 ELSE 0 END AS l, y + CASE WHEN pass = 'region' THEN y1 ELSE 0 END AS t, w, h, score, CASE WHEN pass = 'region' THEN 1 WHEN x + w / 2 <= 0.55 * width AND y + h / 2 BETWEEN 0.15 * height AND 0.92 * height AND w >= 40 AND h >= 40 THEN 0 END AS b FROM f JOIN r USING (image_id) WHERE score >= 0.4),
 u AS (SELECT image_id, pos, l, t, l + w AS rr, t + h AS bb, score, b, w * h AS a FROM g WHERE b IS NOT NULL UNION ALL SELECT image_id, 0, x1, y1, x2, y2, 0, 2, 0 FROM r),
-portrait AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY b, a DESC, score DESC, pos) = 1)"""
+portrait AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY b, a DESC, score DESC, pos, l, t) = 1)"""
 
 
 @query(f"WITH {PORTRAIT_SQL} SELECT image_id, round(l, 3)::DOUBLE AS \"left\", round(t, 3)::DOUBLE AS top, round(rr, 3)::DOUBLE AS \"right\", round(bb, 3)::DOUBLE AS bottom, ['whole_image', 'region', 'fixed_region'][b + 1] AS method FROM portrait")
