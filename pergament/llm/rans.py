@@ -16,6 +16,7 @@ Segment layout (little endian):
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -183,6 +184,7 @@ def read_segment(path: str, table: Table) -> tuple[int, np.ndarray, np.ndarray,
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLIT = {"type": "Split", "pattern": {"Regex": PIECES}, "behavior": "Removed", "invert": True}
+MARKS = b".,;:!?"  # a mark behind letters is a piece of its own
 SHORT = 64  # longer words, in bytes, stay out of the memo
 
 
@@ -205,8 +207,9 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        text = piece.encode().decode("latin-1").translate(self.letters)
-        ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(text)])
+        plain = piece.isascii() and piece.isprintable()  # such bytes stand for themselves
+        ids = [t.id for t in self.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.letters))]
+        ids = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= SHORT:
             self[piece] = ids
         return ids
@@ -223,17 +226,20 @@ class Words(dict):
         import regex
 
         self.tok, self.limit, self.old, self.pieces = tok, limit, {}, Pieces(tok, limit)
-        self.find, self.lower = regex.compile(PIECES).findall, tok.normalizer.normalize_str
+        self.find, self.latin = regex.compile(PIECES).findall, re.compile("[\0-\u024f]*").fullmatch
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.old.get(word)
-        if ids is None:
+        if ids is None and word.isalpha():  # ASCII letters alone
+            ids = self.pieces[word.lower().decode()]
+        elif ids is None and word[-1] in MARKS and word[:-1].isalpha():
+            low = word.lower().decode()
+            ids = self.pieces[low[:-1]] + self.pieces[low[-1]]
+        elif ids is None:
             text = word.decode()
-            low = text.lower() if text.isascii() else self.lower(text)
-            if low.isalpha() and max(low) < "\u0250":
-                ids = self.pieces[low]
-            elif max(text) < "\u0250" and "<|" not in text:
-                ids = b"".join(map(self.pieces.__getitem__, self.find(low)))
+            if self.latin(text) and "<|" not in text:  # composed already, so lower case is all that is left
+                low = text.lower()
+                ids = self.pieces[low] if low.isalpha() else b"".join(map(self.pieces.__getitem__, self.find(low)))
             else:
                 ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(word) > SHORT:
@@ -337,8 +343,9 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, expand = np.zeros(1, dtype=np.int64), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                got = np.bincount(unpack(data, expand))
+            packed = batch.column(0).to_pylist()
+            for k in range(0, len(packed), 200):
+                got = np.bincount(np.concatenate([unpack(data, expand).astype(np.uint32) for data in packed[k : k + 200]]))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
