@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -288,16 +287,14 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def pack(ids: bytes, squeeze) -> bytes:
-    """uint32 ids to Zstandard, as uint16 where all fit; the last byte tells which."""
+def pack(ids: bytes) -> bytes:
+    """uint32 ids, as uint16 where all fit; the last byte tells which."""
     wide = np.frombuffer(ids, dtype="<u4")
-    if len(wide) and wide.max() >= 1 << 16:
-        return squeeze(ids) + b"4"
-    return squeeze(wide.astype("<u2").tobytes()) + b"2"
+    return ids + b"4" if len(wide) and wide.max() >= 1 << 16 else wide.astype("<u2").tobytes() + b"2"
 
 
-def unpack(data: bytes, expand) -> np.ndarray:
-    return np.frombuffer(expand(data[:-1]), dtype="<u4" if data[-1:] == b"4" else "<u2")
+def unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u4" if data[-1:] == b"4" else "<u2", count=len(data) // (4 if data[-1:] == b"4" else 2))
 
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -318,7 +315,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, squeeze, at = word_encoder(tokenizer), zstandard.ZstdCompressor(level=1).compress, 0
+        encoder, at = word_encoder(tokenizer), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 rows = batch.slice(k, 500).to_pydict()
@@ -328,7 +325,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     starts.append(at)
                     counts.append(len(ids) // 4)
                     at += counts[-1]
-                    packed.append(pack(ids, squeeze))
+                    packed.append(pack(ids))
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(rows["part"], pa.int32()), "doc_id": pa.array(rows["doc_id"], pa.int64()),
                     "local_start": pa.array(starts, pa.int64()), "n_tokens": pa.array(counts, pa.int64()), "ids": pa.array(packed, pa.binary()),
@@ -341,11 +338,11 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     """(id, n) over all documents: counted in each task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, expand = np.zeros(1, dtype=np.int64), zstandard.ZstdDecompressor().decompress
+        total = np.zeros(1, dtype=np.int64)
         for batch in batches:
             packed = batch.column(0).to_pylist()
             for k in range(0, len(packed), 200):
-                got = np.bincount(np.concatenate([unpack(data, expand).astype(np.uint32) for data in packed[k : k + 200]]))
+                got = np.bincount(np.concatenate([unpack(data).astype(np.uint32) for data in packed[k : k + 200]]))
                 if len(got) > len(total):
                     total = np.pad(total, (0, len(got) - len(total)))
                 total[: len(got)] += got
@@ -380,7 +377,7 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq, base = shared.value
-        table, expand = Table(freq), zstandard.ZstdDecompressor().decompress
+        table = Table(freq)
         first = then = 0
         doc_ids, lengths, parts, held = [], [], [], 0
 
@@ -401,7 +398,7 @@ def write_archive(docs: DataFrame, tokenizer: str, end_id: int, folder: str | No
                     first = start
                 doc_ids.append(doc_id)
                 lengths.append(n)
-                parts.append(unpack(data, expand))
+                parts.append(unpack(data))
                 held, then = held + n, start + n
         if doc_ids:
             yield close()
