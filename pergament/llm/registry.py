@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pergament.llm import bpe, chunk_dedup, license_scan, mixing, quality, rans, sharding, simhash, url_filter, warc_zstd
+from pergament.llm import bpe, chunk_dedup, fill_middle, filter_audit, license_scan, minhash, mixing, quality, rans, sharding, simhash, url_filter, warc_zstd
 
 
 def vocabulary(name: str) -> str:
@@ -64,10 +64,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cascade(documents(spark, sf_dir)).drop("failed_rule")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.cluster(documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(documents(spark, sf_dir))
+
+
 def queries() -> dict:
-    own = [op1_rans, op2_license_scan, op3_warc_zstd, op4_chunk_dedup, op5_bpe, op6_sharding, op7_url_filter, op8_simhash, op9_mixing, op10_quality]
+    own = [op1_rans, op2_license_scan, op3_warc_zstd, op4_chunk_dedup, op5_bpe, op6_sharding, op7_url_filter, op8_simhash, op9_mixing, op10_quality, op11_minhash, op12_filter_audit, op13_fill_middle]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": license_scan.oracle(), "op4_chunk_dedup": chunk_dedup.oracle(), "op10_quality": quality.oracle()}
+    modules = {"op2_license_scan": license_scan, "op4_chunk_dedup": chunk_dedup, "op10_quality": quality, "op12_filter_audit": filter_audit, "op13_fill_middle": fill_middle}
+    return {name: module.oracle() for name, module in modules.items()}
