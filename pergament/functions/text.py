@@ -1,22 +1,23 @@
 """Text repair, accent folding and field cleaning as column expressions.
 
 Everything runs in the JVM; the only Python is ``nfkc`` for rows that hold characters
-outside the stable classes, ``repair_mojibake`` for rows with box-drawing letters and
-``gestalt``, which the operators give distinct pairs.
+outside the stable classes, ``repair_mojibake`` for rows with box-drawing letters and the
+gestalt ratio, which the operators give distinct pairs that may reach their threshold.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from pergament.functions import tables as T
+from pergament.functions.blocks import ratios
 
 LETTER = r"[A-Za-z\u00C0-\u1EF9]"
 
@@ -604,10 +605,23 @@ def diacritic_score(c: Column | str) -> Column:
 
 @F.pandas_udf(DoubleType())
 def gestalt(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks (longest first) to both lengths; null for a null side."""
-    pairs = pd.DataFrame({"a": a, "b": b})
-    known = {p: SequenceMatcher(None, *p).ratio() for p in pairs.dropna().drop_duplicates().itertuples(index=False, name=None)}
-    return pd.Series([known.get(p) for p in pairs.itertuples(index=False, name=None)], dtype="float64")
+    """Ratio of matching blocks (longest first) to both lengths, once for each distinct pair; null for a null side."""
+    pairs = pd.DataFrame({"a": a, "b": b}).dropna()
+    once = pairs.drop_duplicates()
+    known = dict(zip(once.itertuples(index=False, name=None), ratios(once["a"].tolist(), once["b"].tolist())))
+    out = pd.Series(np.nan, index=a.index, dtype="float64")
+    out[pairs.index] = [known[p] for p in pairs.itertuples(index=False, name=None)]
+    return out.astype(object).where(out.notna(), None)
+
+
+@F.pandas_udf(DoubleType())
+def best_gestalt(x: pd.Series, y: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
+    """The greater ratio of (x, y) and (u, v); null, at no cost, where x is null."""
+    out = pd.Series([None] * len(x), index=x.index, dtype=object)
+    some = x.notna()
+    if some.any():
+        out[some] = np.maximum(ratios(x[some].tolist(), y[some].tolist()), ratios(u[some].tolist(), v[some].tolist()))
+    return out
 
 
 def gestalt_bound(a: Column, b: Column) -> Column:
@@ -615,6 +629,45 @@ def gestalt_bound(a: Column, b: Column) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) / (F.length(a) + F.length(b))
 
 
+KEY_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+LEVELS = 3
+
+
+def letters(compact: Column | str) -> Column:
+    """Letter counts of a compact key as bits: array(low, high, rest).
+
+    Of each letter or digit one bit says that it is there, one that it is there twice, one
+    three times; rest counts what is beyond that.
+    """
+    half = len(KEY_LETTERS) // 2
+    wanted = [[F.struct(F.lit(c * n).alias("run"), F.lit(1 << (k * LEVELS + n - 1)).cast("long").alias("bit")) for k, c in enumerate(part) for n in range(1, LEVELS + 1)] for part in (KEY_LETTERS[:half], KEY_LETTERS[half:])]
+
+    def bits(run: Column, own: list[Column]) -> Column:
+        return F.aggregate(F.array(*own), F.lit(0).cast("long"), lambda m, w: F.when(F.contains(run, w["run"]), m.bitwiseOR(w["bit"])).otherwise(m))
+
+    def packed(run: Column) -> Column:
+        return let(F.array(*(bits(run, w) for w in wanted)), lambda b: F.array(b[0], b[1], F.length(run) - F.bit_count(b[0]) - F.bit_count(b[1])))
+
+    return let(F.array_join(F.sort_array(F.split(col(compact), "")), ""), packed)
+
+
+def letters_in_common(a: Column, b: Column) -> Column:
+    """At least the number of letters that two texts have in common, from their ``letters``."""
+    return F.bit_count(a[0].bitwiseAND(b[0])) + F.bit_count(a[1].bitwiseAND(b[1])) + F.least(a[2], b[2])
+
+
+def letters_bound(x: Column, y: Column, u: Column, v: Column, a: Column, b: Column) -> Column:
+    """What neither ratio nor containment of two texts exceeds, from anchor keys x, y, compact keys u, v and their ``letters``.
+
+    Blocks that match, the letters an edit leaves in place and a contained text all lie in
+    the common letters; anchor keys may have spaces in common besides. It holds for the
+    gestalt ratio and the edit ratio, up to the last digit of a double.
+    """
+    shared = letters_in_common(a, b)
+    spaces = F.least(F.length(x) - F.length(u), F.length(y) - F.length(v))
+    return F.greatest(2 * (shared + spaces) / (F.length(x) + F.length(y)), 2 * shared / (F.length(u) + F.length(v))) + 1e-9
+
+
 def similarity(a: Column | str, b: Column | str, method: str = "levenshtein") -> Column:
     """T16: 1 on equal keys, 0 on empty ones, else the best of two ratios and containment.
 

@@ -139,45 +139,68 @@ def struct_iou(a: Column, b: Column) -> Column:
 # ---- B6, B8: greedy grouping
 
 
-def _grouped(df: DataFrame, fits, first_fit: bool, name: str, whole_document: bool = False) -> DataFrame:
+CHUNK = 256  # boxes whose places are gathered before they join the island's
+
+
+def _grouped(df: DataFrame, fits, passed, first_fit: bool, name: str, whole_document: bool = False) -> DataFrame:
     """Fold boxes in (top, left) order into groups, all in the JVM.
 
     fits(group, box) gives the distance of a fitting group, else null; the nearest (or, with
     first_fit, the oldest) fitting group takes the box, else a new one opens. A group is
-    (top, bottom, sum of centres, sum of heights, count). One-box islands are settled before.
+    (number, top, bottom, sum of centres, sum of heights, count). passed(group, box, tallest)
+    holds where neither this box nor a later one, none higher than ``tallest``, can fit: the
+    group is closed, so a step looks at the open ones only. Places are gathered by chunks,
+    so a long island is not copied at each box. One-box islands are settled before.
     """
     marked = df.withColumn("island", F.lit(1)) if whole_document else with_islands(df)
     marked = marked.withColumn("__n", F.count("*").over(Window.partitionBy("doc_id", "island")))
     box_type = df.schema["box_id"].dataType.simpleString()
-    group_type = "struct<top:double,bottom:double,centers:double,heights:double,n:int>"
+    group_type = "struct<i:int,top:double,bottom:double,centers:double,heights:double,n:int>"
 
     def grown(g: Column, x: Column) -> Column:
-        return F.struct(F.least(g.top, x.top).alias("top"), F.greatest(g.bottom, x.bottom).alias("bottom"), (g.centers + x.center).alias("centers"), (g.heights + x.height).alias("heights"), (g.n + 1).alias("n"))
+        return F.struct(g.i.alias("i"), F.least(g.top, x.top).alias("top"), F.greatest(g.bottom, x.bottom).alias("bottom"), (g.centers + x.center).alias("centers"), (g.heights + x.height).alias("heights"), (g.n + 1).alias("n"))
+
+    def opened(i: Column, x: Column) -> Column:
+        return F.struct(i.alias("i"), x.top.alias("top"), x.bottom.alias("bottom"), x.center.alias("centers"), x.height.alias("heights"), F.lit(1).alias("n"))
+
+    def step(tallest: Column):
+        def one(s: Column, x: Column) -> Column:
+            able = F.filter(F.transform(s.groups, lambda g: F.struct((F.when(fits(g, x).isNotNull(), 0.0) if first_fit else fits(g, x)).alias("away"), g.i.alias("i"))), lambda c: c.away.isNotNull())
+            at = F.coalesce(F.array_min(able).i, s.next)
 
-    def opened(x: Column) -> Column:
-        return F.struct(x.top.alias("top"), x.bottom.alias("bottom"), x.center.alias("centers"), x.height.alias("heights"), F.lit(1).alias("n"))
+            def put(at: Column) -> Column:
+                left = F.filter(s.groups, lambda g: ~passed(g, x, tallest))
+                groups = F.when(at < s.next, F.transform(left, lambda g: F.when(g.i == at, grown(g, x)).otherwise(g))).otherwise(F.concat(left, F.array(opened(at, x))))
+                return F.struct(groups.alias("groups"), F.greatest(s.next, at + 1).alias("next"), F.concat(s.placed, F.array(F.struct(x.box_id.alias("box_id"), at.alias("at")))).alias("placed"))
 
-    def step(s: Column, x: Column) -> Column:
-        able = F.filter(F.transform(s.groups, lambda g, i: F.struct((F.when(fits(g, x).isNotNull(), 0.0) if first_fit else fits(g, x)).alias("away"), i.alias("i"))), lambda c: c.away.isNotNull())
-        at = F.coalesce(F.get(F.array_sort(able), F.lit(0)).i, F.size(s.groups))
-        chosen = F.struct(at.alias("at"), s.groups.alias("groups"), s.placed.alias("placed"))
+            return X.let(at, put)
 
-        def put(c: Column) -> Column:
-            groups = F.when(c["at"] < F.size(c["groups"]), F.transform(c["groups"], lambda g, i: F.when(i == c["at"], grown(g, x)).otherwise(g))).otherwise(F.concat(c["groups"], F.array(opened(x))))
-            return F.struct(groups.alias("groups"), F.concat(c["placed"], F.array(F.struct(x.box_id.alias("box_id"), c["at"].alias("at")))).alias("placed"))
+        return one
 
-        return F.get(F.transform(F.array(chosen), put), F.lit(0))
+    places = F.array().cast(f"array<struct<box_id:{box_type},at:int>>")
+    start = F.struct(F.array().cast(f"array<{group_type}>").alias("groups"), F.lit(0).alias("next"), places.alias("placed"))
+
+    def chunk(s: Column, c: Column) -> Column:
+        fresh = F.struct(s.groups.alias("groups"), s.next.alias("next"), places.alias("placed"))
+        done = F.aggregate(F.slice("__all", c * CHUNK + 1, F.lit(CHUNK)), fresh, step(F.col("__tallest")))
+        return X.let(done, lambda d: F.struct(d.groups.alias("groups"), d.next.alias("next"), F.concat(s.placed, d.placed).alias("placed")))
 
-    start = F.struct(F.array().cast(f"array<{group_type}>").alias("groups"), F.array().cast(f"array<struct<box_id:{box_type},at:int>>").alias("placed"))
     item = F.struct(*(F.col(c).cast("double").alias(c) for c in ("top", "left")), "box_id", F.col("bottom").cast("double").alias("bottom"), ((F.col("top") + F.col("bottom")) / 2).cast("double").alias("center"), F.greatest(F.col("bottom") - F.col("top"), F.lit(1.0)).cast("double").alias("height"))
     alone = marked.where("__n = 1").select("doc_id", "box_id", "island", F.lit(0).alias("__at"))
-    packed = marked.where("__n > 1").groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(item)).alias("__all"))
-    more = packed.select("doc_id", "island", F.explode(F.aggregate("__all", start, step).placed).alias("p")).select("doc_id", "p.box_id", "island", F.col("p.at").alias("__at"))
+    packed = marked.where("__n > 1").groupBy("doc_id", "island").agg(F.sort_array(F.collect_list(item)).alias("__all"))
+    packed = packed.withColumn("__tallest", F.array_max(F.transform("__all", lambda x: x.height)))
+    chunks = F.sequence(F.lit(0), F.floor((F.size("__all") - 1) / CHUNK).cast("int"))
+    more = packed.select("doc_id", "island", F.explode(F.aggregate(chunks, start, chunk).placed).alias("p")).select("doc_id", "p.box_id", "island", F.col("p.at").alias("__at"))
     dense = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("island", "__at"))
     placed = alone.unionByName(more).select("doc_id", "box_id", dense.alias(name))
     return df.hint("merge").join(placed.hint("merge"), ["doc_id", "box_id"])
 
 
+def above(g: Column, x: Column, tallest: Column) -> Column:
+    """A group that ends where the box begins or before, and has a height, fits no box from here on."""
+    return (g.bottom <= x.top) & (g.top < g.bottom)
+
+
 def group_lines(df: DataFrame, min_overlap: float = 0.35, max_center: float = 0.80) -> DataFrame:
     """B6. Layout rule: into the line with the nearest centre whose overlap ratio OR centre distance fits.
 
@@ -192,7 +215,7 @@ def group_lines(df: DataFrame, min_overlap: float = 0.35, max_center: float = 0.
         away = F.abs((g.top + g.bottom) / 2 - x.center)
         return F.when((ratio(both, F.least(tall, own)) >= min_overlap) | (ratio(away, (tall + own) / 2) <= max_center), away)
 
-    return _grouped(df, fits, False, "line_id")
+    return _grouped(df, fits, above, False, "line_id")
 
 
 def group_rows(df: DataFrame, tol: float = 0.25, min_overlap: float = 0.45, mode: str = "overlap") -> DataFrame:
@@ -212,8 +235,12 @@ def group_rows(df: DataFrame, tol: float = 0.25, min_overlap: float = 0.45, mode
         away = F.abs(x.center - g.centers / g.n)
         return F.when(away <= 0.6 * F.greatest(g.heights / g.n, x.height), away)
 
+    def behind(g: Column, x: Column, tallest: Column) -> Column:
+        # the centre of a box lies half its height below its top, and takes in 0.6 of it
+        return x.top - g.centers / g.n > F.greatest(0.6 * g.heights / g.n, 0.1 * tallest) * 1.001
+
     centre = mode == "centre"
-    return _grouped(df, centred if centre else overlapping, centre, "row_id", whole_document=centre)
+    return _grouped(df, centred if centre else overlapping, behind if centre else above, centre, "row_id", whole_document=centre)
 
 
 # ---- B7, B9, B10

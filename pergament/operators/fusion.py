@@ -7,11 +7,14 @@ evenly; dictionaries are literal maps of a few dozen entries.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
 from pergament.functions import text as X
+from pergament.operators.dictionary import by_value
 from pergament.sources.scratch import stored
 
 
@@ -51,13 +54,22 @@ RULES_V1 = {"fullName": RULES["fullName"], "dateOfBirth": lambda v: X.clean_date
 def clean_candidates(candidates: DataFrame, rules=RULES, recovered: bool = True) -> DataFrame:
     """Each value under its field's rule, those of other fields as they are; rows without a value left go.
 
-    recovered: readings of raw text are taken as recovered already and stay.
+    recovered: readings of raw text are taken as recovered already and stay. A rule runs
+    once for each distinct value of its field, and each field's values in a branch of
+    their own, so that no row passes the rules of other fields.
     """
-    raw = (F.col("source") == "RAW_TEXT_RECOVERY") & F.lit(recovered)
-    value = F.when(raw, F.col("value"))
-    for field, rule in rules.items():
-        value = value.when(F.col("field") == field, rule(F.col("value")))
-    return X.kept(candidates, "value", value.otherwise(F.col("value")), X.filled)
+    rule_of = F.when(F.col("field").isin(*rules), F.col("field")).otherwise("")
+    if recovered:
+        rule_of = F.when(F.col("source") == "RAW_TEXT_RECOVERY", "").otherwise(rule_of)
+    rows = candidates.where(X.filled(F.col("value"))).withColumn("__rule", F.coalesce(rule_of, F.lit(""))).withColumnRenamed("value", "__read")
+
+    def cleaned(values: DataFrame) -> DataFrame:
+        values = stored(values, "readings")
+        one = [X.kept(values.where(F.col("__rule") == f), "value", rule(F.col("__read")), X.filled) for f, rule in rules.items()]
+        return reduce(DataFrame.unionByName, one)
+
+    ruled = by_value(rows.where("__rule <> ''"), ["__rule", "__read"], cleaned, "cleaned")
+    return ruled.unionByName(rows.where("__rule = ''").withColumn("value", F.col("__read"))).select(*candidates.columns)
 
 
 def fuse_v1(candidates: DataFrame) -> DataFrame:

@@ -47,9 +47,9 @@ def normalize_sql(c: str) -> str:
 NORMAL_SQL = V.CARDS_SQL + f", n0 AS (SELECT doc_id, line_no AS place, {normalize_sql('line')} AS line FROM raw_cards), lines AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS line_no, line FROM n0 WHERE line <> '')"
 
 
-def lines_of(spark, sf_dir):
-    rows = X.kept(V.cards(spark, sf_dir), "line", X.normalize_text("line", compose=False), X.filled)
-    return L.renumber(rows.withColumnRenamed("line_no", "at"))
+def lines_of(spark, sf_dir, facts: bool = False):
+    rows = V.cards(spark, sf_dir).withColumnRenamed("line_no", "at")
+    return L.renumber(L.normalized(rows, compose=False, once=True, facts=facts))
 
 
 @query(f"WITH {V.CARDS_SQL} SELECT doc_id, line_no::INT AS line_no, {normalize_sql('line')} AS line FROM raw_cards")
