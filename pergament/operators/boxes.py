@@ -8,12 +8,16 @@ one very long document is many small groups.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
 from pergament.functions import text as X
 from pergament.functions.numbers import rounded
+from pergament.operators.dictionary import FEW_VALUES
+from pergament.sources.scratch import stored
 
 EDGES = ("left", "top", "right", "bottom")
 
@@ -362,24 +366,68 @@ def clean_field(field: str, value: str) -> Column:
 STRIP = 400.0  # width of a strip of boxes
 
 
-def _pairs(df: DataFrame, by: tuple[str, ...], condition, within: float | None = None) -> DataFrame:
-    """Ordered pairs (a, b); with ``within`` those with a horizontal gap up to it, all of them.
+MANY = 500  # boxes of a document from which on it is cut into cells
+
 
-    For that the boxes are dealt into strips: b to each strip it touches, a to each one it
-    touches when widened by the gap. A pair counts in the first strip that both have.
+def met(a: DataFrame, b: DataFrame, by: tuple[str, ...], on: list[Column], x: tuple[Column, Column] | None = None, y: tuple[Column, Column] | None = None, flat: bool = False) -> DataFrame:
+    """Pairs as structs (a, b): rows with equal ``by`` that pass ``on``, a condition on a.* and b.*.
+
+    x and y say how far at most the rows of a pair reach out for each other on an axis,
+    each by a column of its own row: no pair passes whose boxes, widened by that, do not
+    touch. Documents of more than MANY boxes are then dealt into cells, about as large as
+    their boxes, and only rows in one cell are compared, so that the work grows with the
+    boxes and not with their square. A pair counts in the first cell that both rows have.
+    flat: of boxes without a height, which have no measure to reach by, any two may pass.
     """
-    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.box_id") != F.col("b.box_id")]
-    on += [condition] if condition is not None else []
+
+    def plain(p: DataFrame, q: DataFrame, more: list[Column]) -> DataFrame:
+        joined = p.alias("a").hint("merge").join(q.alias("b").hint("merge"), [*(F.col(f"a.{c}") == F.col(f"b.{c}") for c in by), *more, *on])
+        return joined.select(F.struct(*(f"a.{c}" for c in a.columns)).alias("a"), F.struct(*(f"b.{c}" for c in b.columns)).alias("b"))
+
+    reach = {axis: pair for axis, pair in (("x", x), ("y", y)) if pair is not None}
+    edges = {"x": ("left", "right"), "y": ("top", "bottom")}
+    if not reach:
+        return plain(a, b, [])
+    cells = [F.greatest(2 * F.avg(F.col(high) - F.col(low) + 2 * reach[k][1]), (F.max(high) - F.min(low)) / F.sqrt(F.count("*")), F.lit(1e-6)).alias(f"__{k}") for k, (low, high) in edges.items() if k in reach]
+    crowded = stored(b.groupBy(*by).agg(F.count("*").alias("__n"), *cells).where(F.col("__n") > MANY).drop("__n"), "crowded")
+    few = crowded.count()
+    if not few:
+        return plain(a, b, [])
+    known = F.broadcast(crowded) if few <= FEW_VALUES else crowded.hint("merge")
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        out = df.join(known, list(by))
+        for k, (low, high) in edges.items():
+            if k in reach:
+                wider = reach[k][side] * (1 + 1e-6) + 1e-6
+                first, last = F.floor((F.col(low) - wider) / F.col(f"__{k}")), F.floor((F.col(high) + wider) / F.col(f"__{k}"))
+                out = out.withColumn(f"__{k}0", first).withColumn(f"__{k}", F.explode(F.sequence(first, last)))
+        return out
+
+    once = [c for k in reach for c in (F.col(f"a.__{k}") == F.col(f"b.__{k}"), F.col(f"a.__{k}") == F.greatest(f"a.__{k}0", f"b.__{k}0"))]
+    parts = [plain(a.join(known, list(by), "left_anti"), b.join(known, list(by), "left_anti"), []), plain(dealt(a, 0), dealt(b, 1), once)]
+    if flat:
+        no_height = F.col("bottom") <= F.col("top")
+        parts[1] = parts[1].where("NOT (a.bottom <= a.top AND b.bottom <= b.top)")
+        parts.append(plain(a.join(known, list(by), "left_semi").where(no_height), b.join(known, list(by), "left_semi").where(no_height), []))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _pairs(df: DataFrame, by: tuple[str, ...], condition, within: float | None = None, x=None, y=None, flat: bool = False) -> DataFrame:
+    """Ordered pairs (a, b); with ``within`` those with a horizontal gap up to it, all of them. x, y and flat as for ``met``."""
+    on = [F.col("a.box_id") != F.col("b.box_id"), *([condition] if condition is not None else [])]
     if within is None:
-        return df.alias("a").hint("merge").join(df.alias("b").hint("merge"), on)
+        return met(df, df, by, on, x, y, flat)
 
+    # dealt into strips: b to each strip it touches, a to each one it touches when widened by the gap
     def dealt(wider: float) -> DataFrame:
         first, last = F.floor((F.col("left") - wider) / STRIP), F.floor((F.col("right") + wider) / STRIP)
         return df.withColumn("__first", first).withColumn("__strip", F.explode(F.sequence(first, last)))
 
     a, b = dealt(within).alias("a"), dealt(0.0).alias("b")
     once = F.col("a.__strip") == F.greatest("a.__first", "b.__first")
-    return a.hint("merge").join(b.hint("merge"), [*on, F.col("a.__strip") == F.col("b.__strip"), once, gap("a", "b", "left", "right") <= within])
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "__strip")]
+    return a.hint("merge").join(b.hint("merge"), [*same, *on, once, gap("a", "b", "left", "right") <= within])
 
 
 def gap(a: str, b: str, low: str, high: str) -> Column:
@@ -446,20 +494,24 @@ def relate(df: DataFrame, kind: str, strict: bool = False, by: tuple[str, ...] =
     test = {"right_of": lambda: right_of("b", "a", strict), "left_of": lambda: right_of("a", "b", strict), "below": lambda: below("b", "a", strict), "above": lambda: below("a", "b", strict), "same_line": lambda: same_line("a", "b")}
     if kind not in test:
         raise ValueError(f"unknown relation {kind!r}")
-    return _pairs(df, by, test[kind](), within).select(*(F.col(f"a.{c}") for c in by), F.col("a.box_id").alias("box"), F.col("b.box_id").alias("other"))
+    touch = (F.lit(0.0), F.lit(0.0))  # boxes on one line touch in y, those below each other in x
+    axes = {"x": touch} if kind in ("below", "above") else {"y": touch, "flat": True}
+    return _pairs(df, by, test[kind](), within, **axes).select(*(F.col(f"a.{c}") for c in by), F.col("a.box_id").alias("box"), F.col("b.box_id").alias("other"))
 
 
 def contains_point(df: DataFrame, points: DataFrame) -> DataFrame:
     """B17. points(doc_id, point_id, x, y) in boxes, all edges inclusive."""
-    b, p = df.alias("b"), points.alias("p")
-    on = (F.col("b.doc_id") == F.col("p.doc_id")) & F.col("p.x").between(F.col("b.left"), F.col("b.right")) & F.col("p.y").between(F.col("b.top"), F.col("b.bottom"))
-    return b.hint("merge").join(p.hint("merge"), on).select("b.doc_id", "b.box_id", "p.point_id")
+    spots = points.select("doc_id", "point_id", *(F.col("x").alias(c) for c in ("left", "right")), *(F.col("y").alias(c) for c in ("top", "bottom")))
+    on = F.col("a.left").between(F.col("b.left"), F.col("b.right")) & F.col("a.top").between(F.col("b.top"), F.col("b.bottom"))
+    touch = (F.lit(0.0), F.lit(0.0))
+    return met(spots, df, ("doc_id",), [on], touch, touch).select("b.doc_id", "b.box_id", "a.point_id")
 
 
 def contains_box(df: DataFrame, tolerance: float = 0.0, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """B17. Pairs (outer, inner) within the tolerance, all edges inclusive."""
     inside = (F.col("b.left") >= F.col("a.left") - tolerance) & (F.col("b.right") <= F.col("a.right") + tolerance) & (F.col("b.top") >= F.col("a.top") - tolerance) & (F.col("b.bottom") <= F.col("a.bottom") + tolerance)
-    return _pairs(df, by, inside).select(*(F.col(f"a.{c}") for c in by), F.col("a.box_id").alias("outer"), F.col("b.box_id").alias("inner"))
+    reach = (F.lit(tolerance), F.lit(0.0))
+    return _pairs(df, by, inside, x=reach, y=reach).select(*(F.col(f"a.{c}") for c in by), F.col("a.box_id").alias("outer"), F.col("b.box_id").alias("inner"))
 
 
 def prepare_boxes(df: DataFrame, min_conf: float = 0.05, dedupe: bool = True, merge: bool = False) -> DataFrame:

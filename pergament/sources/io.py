@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
 from pergament.functions import text as X
+from pergament.sources.files import list_files, read_lines, read_whole
+from pergament.sources.scratch import stored
 
 # ---- S1
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """S1. (path, sample_id, document_type, fields map, parse_error), one JSON object per file.
+    """S1. (path, sample_id, document_type, fields map, parse_error), one JSON object per .json file below ``path``.
 
-    Both {"fields": {...}} and flat objects; a leading byte-order mark is accepted; anything
+    Small files are packed into few tasks; empty files have rows too. Both {"fields": {...}} and flat objects; a leading byte-order mark is accepted; anything
     that is no JSON object is a row with parse_error.
     """
-    return parse_labels(spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value"))
+    listed = list_files(spark, path).where(F.lower("path").endswith(".json"))
+    return parse_labels(read_whole(listed).select("path", F.col("content").try_cast("string").alias("value")))
 
 
 def parse_labels(files: DataFrame) -> DataFrame:
@@ -46,8 +49,8 @@ def intake(files: DataFrame, max_mb: float = 10) -> DataFrame:
 
 
 def read_captures(spark: SparkSession, path: str, max_mb: float = 10) -> DataFrame:
-    """S2 for a folder. Spark's file listing leaves empty files out; give ``intake`` a listing to report them."""
-    return intake(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length"), max_mb)
+    """S2 for a folder and all below it, empty files included."""
+    return intake(list_files(spark, path), max_mb)
 
 
 # ---- S3
@@ -146,7 +149,52 @@ def decode_fallback(files: DataFrame, charsets: tuple[str, ...] = CHARSETS, cont
 
 
 def read_text_fallback(spark: SparkSession, path: str, charsets: tuple[str, ...] = CHARSETS) -> DataFrame:
-    return decode_fallback(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content"), charsets)
+    """S5 for a folder and all below it: one row a file."""
+    return decode_fallback(read_whole(list_files(spark, path)), charsets)
+
+
+def read_lines_fallback(spark: SparkSession, path: str, charsets: tuple[str, ...] = CHARSETS) -> DataFrame:
+    """S5 for large text files: (path, offset, text, charset) of every line, read in byte ranges.
+
+    The charset is chosen for the whole file, the first that all its lines can be decoded
+    with, so a file is decoded as ``read_text_fallback`` does it.
+    """
+    lines = stored(read_lines(list_files(spark, path)), "lines")
+    told = lines.withColumn("able", able_charsets(charsets)(F.col("line"))).groupBy("path").agg(F.expr("bit_and(able)").alias("able"))
+    names = F.array(*map(F.lit, ("utf-8", *charsets)))
+    first = F.get(F.filter(F.transform(names, lambda n, k: F.when(F.getbit("able", k) == 1, n)), lambda n: n.isNotNull()), F.lit(0))
+    known = lines.hint("merge").join(told.select("path", first.alias("charset")).hint("merge"), "path")
+    utf8 = known.where("charset = 'utf-8'").select("path", "offset", F.regexp_replace(F.col("line").cast("string"), "^\ufeff", "").alias("text"), "charset")
+    rest = known.where("charset <> 'utf-8'").select("path", "offset", _recoder()(F.col("line"), F.col("charset")).alias("text"), "charset")
+    return utf8.unionByName(rest).unionByName(known.where("charset IS NULL").select("path", "offset", F.lit(None).cast("string").alias("text"), "charset"))
+
+
+def able_charsets(charsets: tuple[str, ...]):
+    """Bit k of a line says that the k-th charset, UTF-8 first, can decode it."""
+
+    @F.pandas_udf("int")
+    def able(s: pd.Series) -> pd.Series:
+        def one(x: bytes) -> int:
+            bits = 0
+            for k, name in enumerate(("utf-8", *charsets)):
+                try:
+                    bytes(x).decode(name)
+                    bits |= 1 << k
+                except UnicodeDecodeError:
+                    pass
+            return bits
+
+        return s.map(one)
+
+    return able
+
+
+def _recoder():
+    @F.pandas_udf("string")
+    def recode(s: pd.Series, charset: pd.Series) -> pd.Series:
+        return pd.Series([bytes(x).decode(c) for x, c in zip(s, charset)])
+
+    return recode
 
 
 def fence_strip(df: DataFrame, column: str = "text") -> DataFrame:
