@@ -32,24 +32,6 @@ TRIES = 32
 HEAVY = 0.1  # share of the window's spread of sizes from which a document outweighs it
 
 
-def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
-    """Weighted shares of the whole, none above cap times its size; the excess goes to the others by weight."""
-    total, out = float(sum(sizes)), [0.0] * len(sizes)
-    free, left = set(range(len(sizes))), total
-    while free:
-        unit = left / sum(weights[k] for k in free)
-        full = {k for k in free if weights[k] * unit > cap * sizes[k]}
-        if not full:
-            for k in free:
-                out[k] = weights[k] * unit
-            break
-        for k in full:
-            out[k] = float(cap * sizes[k])
-        left -= sum(out[k] for k in full)
-        free -= full
-    return out
-
-
 def flight(rows: list[tuple[float, int]], rng: random.Random) -> list[float]:
     """Probabilities after the flight: all 0 or 1 but the last few that no move can settle, two as a rule.
 
@@ -153,18 +135,51 @@ def told_apart(light: DataFrame) -> DataFrame:
     return light.hint("merge").join(nth.hint("merge"), "row", "left").withColumn("nth", F.coalesce("nth", F.lit(0).cast("long")))
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """Sources (source, ...) with rank: 0, 1, ... by code point, null last.
+
+    They are sorted by ranges and numbered within each; what the driver sums up is one count
+    a range.
+    """
+    spark = sources.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = F.asc_nulls_last("source")
+    at = F.monotonically_increasing_id()  # partition, then place in it
+    rows = common.save(sources.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("at", at), "ranked")
+    part = F.shiftright("at", 33)
+    before, offsets = 0, []
+    for r in rows.groupBy(part.alias("part")).count().orderBy("part").collect():
+        offsets += [F.lit(r["part"]), F.lit(before)]
+        before += r["count"]
+    start = F.create_map(*offsets)[part] if offsets else F.lit(0)
+    return rows.withColumn("rank", start + F.col("at") - F.shiftleft(part, 33)).drop("at")
+
+
 def source_targets(light: DataFrame, weights=WEIGHTS, cap: float = CAP) -> tuple[DataFrame, int]:
     """((source_name, source_size, target), number of documents).
 
-    One row per source, some 100 bytes, passes the driver: a table of sources, not of
-    documents, so a million sources are 100 MB there.
+    Weighted shares of the whole, none above cap times its source's size; the excess goes to
+    the others by weight. A source is full where its limit by weight lies below the share of
+    a unit of weight; each round sums up limits and weights over the table of sources until
+    no further one is full, so the driver sees a few sums however many sources there are.
     """
-    rows = light.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-    rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    found = targets([r["size"] for r in rows], [weights[k % len(weights)] for k in range(len(rows))], cap)
-    table = light.sparkSession.createDataFrame([(r["source"], r["size"], t) for r, t in zip(rows, found)], "source_name string, source_size long, target double")
-    table = F.broadcast(table) if len(rows) <= BROADCAST_SOURCES else table.hint("merge")
-    return table, sum(r["n"] for r in rows)
+    sources = ranked(light.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    table = common.save(sources.withColumn("weight", weight).withColumn("limit", float(cap) * F.col("size")), "sources")
+    total, n_sources, n_rows = table.agg(F.sum("size"), F.count("*"), F.sum("n")).first()
+    unit, full = 0.0, F.lit(False)
+    while n_sources:
+        free, used, n_full = table.agg(F.sum(F.when(~full, F.col("weight"))), F.sum(F.when(full, F.col("limit"))), F.sum(full.cast("int"))).first()
+        if not free:
+            break
+        unit = (total - (used or 0.0)) / free
+        more = full | (F.col("weight") * unit > F.col("limit"))
+        if table.agg(F.sum(more.cast("int"))).first()[0] == n_full:
+            break
+        full = more
+    target = F.when(full, F.col("limit")).otherwise(F.col("weight") * F.lit(unit))
+    found = table.select(F.col("source").alias("source_name"), F.col("size").alias("source_size"), target.alias("target"))
+    return F.broadcast(found) if n_sources <= BROADCAST_SOURCES else common.save(found, "targets").hint("merge"), n_rows or 0
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9, row: str | None = None) -> DataFrame:
@@ -218,7 +233,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP, seed: int = 9, row:
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with all columns."""
+    """The mix itself: every row of ``docs`` as often as it is taken, with all columns.
+
+    Null or empty text has no words to take, but may be taken as a document. Null doc_ids and
+    sources, repeated rows and very long texts: as for ``mix``. Empty table: no rows. Other
+    columns go along, whatever their names.
+    """
     rows, name = common.save_numbered(docs)
     chosen = mix(rows, row=name, **how).where("copies > 0").select(F.col("row").alias(name), F.sequence(F.lit(1), "copies").alias("__times"))
     joined = rows.select(name, F.struct(*docs.columns).alias("__doc")).hint("merge").join(chosen.hint("merge"), name)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,41 +24,46 @@ CONTINUATION = bytes(range(0x80, 0xC0))
 SPACES = b"\t\n\x0b\x0c\r "
 WINDOW = 5
 SAMPLE_ROWS = 500
+SPARE = 4  # times as many rows are looked at, since texts repeat
 
 
 class Text:
-    """One text's measures, each computed when first asked for."""
+    """One text's measures, each computed when first asked for and then remembered."""
 
     def __init__(self, text: str | None):
         self.data = (text or "").encode()
-        self._words = None
 
-    @property
+    @cached_property
     def words(self) -> list[bytes]:
-        if self._words is None:
-            self._words = self.data.split()
-        return self._words
+        return self.data.split()
 
+    @cached_property
     def n_words(self) -> int:
         return len(self.words)
 
+    @cached_property
     def word_chars(self) -> int:
         return len(self.data.translate(None, CONTINUATION + SPACES))
 
+    @cached_property
     def n_symbols(self) -> int:
         return len(self.data.translate(None, NOT_SYMBOLS))
 
-    def n_dup_lines(self) -> int:
-        seen, n = set(), 0
-        for line in self.data.split(b"\n"):
-            if line.strip(SPACES):
-                n += line in seen
-                seen.add(line)
-        return n
+    @cached_property
+    def lines(self) -> tuple[int, int]:
+        """Lines with a word, and those of them that equal an earlier one."""
+        own = [line for line in self.data.split(b"\n") if line.strip(SPACES)]
+        return len(own), len(own) - len(set(own))
 
+    @property
     def n_lines(self) -> int:
-        return sum(1 for line in self.data.split(b"\n") if line.strip(SPACES))
+        return self.lines[0]
+
+    @property
+    def n_dup_lines(self) -> int:
+        return self.lines[1]
 
+    @cached_property
     def n_repeat_words(self) -> int:
         return repeated_words(self.words)
 
@@ -90,25 +96,27 @@ def repeated_words(words: list[bytes], k: int = WINDOW) -> int:
 
 #: name -> True where the text is rejected. Integer comparisons, so SQL can restate them.
 RULES: dict[str, Callable[[Text], bool]] = {
-    "few_words": lambda t: t.n_words() < 10,
-    "repeated_windows": lambda t: 100 * t.n_repeat_words() > 20 * t.n_words(),
-    "symbols": lambda t: 10 * t.n_symbols() > t.n_words() and t.n_words() > 0,
-    "word_length": lambda t: t.n_words() > 0 and not 2 * t.n_words() <= t.word_chars() <= 20 * t.n_words(),
-    "repeated_lines": lambda t: t.n_dup_lines() >= 3 and 10 * t.n_dup_lines() > 3 * t.n_lines(),
+    "few_words": lambda t: t.n_words < 10,
+    "repeated_windows": lambda t: 100 * t.n_repeat_words > 20 * t.n_words,
+    "symbols": lambda t: 10 * t.n_symbols > t.n_words and t.n_words > 0,
+    "word_length": lambda t: t.n_words > 0 and not 2 * t.n_words <= t.word_chars <= 20 * t.n_words,
+    "repeated_lines": lambda t: t.n_dup_lines >= 3 and 10 * t.n_dup_lines > 3 * t.n_lines,
 }
 
 
 def plan(docs: DataFrame, rules=None, rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names in the order to run them, from a sample of at most ``rows`` texts.
 
-    The sample, the distinct texts with the smallest hashes, only orders the rules, so a
-    text that stands very often counts once. A rule that rejects nothing comes last,
+    The sample, distinct texts whose hashes are among the smallest, only orders the rules,
+    so a text that stands very often counts once. The hash range is chosen by the number of
+    rows, so one pass over the texts finds it. A rule that rejects nothing comes last,
     cheapest first.
     """
     rules = rules or RULES
-    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    hashes = [r["h"] for r in texts.select("h").distinct().orderBy("h").limit(rows).collect()]
-    sample = texts.where(F.col("h") <= max(hashes, default=0)).groupBy("h").agg(F.first("text").alias("text"))
+    share = min(1.0, SPARE * rows / max(docs.count(), 1))
+    low = F.lit(min(int(share * (1 << 64)), (1 << 64) - 1) - (1 << 63))
+    texts = docs.select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text")).where(F.col("h") <= low)
+    sample = texts.groupBy("h").agg(F.first("text").alias("text")).orderBy("h").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, hit, seen = dict.fromkeys(rules, 0.0), dict.fromkeys(rules, 0), 0
@@ -136,7 +144,8 @@ def first_failure(text: Text, order: list[str], rules=None) -> str | None:
 def cascade(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs`` with its measures, failed_rule and kept.
 
-    The verdict comes from the cascade; the measures are reported for every text. Null or
+    The verdict comes from the cascade; the measures are reported for every text, and those
+    that a rule has asked for are not made again. Null or
     empty text: no words, rejected. Null doc_ids and repeated rows stay; an empty table
     gives no rows; extra columns are ignored.
     """
@@ -150,9 +159,9 @@ def cascade(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 t = Text(text)
                 failed = first_failure(t, order)
-                n, repeated = t.n_words(), t.n_repeat_words()
+                n, repeated = t.n_words, t.n_repeat_words
                 base = n < 10 or 100 * repeated > 20 * n
-                rows.append((doc_id, n, t.word_chars(), t.n_symbols(), t.n_dup_lines(), repeated, base, failed is None, failed))
+                rows.append((doc_id, n, t.word_chars, t.n_symbols, t.n_dup_lines, repeated, base, failed is None, failed))
             types = [*[pa.int64()] * 6, pa.bool_(), pa.bool_(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
@@ -160,7 +169,12 @@ def cascade(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, all columns; each text runs until its first failure."""
+    """The rows of ``docs`` that no rule rejects, all columns; each text runs until its first failure.
+
+    Null or empty text: rejected. Null doc_ids and repeated rows stay as they are; very long
+    texts are judged whole; an empty table gives no rows; other columns go along, whatever
+    their names.
+    """
     order = order or plan(docs)
     common.bound_batches(docs.sparkSession)
     at = docs.columns.index("text")

@@ -80,9 +80,11 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = 40) -> None:
     """Write ``docs`` with a shard column, one folder per shard; a map over the scan, no shuffle.
 
-    A column of the caller's named shard is renamed to shard_ before.
+    A column of the caller's named shard gets underscores behind it until no other has its
+    name. Null doc_ids have a shard of their own number; repeated rows, null, empty and very
+    long texts are written as they are; an empty table writes no folder.
     """
-    docs = docs.withColumnRenamed("shard", "shard_")
+    docs = docs.withColumnRenamed("shard", common.fresh(docs, "shard_"))
 
     @F.pandas_udf("int")
     def shard(ids):

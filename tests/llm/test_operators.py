@@ -500,11 +500,38 @@ def test_near_dedup_holds_pairs_to_the_similarity(spark, monkeypatch, most):
 # ---- op 9
 
 
-def test_targets():
-    assert mixing.targets([10, 10, 10], [5, 2, 1]) == [18.75, 7.5, 3.75]
-    got = mixing.targets([1, 100, 100], [5, 2, 1])
-    assert got[0] == 3 and math.isclose(sum(got), 201) and math.isclose(got[1], 2 * got[2])
-    assert mixing.targets([], []) == [] and mixing.targets([0, 0], [5, 2]) == [0.0, 0.0]
+def targets_plain(sizes, weights, cap=3):
+    """Weighted shares of the whole, none above cap times its size; the excess goes to the others by weight."""
+    total, out = float(sum(sizes)), [0.0] * len(sizes)
+    free, left = set(range(len(sizes))), total
+    while free:
+        unit = left / sum(weights[k] for k in free)
+        full = {k for k in free if weights[k] * unit > cap * sizes[k]}
+        if not full:
+            for k in free:
+                out[k] = weights[k] * unit
+            break
+        for k in full:
+            out[k] = float(cap * sizes[k])
+        left -= sum(out[k] for k in full)
+        free -= full
+    return out
+
+
+def test_targets(spark, monkeypatch):
+    def targets(sizes, weights):
+        light = spark.createDataFrame([(f"s{k:04d}" if k < len(sizes) - 1 else None, n) for k, n in enumerate(sizes)] * 2, "source string, size long").selectExpr("source", "size div 2 AS size").repartition(3)
+        found = {r["source_name"]: r["target"] for r in mixing.source_targets(light, weights)[0].collect()}
+        return [found[k] for k in sorted(found, key=lambda s: (s is None, s))]
+
+    assert targets([10, 10, 10], [5, 2, 1]) == [18.75, 7.5, 3.75] == targets_plain([10, 10, 10], [5, 2, 1])
+    got = targets([2, 100, 100], [5, 2, 1])
+    assert got[0] == 6 and math.isclose(sum(got), 202) and math.isclose(got[1], 2 * got[2])
+    assert targets([], [5]) == [] and targets([0, 0], [5, 2]) == [0.0, 0.0]
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 10)
+    rng = np.random.default_rng(8)
+    sizes = [int(n) * 2 for n in rng.pareto(0.6, 400) * 5]
+    assert targets(sizes, (5, 2, 1)) == targets_plain(sizes, [(5, 2, 1)[k % 3] for k in range(400)])
 
 
 def test_mixing(spark, corpus, no_rows):
@@ -514,7 +541,7 @@ def test_mixing(spark, corpus, no_rows):
     for r in corpus.collect():
         sizes[r["source"]] += len([w for w in SPACE.split(r["text"] or "") if w])
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
-    want = dict(zip(order, mixing.targets([sizes[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))])))
+    want = dict(zip(order, targets_plain([sizes[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))])))
     assert Counter((r["source_size"], round(r["target"], 6)) for r in got) == Counter((sizes[r["source"]], round(want[r["source"]], 6)) for r in corpus.collect())
     assert all(r["taken"] <= 3 * r["size"] for r in got)
     assert counted(mixing.mix(docs).collect()) == counted(got)
