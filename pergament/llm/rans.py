@@ -154,29 +154,83 @@ def segment_bytes(start: int, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.
     yield TAIL.pack(start, len(doc_ids), len(checks), offset, offset + len(docs), table.crc, zlib.crc32(docs + index), SCALE, MAGIC)
 
 
-def read_segment(path: str, table: Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-    """(first token, doc_ids, token counts, tokens) of a whole segment."""
-    fs, inner = common.open_fs(path)
-    with fs.open_input_file(inner) as file:
+class Segment:
+    """Footer of an open segment file; blocks are read by their checkpoints when asked for.
+
+    A damaged footer, or one written with another frequency table, raises ValueError; a
+    damaged block does so when it is decoded, and only then.
+    """
+
+    def __init__(self, file, table: Table, name: str = "segment"):
+        self.file, self.table = file, table
         size = file.size()
-        start, n_docs, n_blocks, docs_at, index_at, table_crc, crc, scale, magic = TAIL.unpack(file.read_at(TAIL.size, size - TAIL.size))
+        self.start, n_docs, _, docs_at, index_at, table_crc, crc, scale, magic = TAIL.unpack(file.read_at(TAIL.size, size - TAIL.size))
         footer = file.read_at(size - TAIL.size - docs_at, docs_at)
         if magic != MAGIC or bytes(file.read_at(4, 0)) != MAGIC or zlib.crc32(footer) != crc:
-            raise ValueError(f"{path}: damaged segment")
+            raise ValueError(f"{name}: damaged segment")
         if table_crc != table.crc or scale != SCALE:
-            raise ValueError(f"{path}: written with another frequency table")
+            raise ValueError(f"{name}: written with another frequency table")
         docs = np.frombuffer(zlib.decompress(footer[: index_at - docs_at]), dtype="<i8")
-        checks = np.frombuffer(footer[index_at - docs_at :], dtype=CHECKPOINT)
-        parts = []
-        for k in range(0, n_blocks, GROUP):
-            some = checks[k : k + GROUP]
-            blocks = []
-            for c in some:
-                data = file.read_at(LANES * 8 + 4 * int(c["words"]), int(c["offset"]))
-                blocks.append((int(c["n"]), np.frombuffer(data, "<u8", LANES), np.frombuffer(data, "<u4", offset=LANES * 8), int(c["crc"])))
-            parts.append(decode_blocks(blocks, table))
+        self.doc_ids, self.lengths = docs[:n_docs], docs[n_docs:]
+        self.checkpoints = np.frombuffer(footer[index_at - docs_at :], dtype=CHECKPOINT)
+
+    def blocks(self, first: int, last: int) -> Iterator[np.ndarray]:
+        """Tokens of the blocks ``first`` to ``last`` (exclusive), GROUP blocks at a time."""
+        for k in range(first, last, GROUP):
+            some = []
+            for c in self.checkpoints[k : min(k + GROUP, last)]:
+                data = self.file.read_at(LANES * 8 + 4 * int(c["words"]), int(c["offset"]))
+                some.append((int(c["n"]), np.frombuffer(data, "<u8", LANES), np.frombuffer(data, "<u4", offset=LANES * 8), int(c["crc"])))
+            yield decode_blocks(some, self.table)
+
+    def tokens(self, start: int, end: int) -> np.ndarray:
+        """Tokens ``start`` to ``end`` (exclusive), numbered as in the archive: the blocks that hold them are decoded, no other."""
+        firsts = self.checkpoints["start"].astype(np.int64)
+        first, last = int(np.searchsorted(firsts, start, "right")) - 1, int(np.searchsorted(firsts, end, "left"))
+        if start < self.start or end > self.start + int(self.lengths.sum()):
+            raise ValueError("these tokens are not all in this segment")
+        if end <= start:
+            return np.zeros(0, dtype=np.uint32)
+        at = int(firsts[first])
+        return np.concatenate(list(self.blocks(first, last)))[start - at : end - at]
+
+
+def read_segment(path: str, table: Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """(first token, doc_ids, token counts, tokens) of a whole segment."""
+    fs, inner = common.open_fs(path)
+    with fs.open_input_file(inner) as file:
+        segment = Segment(file, table, path)
+        parts = list(segment.blocks(0, len(segment.checkpoints)))
     ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
-    return start, docs[:n_docs], docs[n_docs:], ids
+    return segment.start, segment.doc_ids, segment.lengths, ids
+
+
+def read_tokens(manifest: DataFrame, freq: np.ndarray, start: int, end: int) -> DataFrame:
+    """(start, ids) of the archive's tokens ``start`` to ``end`` (exclusive), in pieces of GROUP blocks at most.
+
+    Each piece is a row of its own before it is decoded, so tasks share one segment; every
+    task reads a footer and, by its checkpoints, the blocks of its pieces. Tokens that no
+    segment holds give no rows.
+    """
+    shared = manifest.sparkSession.sparkContext.broadcast(freq)
+    size = GROUP * BLOCK
+    low, high = F.greatest("first", F.lit(start)), F.least(F.col("first") + F.col("n_tokens"), F.lit(end))
+    named = manifest.select("path", F.col("start").alias("first"), "n_tokens").withColumns({"low": low, "high": high}).where("low < high")
+    piece = F.col("first") + (F.col("k") * size)
+    steps = F.sequence(F.floor((F.col("low") - F.col("first")) / size), F.floor((F.col("high") - 1 - F.col("first")) / size))
+    pieces = named.withColumn("k", F.explode(steps)).select("path", F.greatest("low", piece).alias("low"), F.least("high", piece + size).alias("high"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(shared.value)
+        for batch in batches:
+            for path, low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                fs, inner = common.open_fs(path)
+                with fs.open_input_file(inner) as file:
+                    ids = Segment(file, table, path).tokens(low, high)
+                yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=["start", "ids"])
+
+    n = max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4)
+    return pieces.repartition(n).mapInArrow(run, "start long, ids array<int>")
 
 
 # The settings of a vocabulary file that ``WordEncoder`` follows word by word.
