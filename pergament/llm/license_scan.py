@@ -3,9 +3,9 @@
 Every rolling word 2-gram hash of a text is joined to the positions of the same 2-gram in
 the templates (words checked, so a hash collision adds nothing). A hit at text position p
 and template position t votes for diagonal p - t. Votes of neighbouring diagonals (up to
-``DRIFT`` apart: a few words inserted or left out) are merged, and a span is verified by
-the share of the template's 2-grams that it holds. A phrase stands exactly where its
-diagonal alone has every 2-gram.
+``DRIFT`` apart: a few words inserted or left out) are merged to one occurrence, and its span
+is verified by the share of the template's 2-grams that it holds in their order. A phrase
+stands exactly where its diagonal alone has every 2-gram.
 """
 
 from __future__ import annotations
@@ -94,20 +94,35 @@ def votes(docs: DataFrame, templates) -> DataFrame:
 
 
 def spans(docs: DataFrame, templates=None) -> DataFrame:
-    """``votes`` with the span and the share of the template that the merged diagonals hold, and the verdict.
-
-    start and end: first and last word of the span in the text, from 0. found: a base phrase
-    needs all its 2-grams on its own diagonal; any other template MIN_SHARE of its 2-grams
-    within DRIFT diagonals. HEADER rows come along unfound.
+    """One row per occurrence of a template: ``votes`` with span, share, in_order and the verdict; and the HEADER rows, unfound.
+
+    Diagonals up to DRIFT apart are one occurrence; it is told at the one that gathers most
+    (ties: most votes of its own, then the smallest). start and end: first and last word of
+    the span in the text, from 0. share: the part of the template's 2-grams that it holds.
+    in_order: how many of them, less the places where the text goes back in the template.
+    found: a base phrase needs all its 2-grams on its own diagonal, so each of its diagonals
+    has a row; any other template needs MIN_SHARE of its 2-grams in order.
     """
     templates = templates or [(p, x, True) for p, x in BASE] + [(p, x, False) for p, x in TEMPLATES]
     near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(-DRIFT, DRIFT)
-    share = F.bit_count("merged") / F.col("n_grams")
+    weight = (F.bit_count("merged").cast("long") * 64 + F.col("votes")) * (1 << 40) - F.col("diagonal")
+    told = votes(docs, templates).withColumns({"merged": F.bit_or("seen").over(near), "start": F.min("first_at").over(near), "end": F.max("last_at").over(near) + 1})
+    told = told.withColumns({"weight": weight, "share": F.try_divide(F.bit_count("merged"), "n_grams")}).withColumn("most", F.max("weight").over(near))
+    hopeful = ~F.col("base") & (F.col("share") >= MIN_SHARE)
+    told = told.withColumn("parts", F.collect_list(F.when(F.bit_count("seen") > 0, F.struct("diagonal", "seen"))).over(near))
+    one = told.where((F.col("template") == HEADER) | F.col("base") | (F.col("weight") == F.col("most")))
+
+    def places(x):
+        return F.transform(F.filter(F.sequence(F.lit(0), F.col("n_grams") - 1), lambda t: F.getbit(x["seen"], t) == 1), lambda t: F.struct((t + x["diagonal"]).alias("at"), t.alias("t")))
+
+    ordered = F.sort_array(F.flatten(F.transform("parts", places)))
+    back = F.aggregate(ordered, F.struct(F.lit(0).alias("n"), F.lit(-1).alias("t")), lambda s, x: F.struct((s["n"] + (x["t"] < s["t"]).cast("int")).alias("n"), x["t"].alias("t")))["n"]
+    in_order = F.when(hopeful, F.bit_count("merged") - back)
     return (
-        votes(docs, templates)
-        .withColumns({"merged": F.bit_or("seen").over(near), "start": F.min("first_at").over(near), "end": F.max("last_at").over(near) + 1})
-        .withColumn("share", F.when(F.col("template") == HEADER, 0.0).when(F.col("base"), F.col("votes") / F.col("n_grams")).otherwise(share))
-        .withColumn("found", (F.col("template") != HEADER) & (F.col("share") >= F.when(F.col("base"), 1.0).otherwise(MIN_SHARE)))
+        one.withColumn("in_order", in_order)
+        .withColumn("share", F.when(F.col("template") == HEADER, 0.0).when(F.col("base"), F.col("votes") / F.col("n_grams")).otherwise(F.col("share")))
+        .withColumn("found", (F.col("template") != HEADER) & F.when(F.col("base"), F.col("share") >= 1.0).otherwise(F.coalesce(F.try_divide("in_order", "n_grams") >= MIN_SHARE, F.lit(False))))
+        .drop("weight", "most", "parts", "merged")
     )
 
 
@@ -153,8 +168,12 @@ g AS (SELECT r, unnest(range(1, len(w))) AS i, w FROM d),
 h AS (SELECT g.r, tpl.*, g.i - 1 - tpl.t AS diagonal FROM g JOIN tpl ON g.w[g.i] = tpl.w0 AND g.w[g.i + 1] = tpl.w1),
 v AS (SELECT r, template, n_grams, label, base, diagonal, count(*) AS votes, bit_or(1::BIGINT << t) AS seen FROM h GROUP BY ALL),
 m AS (SELECT *, bit_or(seen) OVER (PARTITION BY r, template ORDER BY diagonal RANGE BETWEEN {DRIFT} PRECEDING AND {DRIFT} FOLLOWING) AS merged FROM v),
-s AS (SELECT *, CASE WHEN base THEN votes / n_grams ELSE bit_count(merged) / n_grams END AS share FROM m),
-f AS (SELECT *, share >= CASE WHEN base THEN 1.0 ELSE {MIN_SHARE} END AS found FROM s)
+k AS (SELECT *, (bit_count(merged)::BIGINT * 64 + votes) * 1099511627776 - diagonal AS weight, CASE WHEN base THEN votes / n_grams ELSE bit_count(merged) / n_grams END AS share FROM m),
+o AS (SELECT * FROM k QUALIFY base OR weight = max(weight) OVER (PARTITION BY r, template ORDER BY diagonal RANGE BETWEEN {DRIFT} PRECEDING AND {DRIFT} FOLLOWING)),
+x AS (SELECT o.r, o.template, o.diagonal, (h.t < lag(h.t) OVER (PARTITION BY o.r, o.template, o.diagonal ORDER BY h.t + h.diagonal, h.t))::INT AS back
+  FROM o JOIN h ON o.r = h.r AND o.template = h.template AND h.diagonal BETWEEN o.diagonal - {DRIFT} AND o.diagonal + {DRIFT} WHERE NOT o.base AND o.share >= {MIN_SHARE}),
+b AS (SELECT r, template, diagonal, coalesce(sum(back), 0) AS back FROM x GROUP BY ALL),
+f AS (SELECT o.*, CASE WHEN base THEN share >= 1.0 ELSE share >= {MIN_SHARE} AND (bit_count(merged) - back) / n_grams >= {MIN_SHARE} END AS found FROM o LEFT JOIN b USING (r, template, diagonal))
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(*) FILTER (f.found AND f.base)::BIGINT AS n_base,
   min(f.diagonal) FILTER (f.found AND f.base)::BIGINT AS first_word, max(f.diagonal) FILTER (f.found AND f.base)::BIGINT AS last_word,
   coalesce(string_agg(DISTINCT f.label, ',' ORDER BY f.label) FILTER (f.found AND f.base), '') AS base_labels,
