@@ -26,9 +26,13 @@ PLAIN = (
     "news", "weather", "recipes", "garden", "library", "museum", "school", "university", "travel", "health", "science", "history", "music", "books",
     "maps", "docs", "wiki", "forum", "football", "local", "city", "arts", "cinema", "energy", "water", "law", "market", "jobs", "family", "kitchen",
     "review", "photo", "nature", "tennis", "theatre", "opera", "letters", "journal", "times", "herald", "radio", "studio", "cycling", "hiking",
-    "haus", "schule", "reise", "wetter", "maison", "jardin", "livre", "voyage", "casa", "tiempo", "libro", "mundo", "nation", "ration", "theory", "thread",
+    "haus", "schule", "reise", "wetter", "maison", "jardin", "livre", "voyage", "casa", "tiempo", "libro", "mundo",
 )
-PARTNERS = ("world", "hub", "zone", "online", "daily", "x", "net", "place", "win", "club", "point", "one")
+# What the names of such sites are put together with, before and behind the word.
+LURES = (("free", "best", "hot", "cheap", "buy", "win", "mega", "super", "real", "instant", "secret", "lucky"), ("online", "deals", "bonus", "24", "365", "4you", "vip", "live", "now", "club", "shop", "zone"))
+CIVIC = (("the", "city", "town", "national", "open", "royal", "our", "county", "old", "north", "saint", "public"), ("society", "institute", "council", "trust", "gallery", "archive", "press", "association", "group", "house", "centre", "today"))
+BAIT = ("/bonus/", "/join", "/signup.php", "/go/834", "/out/12.html", "/promo/20/", "/click/", "/vip/page/7")
+CALM = ("/about", "/archive/2020/05", "/collections/7/", "/staff.html", "/events/12", "/contact/", "/a/b/c.html", "/index.php")
 SITES = ("www.", "", "blog.", "m.", "http.", "de.")
 PATHS = ("/", "/en/12", "/fr/834.html", "/de/page/7/", "/es/4", "/archive/2020/05", "/index.php", "/a/b/c.html")
 ENDS = ("com", "org", "net", "info", "example.org", "example.net", "example.com")
@@ -69,15 +73,23 @@ def grams(host: Column, path: Column) -> Column:
     return F.concat(*(of(text, mark, n) for text, mark in ((host, "h"), (path, "p")) for n in GRAMS))
 
 
-def labelled_urls(spark: SparkSession, each: int = 7) -> DataFrame:
-    """(url, label 1.0 = block): ``each`` URLs for every word, the last two with the word in the path alone."""
+def labelled_urls(spark: SparkSession, unwanted=UNWANTED, plain=PLAIN, each: int = 21) -> DataFrame:
+    """(url, label 1.0 = block): ``each`` invented URLs for every word.
+
+    Of seven, one has the bare word as its site, four the word with a lure or with something
+    civic before or behind it, two the word in the path of a site of such a kind. Every
+    second path is one that both kinds of site have.
+    """
     rows = []
-    for label, words in ((1.0, UNWANTED), (0.0, PLAIN)):
+    for label, words, (before, behind), own in ((1.0, unwanted, LURES, BAIT), (0.0, plain, CIVIC, CALM)):
         for k, word in enumerate(words):
             for n in range(each):
-                other, end, path = PARTNERS[(k + 5 * n) % len(PARTNERS)], ENDS[(3 * k + n) % len(ENDS)], PATHS[(k + n) % len(PATHS)]
-                host = f"{PLAIN[(7 * k + n) % len(PLAIN)]}.{end}" if n >= each - 2 else f"{word}-{other}.{end}" if n % 2 else f"{other}-{word}.{end}" if n % 3 else f"{word}.{end}"
-                rows.append((f"http://{SITES[(k + n) % len(SITES)]}{host}" + (f"/{word}{path}" if n >= each - 2 else path), label))
+                first, last = before[(k + 5 * n) % len(before)], behind[(3 * k + 7 * n) % len(behind)]
+                glue = "-" if (k + n) % 3 else ""
+                name = (word, first + glue + word, word + glue + last, first + glue + word, word + glue + last, first + glue + last, first + glue + last)[n % 7]
+                path = PATHS[(k + n) % len(PATHS)] if (k + n // 7) % 2 else own[(k + 3 * n) % len(own)]
+                path = f"/{word}{path}" if n % 7 >= 5 else path
+                rows.append((f"http://{SITES[(k + n) % len(SITES)]}{name}.{ENDS[(3 * k + n) % len(ENDS)]}{path}", label))
     return spark.createDataFrame(rows, "url string, label double")
 
 
