@@ -16,6 +16,7 @@ from pergament.plans import views as V
 from pergament.plans.registry import query, rounded_sql
 from pergament.sources import io as S
 from pergament.sources.scratch import folder
+from pergament.streaming.parts import stream_parts
 from pergament.streaming.records import stream_records
 
 q = TQ.q
@@ -536,7 +537,10 @@ def s1_labels(spark, sf_dir):
     return found.select("path", "sample_id", "document_type", F.col("fields")["idNumber"].alias("idNumber"), F.col("fields")["fullName"].alias("fullName"), size.alias("n_fields"), "parse_error")
 
 
-@query(f"WITH {RECORDS_SQL}, v AS (SELECT doc_id, idNumber, gender, {VALID_SQL} AS errors FROM records) SELECT doc_id, idNumber, gender, array_to_string(errors, '; ') AS errors, len(errors) = 0 AS is_valid FROM v")
+STREAMED_SQL = f"WITH {RECORDS_SQL}, v AS (SELECT doc_id, idNumber, gender, {VALID_SQL} AS errors FROM records) SELECT doc_id, idNumber, gender, array_to_string(errors, '; ') AS errors, len(errors) = 0 AS is_valid FROM v"
+
+
+@query(STREAMED_SQL)
 def s6_stream(spark, sf_dir):
     """Cards that arrive as files, run through the stream; the SQL is that of the batch form."""
     base = folder(spark, "arrivals")
@@ -545,3 +549,15 @@ def s6_stream(spark, sf_dir):
     stream_records(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     done = spark.read.parquet(f"{base}/out")
     return done.select("doc_id", "idNumber", "gender", F.array_join("errors", "; ").alias("errors"), "is_valid")
+
+
+@query(STREAMED_SQL)
+def s6_parts(spark, sf_dir):
+    """Cards whose lines arrive in two halves, in any order of files; the SQL is that of the batch form."""
+    base = folder(spark, "arrivals")
+    lines = V.cards(spark, sf_dir).withColumns({"part": F.floor(F.col("line_no") / 6).cast("int"), "parts": F.lit(2)})
+    packed = lines.groupBy("doc_id", "part", "parts").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line).alias("lines"))
+    packed.select("doc_id", F.lit("2024-01-01 00:00:00").alias("arrived"), "part", "parts", "lines").repartition("part", "doc_id").write.json(f"{base}/in")
+    stream_parts(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    done = spark.read.parquet(f"{base}/out/records")
+    return done.select("doc_id", "idNumber", "gender", F.array_join("errors", "; ").alias("errors"), "is_valid")

@@ -1,10 +1,13 @@
 """File listings, packed and ranged reading, and documents that arrive in parts."""
 
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pergament.sources import files as Fi
 from pergament.sources import io as S
+from pergament.streaming import parts as P
+from pergament.streaming import records as R
 
 
 def test_listing_holds_empty_files_and_all_folders(spark, tmp_path, monkeypatch):
@@ -54,3 +57,47 @@ def test_large_texts_are_decoded_as_whole_files(spark, tmp_path):
     for r in S.read_lines_fallback(spark, str(tmp_path)).orderBy("path", "offset").collect():
         lines.setdefault(r["path"], []).append((r["text"], r["charset"]))
     assert {p: ("\n".join(t for t, _ in rows), rows[0][1]) for p, rows in lines.items()} == {p: (t.removesuffix("\n"), c) for p, (t, c) in whole.items()}
+
+
+CARD = ["No: 0010 9501 {:04d}", "Ho va ten / Full name:", "TRAN VAN MAU", "Ngay sinh / Date of birth: 05/07/1990", "Gioi tinh / Sex: Nu Quoc tich / Nationality: Viet Nam", "Co gia tri den: 05/07/2030"]
+
+
+def arrive(landing, name, *parts):
+    """Parts (doc_id, minute, part, parts, lines) as a file."""
+    landing.mkdir(exist_ok=True)
+    start = datetime(2024, 1, 1)
+    rows = [{"doc_id": d, "arrived": (start + timedelta(minutes=m)).strftime("%Y-%m-%dT%H:%M:%S.000Z"), "part": p, "parts": n, "lines": lines} for d, m, p, n, lines in parts]
+    (landing / name).write_text("".join(json.dumps({k: v for k, v in r.items() if v is not None}) + "\n" for r in rows))
+
+
+def test_documents_in_parts_become_whole(spark, tmp_path):
+    """Each card is split over two files, the second half first for some; batch and stream agree."""
+    cards = {d: [line.format(d) for line in CARD] for d in range(40)}
+    first = [(d, 0, 0, 2, lines[:3]) for d, lines in cards.items()]
+    second = [(d, 1, 1, 2, lines[3:]) for d, lines in cards.items()]
+    swapped = lambda a, b: [x if x[0] % 3 else y for x, y in zip(a, b)]
+    arrive(tmp_path / "in", "a.json", *swapped(first, second), first[1])
+    run = lambda: P.stream_parts(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    run()
+    records = lambda: spark.read.parquet(str(tmp_path / "out" / "records"))
+    assert records().count() == 0
+    arrive(tmp_path / "in", "b.json", *swapped(second, first))
+    run()
+    batch = R.records_of(spark.createDataFrame([(d, datetime(2024, 1, 1), lines) for d, lines in cards.items()], R.ARRIVAL))
+    key = lambda df: sorted(map(str, df.select(*batch.columns).collect()))
+    assert key(records()) == key(batch) and {r["outcome"] for r in records().collect()} == {"whole"}
+
+
+def test_documents_that_wait_and_parts_that_are_late(spark, tmp_path):
+    whole = [line.format(7) for line in CARD]
+    landing, run = tmp_path / "in", lambda: P.stream_parts(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    read = lambda kind: spark.read.parquet(str(tmp_path / "out" / kind)).collect()
+    arrive(landing, "a.json", (7, 0, 0, 2, whole[:4]), (8, 0, 0, None, whole))
+    run()
+    assert read("records") == []
+    arrive(landing, "b.json", (9, 25, 0, 1, whole))  # the watermark passes the wait of 7 and 8
+    run()
+    assert {(r["doc_id"], r["outcome"]) for r in read("records")} == {(7, "waited"), (8, "waited"), (9, "whole")}
+    arrive(landing, "c.json", (9, 26, 1, 1, ["x"]))
+    run()
+    assert [(r["doc_id"], r["part"], r["lines"]) for r in read("late")] == [(9, 1, ["x"])] and len(read("records")) == 3
