@@ -41,10 +41,19 @@ def b3_size(spark, sf_dir):
     return slim(B.filter_min_size(V.boxes(spark, sf_dir), 40, 2))
 
 
-@query(
-    f'WITH {V.BOXES_TWICE_SQL}, gone AS (SELECT c.doc_id, c.box_id FROM boxes2 o JOIN boxes2 c ON o.doc_id = c.doc_id AND c.box_id = o.box_id + 50000 AND o.box_id % 100000 < 50000 '
-    'WHERE (o."right" - c."left") / (c."right" - o."left") >= 0.8) SELECT doc_id, box_id, text FROM boxes2 ANTI JOIN gone USING (doc_id, box_id)'
-)
+# the greedy rule in rounds: what no better box overlaps stays, what a box that stays overlaps goes; three rounds settle these boxes
+SHARED = """(least(o."right", c."right") - greatest(o."left", c."left")) * (least(o.bottom, c.bottom) - greatest(o.top, c.top))"""
+DUPLICATES_SQL = V.BOXES_TWICE_SQL + f""", ky AS (SELECT *, regexp_replace(lower(text), '[^\\pL\\pN]', '', 'g') AS key, ("right" - "left") * (bottom - top) AS area FROM boxes2),
+ov AS MATERIALIZED (SELECT c.doc_id, o.box_id AS better, c.box_id FROM ky o JOIN ky c ON o.doc_id = c.doc_id AND o.key = c.key AND o.line_no = c.line_no AND o.box_id <> c.box_id AND o."left" < c."right" AND c."left" < o."right"
+ WHERE {SHARED} / (o.area + c.area - {SHARED}) >= 0.8 AND (o.confidence > c.confidence OR o.confidence = c.confidence AND (o.area > c.area OR o.area = c.area AND o.box_id < c.box_id))),
+g1 AS (SELECT DISTINCT doc_id, box_id FROM ov WHERE NOT EXISTS (SELECT 1 FROM ov w WHERE w.doc_id = ov.doc_id AND w.box_id = ov.better)),
+o2 AS (SELECT * FROM ov ANTI JOIN g1 USING (doc_id, box_id) WHERE NOT EXISTS (SELECT 1 FROM g1 WHERE g1.doc_id = ov.doc_id AND g1.box_id = ov.better)),
+g2 AS (SELECT DISTINCT doc_id, box_id FROM o2 WHERE NOT EXISTS (SELECT 1 FROM o2 w WHERE w.doc_id = o2.doc_id AND w.box_id = o2.better)),
+o3 AS (SELECT * FROM o2 ANTI JOIN g2 USING (doc_id, box_id) WHERE NOT EXISTS (SELECT 1 FROM g2 WHERE g2.doc_id = o2.doc_id AND g2.box_id = o2.better)),
+g3 AS (SELECT DISTINCT doc_id, box_id FROM o3), gone AS (SELECT * FROM g1 UNION ALL SELECT * FROM g2 UNION ALL SELECT * FROM g3)"""
+
+
+@query(f"WITH {DUPLICATES_SQL} SELECT doc_id, box_id, text FROM boxes2 ANTI JOIN gone USING (doc_id, box_id)")
 def b4_duplicates(spark, sf_dir):
     return slim(B.suppress_duplicates(V.boxes(spark, sf_dir, twice=True)))
 
@@ -222,6 +231,37 @@ def b14_template_earlier(spark, sf_dir):
     return B.template_fields(boxes, pages, T.REGIONS_V1).select("doc_id", "field", "raw", "confidence")
 
 
+STRIPPED = "CASE region " + " ".join(f"WHEN '{f}' THEN " + TQ.squeeze_sql(f"regexp_replace(regexp_replace(raw, {TQ.q(p)}, ' ', 'gi'), '^[\\s:/,;.-]+', '')") for f, p in (("idNumber", r"\b(?:so|no)\b"), ("fullName", T.NAME_LABEL), ("dateOfBirth", T.BIRTH_LABEL), ("gender", T.GENDER_LABEL), ("nationality", T.NATIONALITY_LABEL), ("placeOfOrigin", T.ORIGIN_LABEL), ("placeOfResidence", T.RESIDENCE_LABEL), ("dateOfExpiry", T.EXPIRY_LABEL))) + " END"
+WORDS_OF = "array_to_string(regexp_extract_all(value, '\\pL+'), ' ')"
+FIELD_VALUE = f"""CASE WHEN region = 'idNumber' THEN nullif(regexp_extract(regexp_replace(translate(value, 'OoIiLl', '001111'), '\\D', '', 'g'), '^\\d{{12}}$'), '')
+ WHEN region = 'fullName' THEN CASE WHEN len(regexp_extract_all(value, '\\pL+')) >= 2 AND length({WORDS_OF}) >= 3 THEN upper({WORDS_OF}) END
+ WHEN region LIKE 'date%' THEN CASE WHEN regexp_matches(fd, {TQ.q(TQ.FIELD_DATE)}) THEN {TQ.real_sql('(' + TQ.dmy_sql('fd', TQ.FIELD_DATE) + ')')} WHEN length(dg) = 8 THEN {TQ.real_sql('(' + TQ.eight_sql('dg') + ')')} END
+ WHEN region = 'gender' THEN {TQ.gender_sql('value', [w for w in T.FEMALE_WORDS if w != 'nuu'])}
+ WHEN region = 'nationality' THEN CASE WHEN regexp_matches(lower({TQ.FOLD.format(c='value')}), {TQ.q(T.COUNTRY_FIELD)}) THEN 'Việt Nam' ELSE nullif({WORDS_OF}, '') END
+ ELSE CASE WHEN length({TQ.FA}) >= 3 THEN {TQ.FA} END END"""
+#: Where a card's lines lie on the sheet: each line in the region of the field that it is about, as far as its text tells.
+PLACED = """CASE WHEN text IN ('No', 'So / No') OR regexp_matches(replace(text, ' ', ''), '^[0-9]{12}$') THEN 1 WHEN regexp_matches(lower(text), 'ngay|birth|/19') THEN 3 WHEN regexp_matches(lower(text), 'sex|^nam$|^nu$') THEN 4 WHEN regexp_matches(lower(text), '^viet') THEN 5 WHEN regexp_matches(lower(text), 'que|origin|xa |thon ') THEN 6 WHEN regexp_matches(lower(text), 'noi|residence|khu|to ') THEN 7 WHEN regexp_matches(lower(text), 'gia tri|expiry|/20') THEN 8 ELSE 2 END"""
+
+
+@query(
+    f"""WITH {CARD_BOXES_SQL}, {REGIONS_SQL}, own AS (SELECT * REPLACE (regexp_replace(text, '^(Nam|Nu) Quoc tich.*$', '\\1') AS text) FROM cards), spotted AS (SELECT *, {PLACED} AS spot FROM own), spots AS (SELECT *, row_number() OVER (ORDER BY o) AS spot FROM (SELECT *, CASE region {' '.join(f"WHEN '{r[0]}' THEN {n}" for n, r in enumerate(T.REGIONS))} END AS o FROM regions)),
+p AS (SELECT a.doc_id, a.box_id, a.text, a.confidence, s.x1 + a.row_id AS "left", s.y1 + a.row_id AS top, s.x1 + a.row_id + 20 AS "right", s.y1 + a.row_id + 10 AS bottom FROM spotted a JOIN spots s USING (spot)),
+h AS (SELECT doc_id, region, CASE WHEN region LIKE 'place%' THEN string_agg(text, ', ' ORDER BY {CY}, "left", box_id) ELSE string_agg(text, ' ' ORDER BY {CY}, "left", box_id) END AS raw FROM p JOIN regions ON {INSIDE} WHERE region <> 'portrait' GROUP BY doc_id, region),
+v AS (SELECT *, {STRIPPED} AS value FROM h), d AS (SELECT *, {TQ.FD} AS fd, regexp_replace({TQ.FD}, '\\D', '', 'g') AS dg FROM v)
+SELECT doc_id, region AS field, raw, {FIELD_VALUE} AS value FROM d"""
+)
+def b14_card_values(spark, sf_dir):
+    """Cleaned values of card texts that lie in the regions of the template sheet."""
+    names = {n + 1: r for n, r in enumerate(T.REGIONS)}
+    own = card_boxes(spark, sf_dir).withColumn("text", F.regexp_replace("text", "^(Nam|Nu) Quoc tich.*$", "$1"))
+    at = own.withColumn("spot", F.expr(PLACED.replace("regexp_matches", "regexp_like")))
+    corner = lambda k: F.create_map(*(F.lit(x) for n, r in names.items() for x in (n, float(r[k]))))[F.col("spot")] + F.col("row_id")
+    placed = at.select("doc_id", "box_id", "text", "confidence", corner(1).alias("left"), corner(2).alias("top"))
+    placed = placed.withColumns({"right": F.col("left") + 20.0, "bottom": F.col("top") + 10.0})
+    pages = placed.select("doc_id").distinct().select("doc_id", F.lit(T.SHEET[0]).alias("page_width"), F.lit(T.SHEET[1]).alias("page_height"))
+    return B.template_fields(placed, pages).select("doc_id", "field", "raw", "value")
+
+
 # ---- label search
 
 

@@ -111,6 +111,45 @@ def l6_name(spark, sf_dir):
     return L.labelled_name(TQ.lines_of(spark, sf_dir))
 
 
+AFTER_LABEL = lambda label, c="line": f"regexp_extract({c}, {q('(?is)^.*?' + label + '(.*)$')}, 1)"
+BEFORE_LABEL = lambda label, c="line": f"regexp_extract({c}, {q('(?is)^(.*?)' + label)}, 1)"
+FOLDED, NEXT = TQ.FOLD.format(c="line"), "next"
+
+
+@query(f"WITH {NEAR_SQL} {first_sql('fullName', f'CASE WHEN {has_sql(T.NAME_LABEL)} THEN coalesce({TQ.line_name_sql(AFTER_LABEL(T.NAME_LABEL))}, {TQ.line_name_sql(NEXT)}) END')}")
+def l6_name_simple(spark, sf_dir):
+    """The earlier policy: the label line or the next one."""
+    return L.labelled_name(TQ.lines_of(spark, sf_dir), simple=True)
+
+
+RECOVERED_NAME = ", ".join(TQ.fusion_name_sql(c) for c in (BEFORE_LABEL(T.NAME_LABEL_RECOVER), AFTER_LABEL(T.NAME_LABEL_RECOVER), "prev", "next", "next2"))
+
+
+@query(f"WITH {NEAR_SQL} {first_sql('fullName', f'CASE WHEN {has_sql(T.NAME_LABEL_RECOVER)} THEN coalesce({RECOVERED_NAME}) END')}")
+def l6_name_recovered(spark, sf_dir):
+    """The label line, the previous and the next two."""
+    return L.labelled_name(TQ.lines_of(spark, sf_dir), recover=True)
+
+
+SECTION = f"regexp_replace({TQ.squeeze_sql(FOLDED)}, {q('(?is)' + T.NATIONALITY_LABEL_WORD + '.*$')}, '')"
+SEX = f"regexp_replace(CASE WHEN regexp_matches({SECTION}, '(?i)\\bsex\\b') THEN regexp_extract({SECTION}, '(?is)\\bsex\\b\\s*[:/-]?\\s*(.*)$', 1) ELSE regexp_extract({SECTION}, '(?is)\\bgioi\\s*tinh\\b\\s*[:/-]?\\s*(.*)$', 1) END, '(?i)^\\s*/?\\s*sex\\s*[:/-]?\\s*', '')"
+
+
+@query(f"WITH {NEAR_SQL} {first_sql('gender', f'CASE WHEN {has_sql(T.GENDER_LABEL_RECOVER, FOLDED)} THEN {TQ.gender_sql(SEX)} END')}")
+def l4_gender_recovered(spark, sf_dir):
+    return L.labelled_gender(TQ.lines_of(spark, sf_dir), recover=True)
+
+
+CUT_NATION = f"regexp_replace({AFTER_LABEL(T.NATIONALITY_LABEL_RECOVER, FOLDED)}, {q('(?is)' + T.STOP_LABEL + '.*$')}, '')"
+
+
+@query(f"WITH {NEAR_SQL}, two AS (SELECT doc_id, line_no, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(line, '^.*Quoc tich / ', '') ELSE line END AS line FROM lines) {first_sql('nationality', f'CASE WHEN {has_sql(T.NATIONALITY_LABEL_RECOVER, FOLDED)} THEN {TQ.nation_sql(CUT_NATION)} END', 'two')}")
+def l5_nationality_recovered(spark, sf_dir):
+    """Of every third card, the line begins with the English label, so that nothing cuts its value."""
+    lines = TQ.lines_of(spark, sf_dir).withColumn("line", F.expr("CASE WHEN doc_id % 3 = 0 THEN regexp_replace(line, '^.*Quoc tich / ', '') ELSE line END"))
+    return L.labelled_nationality(lines, recover=True)
+
+
 def looks_sql(c: str) -> str:
     w = f"regexp_extract_all({c}, '[{TQ.LET}0-9]+')"
     return f"(len({w}) >= 2 AND len(list_filter({w}, lambda z: length(z) > 1)) > 0)"
@@ -518,6 +557,18 @@ def s2_intake(spark, sf_dir):
     return S.intake(files).select("path", "length", "ext", "accepted")
 
 
+# letters of Western Europe are the same bytes in both code pages, and no valid UTF-8 before an ASCII letter
+WESTERN = "CASE WHEN doc_id % 3 = 1 THEN 'Café à la crème, n° ' || doc_id WHEN doc_id % 3 = 2 THEN 'ÃÒ ' || doc_id ELSE text END"
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN doc_id % 3 = 2 THEN 'Ẳ ' || doc_id ELSE {WESTERN} END) AS text, CASE WHEN doc_id % 3 = 0 THEN 'utf-8' ELSE 'cp1258' END AS charset FROM documents")
+def s5_decode_charsets(spark, sf_dir):
+    """Two of three documents in a code page: what cp1258 can decode is read as it, also where cp1252 was meant."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), "doc_id", F.expr(WESTERN).alias("text"))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    return S.decode_fallback(docs.select("path", raw.alias("content"))).select(F.col("path").alias("doc_id"), F.md5("text").alias("text"), "charset")
+
+
 @query("SELECT doc_id, md5(text) AS text, 'utf-8' AS charset FROM documents")
 def s5_decode(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), F.col("text").cast("binary").alias("content"))

@@ -144,6 +144,12 @@ def t8_names(spark, sf_dir):
     return some.select("doc_id", "source", X.clean_name("value", "fusion").alias("fusion"), X.clean_name("value", "field").alias("field_"))
 
 
+def fusion_name_sql(c: str) -> str:
+    words = f"regexp_extract_all(regexp_replace({c}, {q('(?s)' + T.STOP_LABEL + '.*$')}, '', 'i'), '\\pL+')"
+    kept = f"list_filter({words}, lambda z: NOT list_contains({NOT_NAMES}, upper({FOLD.format(c='z')})) AND length(z) > 1)"
+    return f"CASE WHEN len({kept}) BETWEEN 2 AND 7 THEN upper(array_to_string({kept}, ' ')) END"
+
+
 def gender_sql(c: str, words=T.FEMALE_WORDS) -> str:
     w = f"regexp_replace(lower({FOLD.format(c=c)}), '[^a-z]', '', 'g')"
     return f"CASE WHEN {w} IN ({', '.join(map(q, words))}) THEN 'Nữ' WHEN {w} IN ('nam', 'male') THEN 'Nam' END"
