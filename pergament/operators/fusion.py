@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pergament.functions import tables as T
 from pergament.functions import text as X
 from pergament.operators.dictionary import by_value
-from pergament.sources.scratch import stored
+from pergament.sources.scratch import stored, stored_by
 
 
 def priority_table(spark, priorities=T.PRIORITIES) -> DataFrame:
@@ -105,6 +105,15 @@ def to_records(fused: DataFrame) -> DataFrame:
 # ---- F3 to F5
 
 
+def by_document(agreed: DataFrame, value: str) -> DataFrame:
+    """(doc_id, known): the rows (doc_id, k, value) of a document as one map, so that they are met by document alone."""
+    return agreed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", value))).alias("known"))
+
+
+def told(k: Column | str) -> Column:
+    return F.try_element_at(F.col("known"), X.col(k))
+
+
 def richest_equivalent(candidates: DataFrame, priorities=T.PRIORITIES, field: str = "fullName") -> DataFrame:
     """F3. Of the readings with the winner's folded key, the one with most accents (ties: the earlier source)."""
     places = candidates.where(F.col("field") == field).where("value <> ''").join(F.broadcast(priority_table(candidates.sparkSession, priorities)), ["field", "source"])
@@ -124,9 +133,9 @@ def reconcile_disputed(names: DataFrame, alternatives: DataFrame, canon: dict[st
     spelt = alternatives.where("value <> ''").select("doc_id", F.upper(X.fold(first)).alias("k"), F.upper(first).alias("s"))
     several = spelt.where(F.col("k").isin(*canon)).groupBy("doc_id", "k").agg(F.count_distinct("s").alias("n")).where("n >= 2")
     keyed = names.withColumn("k", F.upper(X.fold(first)))
-    joined = keyed.hint("merge").join(several.hint("merge"), ["doc_id", "k"], "left")
+    joined = keyed.hint("merge").join(by_document(several, "n").hint("merge"), "doc_id", "left")
     fixed = F.concat(F.try_element_at(literal_map(canon), F.col("k")), F.regexp_extract("value", r"^\S+(.*)$", 1))
-    return joined.select("doc_id", F.when(F.col("n").isNotNull(), fixed).otherwise(F.col("value")).alias("value"))
+    return joined.select("doc_id", F.when(told("k").isNotNull(), fixed).otherwise(F.col("value")).alias("value"))
 
 
 def restore_by_context(df: DataFrame, name: str = "fullName", gender: str = "gender") -> DataFrame:
@@ -150,16 +159,16 @@ ENDS = " ,.;:/-"
 def restore_components(primary: DataFrame, alternatives: DataFrame) -> DataFrame:
     """F6. A component without accents takes the one accented spelling that alternatives with its key agree on.
 
-    primary(doc_id, value) gives the order; alternatives(doc_id, value). Key join on
-    (doc_id, component key), nothing is compared pairwise.
+    primary(doc_id, value) gives the order; alternatives(doc_id, value). A document's
+    components are looked up by key, nothing is compared pairwise.
     """
     part = F.transform(F.split("value", "[,;]"), lambda p: X.strip_chars(p, ENDS))
     own = primary.select("doc_id", F.posexplode(part).alias("at", "piece")).where("piece <> ''").withColumn("k", X.key("piece", "component"))
     other = alternatives.select("doc_id", F.explode(part).alias("spelling")).where("spelling <> ''").withColumn("k", X.key("spelling", "component"))
     other = other.where((F.col("k") != "") & (X.diacritic_score("spelling") > 0))
     agreed = other.groupBy("doc_id", "k").agg(F.count_distinct(F.lower("spelling")).alias("n"), F.max("spelling").alias("spelling")).where("n = 1")
-    joined = own.hint("merge").join(agreed.hint("merge"), ["doc_id", "k"], "left")
-    piece = F.when((X.diacritic_score("piece") == 0) & F.col("spelling").isNotNull(), F.col("spelling")).otherwise(F.col("piece"))
+    joined = own.hint("merge").join(by_document(agreed, "spelling").hint("merge"), "doc_id", "left")
+    piece = F.when((X.diacritic_score("piece") == 0) & told("k").isNotNull(), told("k")).otherwise(F.col("piece"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", piece.alias("p")))), lambda s: s.p), ", ")
     return joined.groupBy("doc_id").agg(text.alias("value"))
 
@@ -174,8 +183,8 @@ def repair_identifiers(primary: DataFrame, alternatives: DataFrame) -> DataFrame
     agreed = mixed.groupBy("doc_id", "k").agg(F.count_distinct("t").alias("n"), F.max("t").alias("t")).where("n = 1")
     pieces = F.regexp_extract_all("value", F.lit(r"\p{N}+(?![\p{L}\p{N}])|[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
     own = primary.select("doc_id", F.posexplode(pieces).alias("at", "w")).withColumn("k", F.when(F.col("w").rlike("^[0-9]+$"), F.translate("w", *CONFUSED)))
-    joined = own.hint("merge").join(agreed.hint("merge"), ["doc_id", "k"], "left")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce("t", "w").alias("p")))), lambda s: s.p), "")
+    joined = own.hint("merge").join(by_document(agreed, "t").hint("merge"), "doc_id", "left")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce(told("k"), F.col("w")).alias("p")))), lambda s: s.p), "")
     return joined.groupBy("doc_id").agg(text.alias("value"))
 
 
@@ -183,10 +192,11 @@ def fuse_records(candidates: DataFrame) -> DataFrame:
     """F2 to F8 together: eight fields per document with sources.
 
     Raw-text values are recovered values already (operators.lines, recover forms). The
-    cleaned and the fused readings are read several times, so both are written first.
+    cleaned and the fused readings are read several times, so both are written first, in
+    buckets of documents: all that follows joins and groups by document without a shuffle.
     """
-    cleaned = stored(clean_candidates(candidates), "cleaned")
-    fused = stored(ranked(candidates, cleaned, T.PRIORITIES), "fused")
+    cleaned = stored_by(clean_candidates(candidates), "cleaned", "doc_id")
+    fused = stored_by(ranked(candidates, cleaned, T.PRIORITIES), "fused", "doc_id")
     best = richest_equivalent(cleaned)
     spelt = reconcile_disputed(best.select("doc_id", "value"), cleaned.where("field = 'fullName'").select("doc_id", "value"))
     names = best.drop("value").hint("merge").join(spelt.hint("merge"), "doc_id").select("doc_id", F.col("value").alias("__n"), F.col("source").alias("__s"))

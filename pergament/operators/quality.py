@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
 from pergament.functions.numbers import rounded
+from pergament.operators.dictionary import FEW_VALUES
+from pergament.sources.scratch import stored
 
 
 def validate(records: DataFrame) -> DataFrame:
@@ -92,13 +94,61 @@ def pick_variant(scores: DataFrame, retry: float = 7.0, margin: float = 1.5) ->
 
 
 def term_hits(corpus: DataFrame, terms: list[str], key: str = "path") -> DataFrame:
-    """Q9. (key, line_no from 1, term, line) of every line that holds a term; the terms are a short list."""
+    """Q9. (key, line_no from 1, term, line) of every line that holds a term; the terms are a short list, see ``term_table_hits`` for a table."""
     lines = corpus.select(key, F.posexplode(F.split("text", "\n")).alias("n", "line"))
     some = reduce(lambda a, b: a | b, (F.contains("line", F.lit(t)) for t in terms))
     held = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.col("line"), t))
     return lines.where(some).select(key, (F.col("n") + 1).alias("line_no"), F.explode(held).alias("term"), "line")
 
 
+GRAM = 4  # letters of the piece of a term that is looked up
+STRETCH = 128
+STRETCH = 128
+FEW_TERMS = 20_000  # terms whose pieces are sifted within the line, by their hashes, before it is taken apart
+
+
+def term_grams(terms: DataFrame) -> DataFrame:
+    """(term, gram, at, size): of each distinct term one piece of GRAM letters, the one that fewest terms have, and its place.
+
+    Shorter terms are their own piece; empty ones and nulls are left out.
+    """
+    known = terms.select(F.col("term").cast("string").alias("term")).where("term <> ''").distinct().withColumn("size", F.least(F.length("term"), F.lit(GRAM)))
+    starts = F.sequence(F.lit(1), F.length("term") - F.col("size") + 1)
+    pieces = known.select("term", "size", F.explode(starts).alias("at")).withColumn("gram", F.expr("substring(term, at, size)"))
+    shared = pieces.groupBy("gram").agg(F.count_distinct("term").alias("n"))
+    best = pieces.join(shared.hint("merge"), "gram").groupBy("term").agg(F.min(F.struct("n", "gram", "at", "size")).alias("b"))
+    return stored(best.select("term", "b.gram", "b.at", "b.size"), "terms")
+
+
+def term_table_hits(corpus: DataFrame, terms: DataFrame, key: str = "path") -> DataFrame:
+    """Q9 for a table of terms, of any number: (key, line_no from 1, term, line) of every line that holds a term.
+
+    Every piece of GRAM letters of a line is looked up among one chosen piece a term, and
+    the whole term is compared where it fits, so work grows with the text and the hits, not
+    with the number of terms. A term counts once a line, at its first place. Up to
+    FEW_VALUES terms are broadcast; beyond that pieces go to terms by shuffle, as numbers and
+    places alone, and come back to their lines by ``key``, which must then be unique.
+    """
+    grams = term_grams(terms)
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # 1 to GRAM
+    lines = corpus.select(key, F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    if not sizes:
+        return lines.select(key, (F.col("n") + 1).alias("line_no"), F.lit("").alias("term"), "line").where("false")
+    # letters are found by counting from the start, so a long line is cut into stretches first
+    stretch = F.sequence(F.lit(0), F.greatest(F.length("line") - 1, F.lit(0)), F.lit(STRETCH))
+    cut = lines.withColumn("begin", F.explode(stretch)).withColumn("t", F.substring(F.col("line"), F.col("begin") + 1, F.lit(STRETCH + GRAM - 1)))
+    placed = cut.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.least(F.length("t"), F.lit(STRETCH)))))
+    spread = placed.withColumn("gram", F.expr("substring(t, j, size)")).withColumn("i", F.col("begin") + F.col("j"))
+    start = F.col("i") - F.col("at") + 1
+    if grams.count() <= FEW_VALUES:
+        found = spread.select(key, "n", "line", "i", "gram", "size").join(F.broadcast(grams), ["gram", "size"])
+    else:
+        met = spread.select(key, "n", "i", "gram", "size").hint("merge").join(grams.hint("merge"), ["gram", "size"]).select(key, "n", "i", "at", "term")
+        found = met.hint("merge").join(lines.hint("merge"), [key, "n"])
+    first = (start > 0) & (F.expr("locate(term, line)") == start)
+    return found.where(first).select(key, (F.col("n") + 1).alias("line_no"), "term", "line")
+
+
 def files_with(corpus: DataFrame, terms: list[str], key: str = "path") -> DataFrame:
     """Q9. (key, term) of every text that holds a term, without splitting into lines."""
     held = F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(F.col("text"), t))

@@ -315,6 +315,18 @@ def q9_term_hits(spark, sf_dir):
     return Q.term_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), TERMS, "doc_id")
 
 
+#: A term from each document: some letters of its text.
+TERM_OF = "replace(substr(text, CAST(1 + doc_id % 60 AS INT), CAST(2 + doc_id % 14 AS INT)), chr(10), ' ')"
+
+
+@query(f"WITH l AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents), t AS (SELECT DISTINCT {TERM_OF} AS term FROM documents) SELECT doc_id, line_no::INT AS line_no, term, md5(line) AS line FROM l JOIN t ON contains(line, term) WHERE term <> ''")
+def q9_term_table(spark, sf_dir):
+    """As many terms as there are documents, looked for in all lines."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = Q.term_table_hits(docs, docs.select(F.expr(TERM_OF).alias("term")), "doc_id")
+    return found.select("doc_id", "line_no", "term", F.md5("line").alias("line"))
+
+
 @query("WITH m AS (SELECT doc_id, text, replace(replace(replace(text, 'the ', 'THE '), 'license', 'licence'), 'THE THE', 'THE') AS t FROM documents) SELECT doc_id, text <> t AS changed, md5(t) AS text FROM m")
 def q10_migrate_terms(spark, sf_dir):
     done = Q.migrate_terms(spark.read.parquet(f"{sf_dir}/documents.parquet"), [("the ", "THE "), ("license", "licence"), ("THE THE", "THE")])
