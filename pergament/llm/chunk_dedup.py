@@ -124,7 +124,12 @@ def dedup(docs: DataFrame, hash_bytes: int = 16, row: str | None = None) -> Data
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Null text is the empty one, of which one row stays. Of equal texts the smallest doc_id's
+    row stays (null doc_ids last), of rows that repeat both one. Very long texts are compared
+    whole, by their chunks. Empty table: no rows. Other columns go along, whatever their names.
+    """
     rows, name = common.save_numbered(docs)
     return common.without_rows(rows, name, dedup(rows, row=name).where("NOT kept"))
 

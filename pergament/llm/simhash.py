@@ -536,6 +536,11 @@ def exact_links(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """One row of each near-duplicate group (the smallest doc_id's), with all columns."""
+    """One row of each near-duplicate group (the smallest doc_id's), with all columns.
+
+    Null and empty texts are one group. Null doc_ids come last in their group; of rows that
+    repeat doc_id and text one stays. Very long texts are compared whole. Empty table: no
+    rows. Other columns go along, whatever their names.
+    """
     rows, name = common.save_numbered(docs)
     return common.without_rows(rows, name, cluster(rows, k, name).where("row <> first_row"))

@@ -705,6 +705,24 @@ def test_decisions_come_back_to_their_rows(spark, monkeypatch, stage):
         assert sorted(r[0] for r in want) == list(range(30))
 
 
+def assert_mixed(rows, taken):
+    """Every document is taken as often as its source's share says, rounded down or up, and each source comes near its target."""
+    n_words = lambda t: len([w for w in SPACE.split(t or "") if w])
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r["source"]] += n_words(r["text"])
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    target = dict(zip(order, targets_plain([sizes[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))])))
+    times, words = Counter((r["doc_id"], r["source"], r["text"]) for r in taken), Counter()
+    for key, n in Counter((r["doc_id"], r["source"], r["text"]) for r in rows).items():
+        share = min(3.0, target[key[1]] / sizes[key[1]]) if sizes[key[1]] else 0.0
+        assert n * math.floor(share + 1e-9) <= times[key] <= n * math.ceil(share - 1e-9)
+        words[key[1]] += times.pop(key, 0) * n_words(key[2])
+    assert not times  # nothing else is taken
+    for source in order:
+        assert abs(words[source] - target[source]) <= max(n_words(r["text"]) for r in rows if r["source"] == source)
+
+
 def test_pipeline_stages_on_odd_rows(spark, corpus):
     """Nulls, empty, very long and repeated texts, clashing column names; the reference of each stage is its own brute force."""
     import corpus_pipeline
@@ -721,7 +739,7 @@ def test_pipeline_stages_on_odd_rows(spark, corpus):
     assert near.columns == corpus.columns and near.count() == len(groups)
     mixed = stages["mix_sources"](spark, near, "")
     assert mixed.columns == corpus.columns
-    assert {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in near.collect()}
+    assert_mixed(near.collect(), mixed.collect())
     assert stages["bpe_encode"](spark, corpus, "").count() == corpus.count()
 
 
@@ -744,6 +762,8 @@ def test_pipeline(spark):
         if name == "exact_dedup":
             texts = [SPACE.sub(" ", r["text"] or "") for r in after.collect()]
             assert sorted(texts) == sorted({SPACE.sub(" ", r["text"] or "") for r in at.collect()})
+        if name == "mix_sources":
+            assert_mixed(at.collect(), after.collect())
         at = after
     got = corpus_pipeline.run(spark, folder)
     whole = Tokenizer.from_file(BYTES)
