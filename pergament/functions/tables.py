@@ -90,6 +90,11 @@ GENDER_LABEL_RECOVER = r"\b(?:gioi\s*tinh|sex)\b"
 NATIONALITY_LABEL_WORD = r"\b(?:quoc\s*tich|nationality)\b"
 NAME_LABEL_RECOVER = r"(?:ho\s*va\s*ten\s*/?\s*|full\s*name\s*:?)"
 NATIONALITY_LABEL_RECOVER = r"(?:quoc\s*tich\s*/?\s*|nationality\s*:?)"
+ORIGIN_LABEL_RECOVER = rf"(?:que\s*quan(?:\s*/?\s*(?:{ORIGIN_EN}))?|{ORIGIN_EN})\s*:?"
+RESIDENCE_LABEL_RECOVER = rf"(?:{RESIDENCE_VI}(?:\s*/?\s*(?:{RESIDENCE_EN}))?|{RESIDENCE_EN})\s*:?"
+ORIGIN_STOP_RECOVER = rf"(?:{RESIDENCE_VI}|{RESIDENCE_EN}|date\s*of\s*expiry)"
+RESIDENCE_STOP_RECOVER = r"\b(?:date\s*of\s*expiry)\b"
+NAME_HEADING = "FULL NAME|HO VA TEN|HOVA TEN"
 ENGLISH_HALF = r"^\s*/?\s*(?:full\s*name|date\s*of\s*birth|sex|nationality|place\s*of\s*origin|place\s*of\s*residence)\s*:?\s*"
 EXPIRY_WITH_DATE = r"(?:co|c[o0])\s*[g9]ia\s*(?:tri|t[1il])\s*den\s*\d{1,2}[/-]\d{1,2}[/-]\d{4}"
 STOP_LABEL_LINE = (

@@ -11,6 +11,7 @@ from pergament.operators import dictionary as D
 from pergament.operators import fusion as Fu
 from pergament.operators import labels as A
 from pergament.operators import lines as L
+from pergament.operators import quality as Q
 from pergament.plans import text_queries as TQ
 from pergament.plans import views as V
 from pyspark.sql import functions as F
@@ -173,3 +174,24 @@ def test_sweep_equals_the_plain_grouping(spark, monkeypatch, mode):
 def test_one_long_island(spark):
     boxes = spark.range(20_000).selectExpr("1L AS doc_id", "id AS box_id", "'x' AS text", "double(id % 50 * 20) AS left", "double(id div 50) * 12 AS top", "double(id % 50 * 20 + 18) AS right", "double(id div 50) * 12 + 20 AS bottom", "0.9D AS confidence")
     assert B.group_rows(boxes).select("row_id").distinct().count() == 400
+
+
+@pytest.mark.parametrize("few", [D.FEW_VALUES, 0])
+def test_terms_of_a_table_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "FEW_VALUES", few)
+    rng = random.Random(7)
+    docs = [(k, "\n".join("".join(rng.choice("abcé ") for _ in range(rng.choice([0, 3, 40, 300]))) for _ in range(4))) for k in range(25)] + [(90, None), (91, "")]
+    terms = {docs[rng.randrange(25)][1].replace("\n", " ")[k : k + rng.randint(1, 9)] for k in range(300)} | {"", "zzzz", "a", "é", docs[0][1].split("\n")[0]}
+    got = Q.term_table_hits(spark.createDataFrame(docs, "path long, text string"), spark.createDataFrame([(t,) for t in [*terms, None, "a"]], "term string"))
+    want = {(k, n + 1, t, line) for k, text in docs if text is not None for n, line in enumerate(text.split("\n")) for t in terms if t and t in line}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 500
+    assert Q.term_table_hits(spark.createDataFrame(docs, "path long, text string"), spark.createDataFrame([("",)], "term string")).count() == 0
+
+
+def test_fused_records_need_no_shuffle(spark):
+    """The cleaned and the fused readings lie in buckets of documents; what reads them moves nothing."""
+    records = Fu.fuse_records(V.candidates(spark, "/root/testdata/sf0.001").where("doc_id < 300"))
+    records.collect()
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan
