@@ -204,7 +204,7 @@ records AS (SELECT * FROM r1 JOIN r2 USING (doc_id) JOIN r3 USING (doc_id) JOIN
 
 @query(f"WITH {RECORDS_SQL} SELECT doc_id, {', '.join(T.FIELDS)} FROM records")
 def l10_extract(spark, sf_dir):
-    return L.extract_by_lines(TQ.lines_of(spark, sf_dir, facts=True))
+    return L.extract_by_lines(TQ.judged_lines(spark, sf_dir))
 
 
 LEGACY_DATE = "nullif(regexp_extract(regexp_replace(regexp_replace(translate(t, 'OoIl', '0011'), '(\\d{2})/(\\d{2})1(\\d{4})', '\\1/\\2/\\3', 'g'), '(\\d{2})/(\\d{2})(\\d{4})', '\\1/\\2/\\3', 'g'), '\\b\\d{2}/\\d{2}/\\d{4}\\b'), '')"
@@ -225,7 +225,7 @@ VALID_SQL = f"""list_filter([CASE WHEN NOT coalesce(regexp_matches(idNumber, '^\
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.extract_by_lines(TQ.lines_of(spark, sf_dir, facts=True))
+    return L.extract_by_lines(TQ.judged_lines(spark, sf_dir))
 
 
 @query(f"WITH {RECORDS_SQL}, v AS (SELECT doc_id, {VALID_SQL} AS errors FROM records) SELECT doc_id, array_to_string(errors, '; ') AS errors, len(errors) = 0 AS is_valid FROM v")

@@ -47,9 +47,14 @@ def normalize_sql(c: str) -> str:
 NORMAL_SQL = V.CARDS_SQL + f", n0 AS (SELECT doc_id, line_no AS place, {normalize_sql('line')} AS line FROM raw_cards), lines AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS line_no, line FROM n0 WHERE line <> '')"
 
 
-def lines_of(spark, sf_dir, facts: bool = False):
-    rows = V.cards(spark, sf_dir).withColumnRenamed("line_no", "at")
-    return L.renumber(L.normalized(rows, compose=False, once=True, facts=facts))
+def lines_of(spark, sf_dir):
+    return L.renumber(L.normalized(V.cards(spark, sf_dir).withColumnRenamed("line_no", "at"), compose=False, once=True))
+
+
+def judged_lines(spark, sf_dir):
+    """The same for extraction: with the facts of each line, in the order of their places on the card."""
+    lines = L.normalized(V.cards(spark, sf_dir).withColumnRenamed("line_no", "at"), compose=False, once=True, facts=True)
+    return lines.withColumnRenamed("at", "line_no")
 
 
 @query(f"WITH {V.CARDS_SQL} SELECT doc_id, line_no::INT AS line_no, {normalize_sql('line')} AS line FROM raw_cards")
