@@ -263,7 +263,7 @@ def test_captures_and_results(spark, tmp_path):
     for name, data in (("a.JPG", b"x"), ("b.png", b""), ("c.txt", b"x")):
         (tmp_path / "in" / name).write_bytes(data)
     got = {r["path"][-5:]: r["reason"] for r in S.read_captures(spark, str(tmp_path / "in")).collect()}
-    assert got == {"a.JPG": None, "c.txt": "unsupported extension"}  # Spark lists no empty file
+    assert got == {"a.JPG": None, "b.png": "empty file", "c.txt": "unsupported extension"}
     listed = spark.createDataFrame([("b.png", 0), ("d.jpeg", 11 << 20)], "path string, length long")
     assert [r["reason"] for r in S.intake(listed).orderBy("path").collect()] == ["empty file", "file too large"]
     rows = Q.validate(spark.createDataFrame([(1, *["x"] * 8)], "doc_id long, " + ", ".join(f"{f} string" for f in T.FIELDS)))
