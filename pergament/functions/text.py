@@ -158,23 +158,29 @@ def some_phrase(phrases: tuple[tuple[str, str], ...]) -> str:
     return r"(?i)\b(?=[" + "".join(sorted({p[0] for p in bare})) + "])(?:" + "|".join(bare) + ")"
 
 
+def literal_sql(text: str) -> str:
+    """A text as a SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+@lru_cache(8)
+def ordered_sql(phrases: tuple[tuple[str, str], ...]) -> str:
+    """The replacements of ``replace_ordered`` as a SQL lambda: one expression to parse, where columns would be thousands of calls."""
+
+    def chain(form) -> str:
+        return reduce(lambda y, p: f"regexp_replace({y}, {literal_sql(form(p[0]))}, {literal_sql(p[1].replace(chr(92), chr(92) * 2).replace('$', chr(92) + '$'))})", phrases, "phrase_of")
+
+    folded = "regexp_replace(translate(phrase_of, {}, {}), {}, '')".format(*map(literal_sql, (*fold_table(), r"\p{Mn}")))
+    return f"phrase_of -> CASE WHEN NOT {folded} RLIKE {literal_sql(some_phrase(phrases))} THEN phrase_of WHEN phrase_of RLIKE {literal_sql(ASCII)} THEN {chain(lambda p: '(?i)' + p)} ELSE {chain(tolerant)} END"
+
+
 def replace_ordered(c: Column | str, phrases: tuple[tuple[str, str], ...]) -> Column:
     """Replace accent- and case-insensitive patterns in their order, the text around them untouched.
 
     One alternation of all patterns on the folded text decides first, so most rows skip the
     chain; ASCII text takes plain patterns, which are many times cheaper than tolerant ones.
     """
-    new = [p[1].replace("\\", "\\\\").replace("$", "\\$") for p in phrases]
-
-    def chain(x: Column, form) -> Column:
-        return reduce(lambda y, k: F.regexp_replace(y, form(phrases[k][0]), new[k]), range(len(phrases)), x)
-
-    some = some_phrase(phrases)
-
-    def replaced(x: Column) -> Column:
-        return F.when(~fold(x).rlike(some), x).when(x.rlike(ASCII), chain(x, lambda p: "(?i)" + p)).otherwise(chain(x, tolerant))
-
-    return let(c, replaced)
+    return F.get(F.call_function("transform", F.array(col(c)), F.expr(ordered_sql(phrases))), F.lit(0))
 
 
 def replace_phrases(c: Column | str) -> Column:
@@ -640,13 +646,16 @@ def letters(compact: Column | str) -> Column:
     three times; rest counts what is beyond that.
     """
     half = len(KEY_LETTERS) // 2
-    wanted = [[F.struct(F.lit(c * n).alias("run"), F.lit(1 << (k * LEVELS + n - 1)).cast("long").alias("bit")) for k, c in enumerate(part) for n in range(1, LEVELS + 1)] for part in (KEY_LETTERS[:half], KEY_LETTERS[half:])]
 
-    def bits(run: Column, own: list[Column]) -> Column:
-        return F.aggregate(F.array(*own), F.lit(0).cast("long"), lambda m, w: F.when(F.contains(run, w["run"]), m.bitwiseOR(w["bit"])).otherwise(m))
+    def wanted(part: str) -> Column:
+        bits = (f"struct('{c * n}' AS run, {1 << (k * LEVELS + n - 1)}L AS bit)" for k, c in enumerate(part) for n in range(1, LEVELS + 1))
+        return F.expr(f"array({', '.join(bits)})")
+
+    def bits(run: Column, own: Column) -> Column:
+        return F.aggregate(own, F.lit(0).cast("long"), lambda m, w: F.when(F.contains(run, w["run"]), m.bitwiseOR(w["bit"])).otherwise(m))
 
     def packed(run: Column) -> Column:
-        return let(F.array(*(bits(run, w) for w in wanted)), lambda b: F.array(b[0], b[1], F.length(run) - F.bit_count(b[0]) - F.bit_count(b[1])))
+        return let(F.array(*(bits(run, wanted(p)) for p in (KEY_LETTERS[:half], KEY_LETTERS[half:]))), lambda b: F.array(b[0], b[1], F.length(run) - F.bit_count(b[0]) - F.bit_count(b[1])))
 
     return let(F.array_join(F.sort_array(F.split(col(compact), "")), ""), packed)
 

@@ -9,20 +9,32 @@ to it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pergament.functions.text import kept
 from pergament.sources.scratch import stored
 
 #: Distinct values up to which a dictionary is broadcast, and their bytes.
 FEW_VALUES, FEW_BYTES = 100_000, 32 << 20
 
 
+def dealt(values: DataFrame, *keys: str) -> DataFrame:
+    """Distinct values in spark.sql.shuffle.partitions even parts, for work that costs far more than their bytes tell.
+
+    Adaptive execution joins the partitions of a shuffle by bytes; a few megabytes of short
+    values would end in one or two tasks. Partitions of a stated number stay as they are;
+    they go by a hash of their own, since a second shuffle by the same keys would be dropped.
+    """
+    return values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*keys))
+
+
 def dictionary(rows: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame], name: str = "dictionary") -> DataFrame:
     """The written table of ``work`` over the distinct combinations of ``keys``; nulls take no part."""
     there = rows.select(*keys).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    return stored(work(there.distinct()), name)
+    return stored(work(dealt(there.distinct(), *keys)), name)
 
 
 def looked_up(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,3 +53,15 @@ def looked_up(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
 def by_value(rows: DataFrame, keys: list[str], work: Callable[[DataFrame], DataFrame], name: str = "dictionary") -> DataFrame:
     """Rows with what ``work`` adds to their keys, computed once for each distinct combination."""
     return looked_up(rows, dictionary(rows, keys, work, name), keys)
+
+
+def under_rules(values: DataFrame, kind: str, read: str, rules: dict[str, Callable[[Column], Column]], test: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Values with the column value that the rule of their kind makes of ``read``; other kinds go.
+
+    Each kind is a branch over the written values, so no row carries the code of other kinds.
+    With a test only the values that pass it stay.
+    """
+    values = stored(values, "readings")
+    one = lambda k: values.where(F.col(kind) == k)
+    made = [kept(one(k), "value", rule(F.col(read)), test) if test else one(k).withColumn("value", rule(F.col(read))) for k, rule in rules.items()]
+    return reduce(DataFrame.unionByName, made)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
 from pergament.functions import text as X
-from pergament.operators.dictionary import by_value
+from pergament.operators.dictionary import by_value, under_rules
 from pergament.sources.scratch import stored, stored_by
 
 
@@ -63,12 +63,8 @@ def clean_candidates(candidates: DataFrame, rules=RULES, recovered: bool = True)
         rule_of = F.when(F.col("source") == "RAW_TEXT_RECOVERY", "").otherwise(rule_of)
     rows = candidates.where(X.filled(F.col("value"))).withColumn("__rule", F.coalesce(rule_of, F.lit(""))).withColumnRenamed("value", "__read")
 
-    def cleaned(values: DataFrame) -> DataFrame:
-        values = stored(values, "readings")
-        one = [X.kept(values.where(F.col("__rule") == f), "value", rule(F.col("__read")), X.filled) for f, rule in rules.items()]
-        return reduce(DataFrame.unionByName, one)
-
-    ruled = by_value(rows.where("__rule <> ''"), ["__rule", "__read"], cleaned, "cleaned")
+    made = lambda values: under_rules(values, "__rule", "__read", rules, X.filled)
+    ruled = by_value(rows.where("__rule <> ''"), ["__rule", "__read"], made, "cleaned")
     return ruled.unionByName(rows.where("__rule = ''").withColumn("value", F.col("__read"))).select(*candidates.columns)
 
 
