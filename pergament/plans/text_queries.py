@@ -9,6 +9,7 @@ from pergament.functions import text as X
 from pergament.operators import labels as A
 from pergament.operators import lines as L
 from pergament.operators.cleaning import clean_columns
+from pergament.operators.dictionary import remembered
 from pergament.plans import views as V
 from pergament.plans.registry import query
 
@@ -59,7 +60,8 @@ def judged_lines(spark, sf_dir):
 
 @query(f"WITH {V.CARDS_SQL} SELECT doc_id, line_no::INT AS line_no, {normalize_sql('line')} AS line FROM raw_cards")
 def t1_normalize(spark, sf_dir):
-    return V.cards(spark, sf_dir).select("doc_id", "line_no", X.normalize_text("line").alias("line"))
+    rows = remembered(V.cards(spark, sf_dir), "line", lambda values: values.withColumn("made", X.normalize_text("line")))
+    return rows.select("doc_id", "line_no", F.when(F.col("__known").isNotNull(), F.col("__known.made")).otherwise(X.normalize_text("line")).alias("line"))
 
 
 @query("SELECT doc_id, md5(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')) AS folded, md5(trim(regexp_replace(lower(replace(replace(strip_accents(text), 'đ', 'd'), 'Đ', 'D')), '[^a-z0-9]+', ' ', 'g'))) AS anchor FROM documents")

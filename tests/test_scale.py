@@ -195,3 +195,21 @@ def test_fused_records_need_no_shuffle(spark):
     records.collect()
     plan = records._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" in plan
+
+
+def test_cards_are_dealt_in_parts_that_grow_with_them(spark, monkeypatch):
+    """A file of one row group was one task of all text rules."""
+    sf = "/root/testdata/sf0.001"
+    assert V.cards(spark, sf).rdd.getNumPartitions() >= 4
+    monkeypatch.setattr(V, "CARDS_A_TASK", 100)
+    assert V.cards(spark, sf).rdd.getNumPartitions() == -(-spark.read.parquet(f"{sf}/orders.parquet").count() // 100)
+
+
+@pytest.mark.parametrize("few", [0, 2, 100])
+def test_remembered_values_equal_those_worked_out_in_place(spark, monkeypatch, few):
+    monkeypatch.setattr(D, "FEW_VALUES", few)
+    texts = ["Ngaysinh/Date of birth: 01/02/1990", "No: 0010 9501 0001", "", None, " a ,b ", "ﬁve", "x" * 300]
+    lines = spark.createDataFrame([(k, k % 3, texts[min(k % 9, 6)] if k < 60 else f"So / No: {k}") for k in range(80)], "doc_id long, at int, line string")
+    once, plain = (L.normalized(lines, once=o, facts=True) for o in (True, False))
+    assert sorted(map(str, once.collect())) == sorted(map(str, plain.collect()))
+    assert "SortMergeJoin" not in once._jdf.queryExecution().executedPlan().toString()
