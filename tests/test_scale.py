@@ -213,3 +213,36 @@ def test_remembered_values_equal_those_worked_out_in_place(spark, monkeypatch, f
     once, plain = (L.normalized(lines, once=o, facts=True) for o in (True, False))
     assert sorted(map(str, once.collect())) == sorted(map(str, plain.collect()))
     assert "SortMergeJoin" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+def test_label_hits_move_no_box_by_its_text(spark):
+    """A label stands on most cards: its boxes were one key of a merge join."""
+    boxes = spark.createDataFrame([(k, 0, "Ho va ten", 0.0, 0.0, 9.0, 9.0, 0.5) for k in range(50)] + [(1, 1, "123456789012", 0.0, 20.0, 9.0, 29.0, 0.5), (2, 1, "0 0", 0.0, 20.0, 9.0, 29.0, 0.5)], BOX)
+    hits = A.label_hits(boxes, A.label_table(spark), "levenshtein")
+    assert "SortMergeJoin" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert {r[0] for r in hits.select("doc_id").collect()} == set(range(50))
+
+
+def test_misread_labels_move_no_line(spark):
+    lines = spark.createDataFrame([(k, 0, "Duto of erpiry") for k in range(20)] + [(99, 0, "Nam")], "doc_id long, line_no int, line string")
+    flagged = L.with_expiry_flag(lines)
+    assert "SortMergeJoin" not in flagged._jdf.queryExecution().executedPlan().toString()
+    assert {r["doc_id"] for r in flagged.where("is_expiry").collect()} == set(range(20))
+
+
+def test_legacy_extraction_reads_its_lines_once(spark):
+    lines = spark.createDataFrame([(1, 0, "HO VA TEN"), (1, 1, "TRAN MAU"), (2, 0, "LE LAN")], "doc_id long, line_no int, line string")
+    got = L.extract_by_lines(lines, legacy=True)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["doc_id"], r["fullName"]) for r in got.collect()) == [(1, "TRAN MAU"), (2, "LE LAN")]
+
+
+def test_template_values_equal_those_cleaned_one_by_one(spark, monkeypatch):
+    boxes = spark.createDataFrame([(k, 1, ("Nam", "Nu", f"x {k}")[k % 3], 420.0, 260.0, 440.0, 270.0, 0.5) for k in range(30)], BOX)
+    pages = boxes.select("doc_id", F.lit(1000).alias("page_width"), F.lit(630).alias("page_height"))
+    made = [sorted(map(str, B.template_fields(boxes, pages).collect()))]
+    monkeypatch.setattr(D, "FEW_VALUES", 1)
+    made.append(sorted(map(str, B.template_fields(boxes, pages).collect())))
+    plain = B.template_fields(boxes, pages)
+    assert made[0] == made[1] and len(made[0]) >= 30
+    assert plain.where(~F.col("value").eqNullSafe(B.clean_field("field", "raw"))).count() == 0
