@@ -246,3 +246,15 @@ def test_template_values_equal_those_cleaned_one_by_one(spark, monkeypatch):
     plain = B.template_fields(boxes, pages)
     assert made[0] == made[1] and len(made[0]) >= 30
     assert plain.where(~F.col("value").eqNullSafe(B.clean_field("field", "raw"))).count() == 0
+
+
+def test_pairs_within_a_gap_need_no_join(spark):
+    """Each box was shuffled to its strips twice, once for each side of a join."""
+    rng = random.Random(5)
+    rows = [(k % 2, k, "x", left, 0.0, left + rng.choice([0.0, 5.0, 900.0]), 9.0, 0.5) for k in range(120) for left in [rng.uniform(-900, 3000)]]
+    boxes = spark.createDataFrame(rows, BOX)
+    pairs = B.pair_metrics(boxes, within=150.0)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    near = lambda a, b: max(b[3] - a[5], a[3] - b[5], 0.0) <= 150.0
+    want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and near(a, b))
+    assert sorted((r["doc_id"], r["a"], r["b"]) for r in pairs.collect()) == want
