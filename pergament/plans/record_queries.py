@@ -62,7 +62,7 @@ MISREAD = "CASE doc_id % 4 WHEN 0 THEN replace(line, 'Co gia tri den', 'Duto of
 {first_sql('dateOfExpiry', f"CASE WHEN regexp_matches(line, {q(T.EXPIRY)}, 'i') OR regexp_matches(line, '^(Duto of erpiry|Co gia un den)') THEN coalesce({TQ.fusion_date_sql('line')}, {TQ.fusion_date_sql('next')}, {TQ.fusion_date_sql('next2')}) END")}""")
 def l3_expiry_fuzzy(spark, sf_dir):
     """Every second card has its expiry label misread."""
-    return L.expiry_date(TQ.lines_of(spark, sf_dir).withColumn("line", F.expr(MISREAD)), fuzzy=True)
+    return L.expiry_date(TQ.stored_lines_of(spark, sf_dir).withColumn("line", F.expr(MISREAD)), fuzzy=True)
 
 
 AFTER_GENDER = f"regexp_replace(regexp_replace(regexp_extract(line, {q('(?is)^.*?' + T.GENDER_LABEL + '(.*)$')}, 1), {q('(?is)' + T.NATIONALITY_LABEL + '.*$')}, ''), '(?i)^\\s*/?\\s*sex\\s*[:;/,-]?\\s*', '')"
@@ -179,7 +179,7 @@ def l7_address_residence(spark, sf_dir):
 
 @query()
 def l7_address_recovered(spark, sf_dir):
-    return L.address_block(TQ.lines_of(spark, sf_dir), "placeOfResidence", mode="recover")
+    return L.address_block(TQ.stored_lines_of(spark, sf_dir), "placeOfResidence", mode="recover")
 
 
 @query(f"WITH {NEAR_SQL} {first_sql('value', label_value_sql(T.ORIGIN_LABEL))}")

@@ -12,6 +12,7 @@ from pergament.operators.cleaning import clean_columns
 from pergament.operators.dictionary import remembered
 from pergament.plans import views as V
 from pergament.plans.registry import query
+from pergament.sources.scratch import stored_by
 
 LET = "A-Za-zÀ-ỹ"
 
@@ -52,6 +53,11 @@ def lines_of(spark, sf_dir):
     return L.renumber(L.normalized(V.cards(spark, sf_dir).withColumnRenamed("line_no", "at"), compose=False, once=True))
 
 
+def stored_lines_of(spark, sf_dir):
+    """The same, written by card, for operators that pass over the lines several times."""
+    return stored_by(lines_of(spark, sf_dir), "card_lines", "doc_id", V.card_parts(spark, sf_dir))
+
+
 def judged_lines(spark, sf_dir):
     """The same for extraction: with the facts of each line, in the order of their places on the card."""
     lines = L.normalized(V.cards(spark, sf_dir).withColumnRenamed("line_no", "at"), compose=False, once=True, facts=True)
