@@ -258,3 +258,13 @@ def test_pairs_within_a_gap_need_no_join(spark):
     near = lambda a, b: max(b[3] - a[5], a[3] - b[5], 0.0) <= 150.0
     want = sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and near(a, b))
     assert sorted((r["doc_id"], r["a"], r["b"]) for r in pairs.collect()) == want
+
+
+def test_records_of_arrivals_move_lines_once_and_before_their_facts(spark):
+    from pergament.streaming.records import records_of
+
+    arrivals = spark.createDataFrame([(k, ["No: 001095010001", "", "Gioi tinh / Sex: Nam"]) for k in range(20)], "doc_id long, lines array<string>")
+    made = records_of(arrivals)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r["idNumber"], r["gender"]) for r in made.collect()} == {("001095010001", "Nam")} and made.count() == 20
