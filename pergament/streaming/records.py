@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pergament.functions import text as X
 from pergament.operators import lines as L
 from pergament.operators import quality as Q
 from pergament.sources.scratch import stored
@@ -17,13 +18,14 @@ ARRIVAL = "doc_id long, arrived timestamp, lines array<string>"
 def records_of(arrivals: DataFrame) -> DataFrame:
     """Records of a bounded table of arrivals: T4, L10 and Q1, one row per document.
 
-    Arrivals are dealt by document before their lines are taken apart, so that no line is
-    moved with its facts, and frequent lines are judged once. They are written, since they
-    are passed over twice and a stream must be run once.
+    Lines are dealt by document before they are judged, so that none is moved with its
+    facts, and frequent lines are judged once. They are written, since they are passed over
+    twice and a stream must be run once.
     """
     parts = int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = stored(arrivals.select("doc_id", "lines"), "arrivals").repartition(parts, "doc_id")
-    lines = L.normalized(whole.select("doc_id", F.posexplode("lines").alias("at", "line")), once=True, facts=True)
+    # composed (in Python, whose rows have no known place) before they are dealt
+    rows = arrivals.select("doc_id", F.posexplode("lines").alias("at", "line")).withColumn("line", X.nfkc("line"))
+    lines = L.normalized(stored(rows, "arrivals").repartition(parts, "doc_id"), compose=False, once=True, facts=True)
     return Q.validate(L.extract_by_lines(lines.withColumnRenamed("at", "line_no")))
 
 
