@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
 from pergament.functions.numbers import rounded
-from pergament.operators.dictionary import FEW_VALUES
+from pergament.operators.dictionary import dealt
 from pergament.sources.scratch import stored
 
 
@@ -102,9 +103,8 @@ def term_hits(corpus: DataFrame, terms: list[str], key: str = "path") -> DataFra
 
 
 GRAM = 4  # letters of the piece of a term that is looked up
-STRETCH = 128
-STRETCH = 128
-FEW_TERMS = 20_000  # terms whose pieces are sifted within the line, by their hashes, before it is taken apart
+STRETCH = 1 << 16  # letters of a line whose pieces are held at once
+FEW_VALUES, FEW_BYTES = 500_000, 32 << 20  # terms up to which their table is broadcast, and their letters' bytes
 
 
 def term_grams(terms: DataFrame) -> DataFrame:
@@ -120,33 +120,37 @@ def term_grams(terms: DataFrame) -> DataFrame:
     return stored(best.select("term", "b.gram", "b.at", "b.size"), "terms")
 
 
-def term_table_hits(corpus: DataFrame, terms: DataFrame, key: str = "path") -> DataFrame:
+def term_table_hits(corpus: DataFrame, terms: DataFrame, key: str = "path", shown: Callable[[Column], Column] | None = None) -> DataFrame:
     """Q9 for a table of terms, of any number: (key, line_no from 1, term, line) of every line that holds a term.
 
-    Every piece of GRAM letters of a line is looked up among one chosen piece a term, and
-    the whole term is compared where it fits, so work grows with the text and the hits, not
-    with the number of terms. A term counts once a line, at its first place. Up to
+    Every distinct piece of GRAM letters of a line is looked up among one chosen piece a term,
+    and the whole term is compared where it fits, so work grows with the text and the hits, not
+    with the number of terms. A term counts once a line, at its first place. Lines are dealt
+    evenly first, since a file of one row group would leave them to one task. ``shown`` says
+    what stands for a line in the result; it is worked out once a line, not once a hit. Up to
     FEW_VALUES terms are broadcast; beyond that pieces go to terms by shuffle, as numbers and
-    places alone, and come back to their lines by ``key``, which must then be unique.
+    stretches alone, and come back to their lines by ``key``, which must then be unique.
     """
     grams = term_grams(terms)
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # 1 to GRAM
-    lines = corpus.select(key, F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = dealt(corpus.select(key, F.posexplode(F.split("text", "\n")).alias("n", "line")), key, "n")
+    lines = lines.withColumn("shown", shown(F.col("line")) if shown else F.col("line"))
     if not sizes:
-        return lines.select(key, (F.col("n") + 1).alias("line_no"), F.lit("").alias("term"), "line").where("false")
-    # letters are found by counting from the start, so a long line is cut into stretches first
+        return lines.select(key, (F.col("n") + 1).alias("line_no"), F.lit("").alias("term"), F.col("shown").alias("line")).where("false")
+    # the pieces of a line at once, each one once; a very long line is cut into stretches first
     stretch = F.sequence(F.lit(0), F.greatest(F.length("line") - 1, F.lit(0)), F.lit(STRETCH))
     cut = lines.withColumn("begin", F.explode(stretch)).withColumn("t", F.substring(F.col("line"), F.col("begin") + 1, F.lit(STRETCH + GRAM - 1)))
-    placed = cut.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.least(F.length("t"), F.lit(STRETCH)))))
-    spread = placed.withColumn("gram", F.expr("substring(t, j, size)")).withColumn("i", F.col("begin") + F.col("j"))
-    start = F.col("i") - F.col("at") + 1
-    if grams.count() <= FEW_VALUES:
-        found = spread.select(key, "n", "line", "i", "gram", "size").join(F.broadcast(grams), ["gram", "size"])
+    pieces = F.concat(*(F.regexp_extract_all("t", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sizes))
+    spread = cut.withColumn("gram", F.explode(F.array_distinct(pieces)))
+    n, size = grams.agg(F.count("*"), F.sum(F.octet_length("term") + F.octet_length("gram"))).first()
+    if n <= FEW_VALUES and size <= FEW_BYTES:
+        found = spread.select(key, "n", "line", "shown", "begin", "gram").join(F.broadcast(grams), "gram")
     else:
-        met = spread.select(key, "n", "i", "gram", "size").hint("merge").join(grams.hint("merge"), ["gram", "size"]).select(key, "n", "i", "at", "term")
+        met = spread.select(key, "n", "begin", "gram").hint("merge").join(grams.hint("merge"), "gram").select(key, "n", "begin", "at", "term")
         found = met.hint("merge").join(lines.hint("merge"), [key, "n"])
-    first = (start > 0) & (F.expr("locate(term, line)") == start)
-    return found.where(first).select(key, (F.col("n") + 1).alias("line_no"), "term", "line")
+    # of a line of several stretches in that where the piece of its first place begins
+    first = F.contains("line", "term") & (F.expr(f"octet_length(line) <= {STRETCH}") | F.expr(f"locate(term, line) + at - 1 - begin BETWEEN 1 AND {STRETCH}"))
+    return found.where(first).select(key, (F.col("n") + 1).alias("line_no"), "term", F.col("shown").alias("line"))
 
 
 def files_with(corpus: DataFrame, terms: list[str], key: str = "path") -> DataFrame:

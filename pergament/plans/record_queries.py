@@ -323,8 +323,7 @@ TERM_OF = "replace(substr(text, CAST(1 + doc_id % 60 AS INT), CAST(2 + doc_id %
 def q9_term_table(spark, sf_dir):
     """As many terms as there are documents, looked for in all lines."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = Q.term_table_hits(docs, docs.select(F.expr(TERM_OF).alias("term")), "doc_id")
-    return found.select("doc_id", "line_no", "term", F.md5("line").alias("line"))
+    return Q.term_table_hits(docs, docs.select(F.expr(TERM_OF).alias("term")), "doc_id", shown=F.md5).select("doc_id", "line_no", "term", "line")
 
 
 @query("WITH m AS (SELECT doc_id, text, replace(replace(replace(text, 'the ', 'THE '), 'license', 'licence'), 'THE THE', 'THE') AS t FROM documents) SELECT doc_id, text <> t AS changed, md5(t) AS text FROM m")

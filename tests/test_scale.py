@@ -189,6 +189,28 @@ def test_terms_of_a_table_equal_brute_force(spark, monkeypatch, few):
     assert Q.term_table_hits(spark.createDataFrame(docs, "path long, text string"), spark.createDataFrame([("",)], "term string")).count() == 0
 
 
+@pytest.mark.parametrize("few", [D.FEW_VALUES, 0])
+def test_terms_across_stretches_count_once(spark, monkeypatch, few):
+    monkeypatch.setattr(Q, "FEW_VALUES", few)
+    monkeypatch.setattr(Q, "STRETCH", 5)
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("ab😀") for _ in range(k)) for k in range(40)]
+    terms = {lines[-1][k : k + n] for k in range(12) for n in (1, 2, 3, 4, 9, 20)}
+    got = Q.term_table_hits(spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "path long, text string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert sorted((r["path"], r["term"]) for r in got.collect()) == sorted((k, t) for k, line in enumerate(lines) for t in terms if t in line)
+
+
+def test_lines_of_one_file_are_dealt_to_all_tasks_before_they_meet_terms(spark):
+    """A file of one row group was one task; what stands for a line was made once a hit."""
+    docs = spark.createDataFrame([(k, "\n".join(f"some line {k} {n}" for n in range(9))) for k in range(200)], "path long, text string").coalesce(1)
+    got = Q.term_table_hits(docs, spark.createDataFrame([("line",), ("some",)], "term string"), shown=F.md5)
+    assert got.rdd.getNumPartitions() >= 4
+    assert got.select(F.spark_partition_id()).distinct().count() >= 4
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("md5(")
+    assert got.where("line = md5(concat('some line ', path, ' ', line_no - 1))").count() == 3600
+
+
 def test_fused_records_need_no_shuffle(spark):
     """The cleaned and the fused readings lie in buckets of documents; what reads them moves nothing."""
     records = Fu.fuse_records(V.candidates(spark, "/root/testdata/sf0.001").where("doc_id < 300"))
