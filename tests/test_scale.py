@@ -171,6 +171,28 @@ def test_sweep_equals_the_plain_grouping(spark, monkeypatch, mode):
     assert {(r["doc_id"], r["box_id"]): r["line_id" if mode == "lines" else "row_id"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("group", [B.group_lines, B.group_rows])
+def test_grouping_moves_boxes_once_and_joins_nothing(spark, group):
+    """Boxes were made three times, grouped, and joined back by a second shuffle."""
+    found = group(V.boxes(spark, "/root/testdata/sf0.001"))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Union" not in plan
+
+
+@pytest.mark.parametrize("height", [0.0, 0.3, 0.6, 12.0])
+@pytest.mark.parametrize("mode", ["lines", "overlap"])
+def test_level_islands_equal_the_plain_grouping(spark, mode, height):
+    """Boxes of equal edges: one group, or where they are too flat to overlap one each."""
+    boxes = spark.range(60).selectExpr("id % 3 AS doc_id", "id AS box_id", "'x' AS text", "double(id * 7 % 50) AS left", "double(id div 20) * 30 AS top", "double(id * 7 % 50 + 5) AS right", f"double(id div 20) * 30 + {height}D AS bottom", "0.9D AS confidence")
+    got = B.group_lines(boxes) if mode == "lines" else B.group_rows(boxes)
+    by = {}
+    for r in boxes.collect():
+        by.setdefault(r["doc_id"], []).append(r)
+    want = {k: v for rows in by.values() for k, v in rows_of(rows, mode).items()}
+    assert {(r["doc_id"], r["box_id"]): r["line_id" if mode == "lines" else "row_id"] for r in got.collect()} == want
+
+
 def test_one_long_island(spark):
     boxes = spark.range(20_000).selectExpr("1L AS doc_id", "id AS box_id", "'x' AS text", "double(id % 50 * 20) AS left", "double(id div 50) * 12 AS top", "double(id % 50 * 20 + 18) AS right", "double(id div 50) * 12 + 20 AS bottom", "0.9D AS confidence")
     assert B.group_rows(boxes).select("row_id").distinct().count() == 400
