@@ -434,13 +434,13 @@ PLAIN = TQ.squeeze_sql(f"regexp_replace(lower({TQ.FOLD.format(c='line')}), '[^a-
 @query(f"""WITH {TQ.NORMAL_SQL}, p AS (SELECT doc_id, line_no, {PLAIN} AS p FROM lines), w AS (SELECT *, regexp_extract_all(p, '[a-z0-9]+') AS w FROM p)
 SELECT doc_id, line_no::INT AS line_no, len(w) >= 3 AND len(list_filter(w, lambda z: length(z) = 1)) < 3 AND NOT list_has_any(w, [{', '.join(map(q, T.NOISE_WORDS))}]) AND NOT regexp_matches(p, {q('|'.join(T.NOT_ADDRESS_LABELS))}) AND length(regexp_replace(p, '[^0-9]', '', 'g')) <= 2 AS valid FROM w""")
 def f9_valid_address(spark, sf_dir):
-    return TQ.lines_of(spark, sf_dir).select("doc_id", "line_no", X.is_valid_address("line", True).alias("valid"))
+    return TQ.lines_of(spark, sf_dir, X.is_valid_address("line", True)).select("doc_id", "line_no", F.col("facts").alias("valid"))
 
 
 @query(f"""WITH {TQ.NORMAL_SQL}, w AS (SELECT doc_id, line_no, list_filter(string_split_regex(upper({TQ.FOLD.format(c='line')}), '\\s+'), lambda z: z <> '') AS w FROM lines)
 SELECT doc_id, line_no::INT AS line_no, len(w) BETWEEN 2 AND 8 AND len(list_filter(w, lambda z: NOT list_contains({TQ.NOT_NAMES}, z))) >= 2 AS valid FROM w""")
 def f10_valid_name(spark, sf_dir):
-    return TQ.lines_of(spark, sf_dir).select("doc_id", "line_no", X.is_valid_name("line").alias("valid"))
+    return TQ.lines_of(spark, sf_dir, X.is_valid_name("line")).select("doc_id", "line_no", F.col("facts").alias("valid"))
 
 
 SPELT_SQL = f"""sp AS (SELECT doc_id, count(DISTINCT upper(split_part(value, ' ', 1))) AS n FROM cl WHERE field = 'fullName' AND value <> '' AND upper({TQ.FOLD.format(c="split_part(value, ' ', 1)")}) = 'HO' GROUP BY doc_id),

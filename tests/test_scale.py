@@ -1,6 +1,7 @@
 """Mechanisms for large inputs, each equal to its plain form: batched ratios, letter bounds, dictionaries, cells, sweeps."""
 
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -12,6 +13,7 @@ from pergament.operators import fusion as Fu
 from pergament.operators import labels as A
 from pergament.operators import lines as L
 from pergament.operators import quality as Q
+from pergament.plans import box_queries as Q_boxes
 from pergament.plans import text_queries as TQ
 from pergament.plans import views as V
 from pyspark.sql import functions as F
@@ -119,6 +121,26 @@ def test_cells_find_the_pairs_of_the_plain_join(spark, monkeypatch):
     assert pairs() == plain and all(plain)
 
 
+@pytest.mark.parametrize("many", [500, 30])
+def test_relations_of_a_document_meet_once(spark, monkeypatch, many):
+    """Six relations were six joins over all boxes."""
+    monkeypatch.setattr(B, "MANY", many)
+    boxes, kinds = odd_boxes(spark), ["left_of", "right_of_strict", "above", "below_strict", "same_line"]
+    got = B.relate_all(boxes, kinds)
+    want = [B.relate(boxes, k.removesuffix("_strict"), strict=k.endswith("_strict")).withColumn("kind", F.lit(k)) for k in kinds]
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for w in want for r in w.collect())
+    if many == 500:
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_card_boxes_are_dealt_once(spark):
+    """Cards dealt by card were dealt once more when their boxes were written."""
+    loose = Q_boxes.loose_card_boxes(spark, "/root/testdata/sf0.001")
+    assert sorted(map(str, loose.collect())) == sorted(map(str, Q_boxes.card_boxes(spark, "/root/testdata/sf0.001").collect()))
+    plan = loose._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 1
+
+
 def test_one_crowded_document_is_no_square(spark):
     """60,000 boxes of one page: the pairs are those beside each other, found without meeting all others."""
     boxes = spark.range(60_000).selectExpr("1L AS doc_id", "id AS box_id", "'x' AS text", "double(id % 100 * 30) AS left", "double(id div 100) * 20 AS top", "double(id % 100 * 30 + 20) AS right", "double(id div 100) * 20 + 12 AS bottom", "0.9D AS confidence")
@@ -259,6 +281,17 @@ def test_remembered_values_equal_those_worked_out_in_place(spark, monkeypatch, f
     assert "SortMergeJoin" not in once._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("few", [D.FEW_VALUES, 1])
+def test_facts_of_frequent_lines_are_worked_out_once(spark, monkeypatch, few):
+    """The address rule ran on every line; now on the frequent ones of the dictionary, and in place on the others."""
+    monkeypatch.setattr(D, "FEW_VALUES", few)
+    sf = "/root/testdata/sf0.001"
+    got = TQ.lines_of(spark, sf, X.is_valid_address("line", True))
+    want = TQ.lines_of(spark, sf).withColumn("facts", X.is_valid_address("line", True))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and want.where("facts").count() > 10
+    assert re.search(r"__known#\d+\.facts", got._jdf.queryExecution().analyzed().toString())
+
+
 def test_label_hits_move_no_box_by_its_text(spark):
     """A label stands on most cards: its boxes were one key of a merge join."""
     boxes = spark.createDataFrame([(k, 0, "Ho va ten", 0.0, 0.0, 9.0, 9.0, 0.5) for k in range(50)] + [(1, 1, "123456789012", 0.0, 20.0, 9.0, 29.0, 0.5), (2, 1, "0 0", 0.0, 20.0, 9.0, 29.0, 0.5)], BOX)
