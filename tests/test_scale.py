@@ -333,3 +333,38 @@ def test_records_of_arrivals_move_lines_once_and_before_their_facts(spark):
     plan = made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("Exchange hashpartitioning") == 1
     assert {(r["idNumber"], r["gender"]) for r in made.collect()} == {("001095010001", "Nam")} and made.count() == 20
+
+
+@pytest.mark.parametrize("compare_text", [True, False])
+def test_only_boxes_of_larger_parts_are_grouped(spark, monkeypatch, compare_text):
+    """Lone boxes and pairs are judged beside each other; the rest is folded. Both as one greedy pass over all boxes."""
+    rng, rows = random.Random(11), []
+    for doc in range(40):
+        for part in range(12):
+            left, top, n = 100.0 * part, 30.0 * rng.randint(0, 3), rng.choice([1, 1, 2, 2, 2, 3, 5])
+            for _ in range(n):
+                x, wide = left + rng.choice([0, 0, 1, 2, 30]), rng.choice([40, 40, 41, 20, 0])
+                rows.append((doc, len(rows) if rng.random() < 0.9 else 7, rng.choice(["a", "A.", "b", "", None]), x, top, x + wide, top + rng.choice([20, 20, 19]), rng.choice([0.2, 0.5, 0.5, 0.9])))
+    handed = []
+
+    def folded(df, *more):
+        handed.append(df.count())
+        return plain(df, *more)
+
+    plain = B._folded
+    monkeypatch.setattr(B, "_folded", folded)
+    got = sorted(map(tuple, B.suppress_duplicates(spark.createDataFrame(rows, BOX), 0.8, compare_text).collect()), key=repr)
+    key = lambda t: None if t is None else re.sub(r"[\W_]", "", t.lower()) if compare_text else ""
+    keyed = lambda r: key(r[2]) if compare_text else ""
+    area = lambda r: (r[5] - r[3]) * (r[6] - r[4])
+
+    def iou(a, b):
+        both = max(min(a[5], b[5]) - max(a[3], b[3]), 0) * max(min(a[6], b[6]) - max(a[4], b[4]), 0)
+        return both / (area(a) + area(b) - both) if area(a) + area(b) - both > 0 else 0.0
+
+    want = []
+    for r in sorted(rows, key=lambda r: (r[0], -r[7], -area(r), r[1], r[2] is not None, r[2] or "", *r[3:])):
+        if not any(k[0] == r[0] and keyed(k) == keyed(r) and iou(k, r) >= 0.8 for k in want):
+            want.append(r)
+    assert got == sorted(want, key=repr)
+    assert 0 < handed[0] < len(rows) / 2
