@@ -10,8 +10,9 @@ product of blocks, the threshold is shared among the blocks, so few replicas suf
 Equal fingerprints are one node from the start. Each anchor emits a spanning forest of the
 links it found, never all pairs; connected components follow from these edges.
 
-``cluster`` holds pairs to an exact shingle similarity instead: band keys bring documents
-together, and each link is checked on the two shingle sets before it counts.
+``cluster`` holds pairs to an exact shingle similarity: the anchors bring documents
+together first, and each link is checked on the two shingle sets before it counts. Pairs too
+far apart for a replica each, which similarity 0.8 allows, are brought together by band keys.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ SEED = 42
 BANDS, BAND_ROWS = 24, 5
 # Of 256 bits a pair of similarity 0.8 differs in 42 on average, 48 for very short texts, with a deviation of 6.
 FAR = 68
+# Anchors of groups by shingle similarity: bits 0 to 45 of the first word, met within one bit; it is compared whole.
+NEAR_BAND, NEAR_BITS, NEAR_LIMIT = [[list(range(s, s + LENGTH)) for s in (0, LENGTH)]], 1, 17
 MOST = 16_384  # rows of a cell that are compared in one task; larger cells are cut into blocks
 HASHES = 1 << 21  # shingle hashes of a block on either side, 16 MB
 
@@ -451,6 +454,14 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return found.select("a", "b").unionByName(more).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are not in one group of ``labels`` already."""
+    for c in "ab":
+        name = labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+        pairs = pairs.hint("merge").join(name.hint("merge"), c, "left")
+    return pairs.where(F.col("a_in").isNull() | ~F.col("a_in").eqNullSafe(F.col("b_in"))).select("a", "b")
+
+
 def across_links(members: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) of ``across``: in each cell that holds several groups, between all its members of different groups.
 
@@ -490,12 +501,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame, k: int = 5, row: str | None = None) -> DataFrame:
     """(row, doc_id, component_id, first_row) of every row: groups linked by Jaccard similarity 0.8 of k-word shingles.
 
-    Equal shingle sets are one node. Nodes with a band key in common meet in a cell; only
-    they are looked at further. First each cell proposes its middle member with each other
-    one; links that hold on the exact sets form groups, so a group of copies costs as many
-    checks as members. Then, in cells that hold several groups, all members of different
-    groups are compared on their sets, within a task; only links come out of it. Cells with
-    very many members are compared in blocks.
+    Equal shingle sets are one node. Every node is replicated to its anchors, whose links
+    form the first groups. Fingerprints of pairs at 0.8 lie farther apart than replicas can
+    reach, so nodes with a band key in common meet in a cell as well: each cell proposes its
+    middle member with each other one that is not in its group yet, so a group of copies
+    costs as many checks as members. Then, in cells that hold several groups, all members of
+    different groups are compared on their sets, within a task; only links come out of it.
+    Every link holds on the exact sets. Cells with very many members are compared in blocks.
     ``row`` names a column of row numbers; without it the rows are numbered and written here.
 
     component_id is the smallest doc_id of the group (nulls ignored; null if all are),
@@ -509,13 +521,17 @@ def cluster(docs: DataFrame, k: int = 5, row: str | None = None) -> DataFrame:
     marks = common.save(sketches(rows, k), "sketches")
     same = [F.first(c).alias(c) for c in ("n", *WORDS, "keys")]
     nodes = common.save(marks.groupBy("mark").agg(first_bearer(), *same).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    anchored = common.save(links(nodes.select("node", "w0"), NEAR_BAND, NEAR_BITS, NEAR_LIMIT), "anchored")
     cells = nodes.select(F.explode("keys").alias("cell"), "node")
     shared = common.save(cells.groupBy("cell").count().where("count > 1"), "shared")
     met = common.save(cells.hint("merge").join(shared.hint("merge"), "cell"), "met")
-    some = common.save(nodes.hint("merge").join(met.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.col("first.row").alias("row"), "n", *WORDS), "some")
+    ends = met.select("node").unionByName(anchored.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    some = common.save(nodes.hint("merge").join(ends.hint("merge"), "node", "left_semi").select("node", F.col("first.row").alias("row"), "n", *WORDS), "some")
     sets = common.save(shingle_sets(rows, some, k), "sets")
+    edges = common.save(verified(anchored, sets), "links")
     members = common.save(met.hint("merge").join(some.drop("row").hint("merge"), "node").select("cell", "count", "node", "n", *WORDS), "members")
-    edges = common.save(verified(common.save(star_pairs(members), "pairs"), sets), "links")
+    pairs = common.save(apart(star_pairs(members), components(edges)), "pairs")
+    edges = edges.unionByName(common.save(verified(pairs, sets), "links"))
     labels = components(edges)
     more = common.save(across_links(members, labels, sets), "links")
     if not more.isEmpty():

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from pergament.llm import bpe, chunk_dedup, common, license_scan, mixing, quality, rans, registry, sharding, simhash, url_filter, warc_zstd
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -769,3 +770,26 @@ def test_pipeline(spark):
     whole = Tokenizer.from_file(BYTES)
     want = Counter((r["doc_id"], len(whole.encode(r["text"] or "", add_special_tokens=False).ids)) for r in at.collect())
     assert Counter((r["doc_id"], r["n_tokens"]) for r in got.collect()) == want
+
+
+def test_near_dedup_meets_at_anchors(spark, monkeypatch):
+    """Without any band key, pairs within the covering threshold are linked, by the anchors alone, and only at 0.8 or more."""
+    from xxhash import xxh64_intdigest as h
+
+    rng = np.random.default_rng(31)
+    texts = {}
+    for k in range(60):
+        words = [f"w{n}" for n in rng.integers(0, 10**6, 200)]
+        texts[2 * k], texts[2 * k + 1] = " ".join(words), " ".join(words[:-1] + ["other"] * (1 if k % 2 else 60))
+    sets = {d: simhash.shingle_set(t, 5, h) for d, t in texts.items()}
+    bits = {d: simhash.majority(x, 4)[0] & (1 << 46) - 1 for d, x in sets.items()}
+    alike = lambda a, b: len(set(sets[a]) & set(sets[b])) * 9 >= 4 * (len(sets[a]) + len(sets[b]))
+    must = {2 * k for k in range(60) if (bits[2 * k] ^ bits[2 * k + 1]).bit_count() <= 1 and alike(2 * k, 2 * k + 1)}
+    assert len(must) >= 8
+    plain = simhash.sketches
+    monkeypatch.setattr(simhash, "sketches", lambda rows, k: plain(rows, k).withColumn("keys", F.array().cast("array<long>")))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.cluster(docs).collect()}
+    joined = {d for d in range(0, 120, 2) if got[d + 1] == d}
+    assert must <= joined and all(alike(d, d + 1) for d in joined)
+    assert all(c in (d, d - d % 2) for d, c in got.items())
