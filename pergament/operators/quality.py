@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pergament.functions import tables as T
+from pergament.functions import trie
 from pergament.functions.numbers import rounded
 from pergament.operators.dictionary import dealt
 from pergament.sources.scratch import stored
@@ -104,17 +107,24 @@ def term_hits(corpus: DataFrame, terms: list[str], key: str = "path") -> DataFra
 
 GRAM = 4  # letters of the piece of a term that is looked up
 STRETCH = 1 << 16  # letters of a line whose pieces are held at once
-FEW_VALUES, FEW_BYTES = 500_000, 32 << 20  # terms up to which their table is broadcast, and their letters' bytes
+FEW_VALUES, FEW_BYTES = 1_000_000, 16 << 20  # terms up to which each task has them all, and their bytes
+LONGEST = 4096  # bytes of a term in such a table
 
 
-def term_grams(terms: DataFrame) -> DataFrame:
+def numbered_terms(terms: DataFrame) -> DataFrame:
+    """(term, number) of the distinct terms; empty ones and nulls are left out."""
+    known = terms.select(F.col("term").cast("string").alias("term")).where("term <> ''").distinct()
+    return stored(known.withColumn("number", F.monotonically_increasing_id()), "terms")
+
+
+def term_grams(known: DataFrame) -> DataFrame:
     """(term, gram, at, size): of each distinct term one piece of GRAM letters, the one that fewest terms have, and its place.
 
-    Shorter terms are their own piece; empty ones and nulls are left out.
+    Shorter terms are their own piece.
     """
-    known = terms.select(F.col("term").cast("string").alias("term")).where("term <> ''").distinct().withColumn("size", F.least(F.length("term"), F.lit(GRAM)))
+    sized = known.select("term").withColumn("size", F.least(F.length("term"), F.lit(GRAM)))
     starts = F.sequence(F.lit(1), F.length("term") - F.col("size") + 1)
-    pieces = known.select("term", "size", F.explode(starts).alias("at")).withColumn("gram", F.expr("substring(term, at, size)"))
+    pieces = sized.select("term", "size", F.explode(starts).alias("at")).withColumn("gram", F.expr("substring(term, at, size)"))
     shared = pieces.groupBy("gram").agg(F.count_distinct("term").alias("n"))
     best = pieces.join(shared.hint("merge"), "gram").groupBy("term").agg(F.min(F.struct("n", "gram", "at", "size")).alias("b"))
     return stored(best.select("term", "b.gram", "b.at", "b.size"), "terms")
@@ -123,34 +133,64 @@ def term_grams(terms: DataFrame) -> DataFrame:
 def term_table_hits(corpus: DataFrame, terms: DataFrame, key: str = "path", shown: Callable[[Column], Column] | None = None) -> DataFrame:
     """Q9 for a table of terms, of any number: (key, line_no from 1, term, line) of every line that holds a term.
 
-    Every distinct piece of GRAM letters of a line is looked up among one chosen piece a term,
-    and the whole term is compared where it fits, so work grows with the text and the hits, not
-    with the number of terms. A term counts once a line, at its first place. Lines are dealt
-    evenly first, since a file of one row group would leave them to one task. ``shown`` says
-    what stands for a line in the result; it is worked out once a line, not once a hit. Up to
-    FEW_VALUES terms are broadcast; beyond that pieces go to terms by shuffle, as numbers and
-    stretches alone, and come back to their lines by ``key``, which must then be unique.
+    A term counts once a line. Lines are dealt evenly first, since a file of one row group
+    would leave them to one task. ``shown`` says what stands for a line in the result; it is
+    worked out once a line, not once a hit. Up to FEW_VALUES terms each task has them as a
+    trie (``functions.trie``) that is walked from all places of its lines together, so work
+    grows with the text and the hits; beyond that pieces go to terms by shuffle (``term_pieces``).
     """
-    grams = term_grams(terms)
-    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # 1 to GRAM
+    known = numbered_terms(terms)
+    n, size, longest = known.agg(F.count("*"), F.sum(F.octet_length("term")), F.max(F.octet_length("term"))).first()
     lines = dealt(corpus.select(key, F.posexplode(F.split("text", "\n")).alias("n", "line")), key, "n")
     lines = lines.withColumn("shown", shown(F.col("line")) if shown else F.col("line"))
-    if not sizes:
+    if not n:
         return lines.select(key, (F.col("n") + 1).alias("line_no"), F.lit("").alias("term"), F.col("shown").alias("line")).where("false")
+    if n <= FEW_VALUES and size <= FEW_BYTES and longest <= LONGEST:
+        found = terms_held(lines, known).withColumn("number", F.explode("numbers")).join(F.broadcast(known), "number")
+    else:
+        found = term_pieces(lines, term_grams(known), key)
+    return found.select(key, (F.col("n") + 1).alias("line_no"), "term", F.col("shown").alias("line"))
+
+
+def terms_held(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """Lines without their text, with the numbers of the terms that each holds, each term once; lines without any go."""
+    # a line holds no line end, so a term with one is in none
+    table = known.where(~F.contains("term", F.lit("\n"))).select("number", F.col("term").cast("binary")).toArrow()
+    shared = known.sparkSession.sparkContext.broadcast((trie.grown(*trie.packed(table["term"])), table["number"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown, numbers = shared.value
+        for batch in batches:
+            data, starts, sizes = trie.packed(batch["line"])
+            rest = batch.drop_columns(["line"])
+            for first, counts, terms in trie.held(grown, data, starts + sizes):
+                some = np.flatnonzero(counts)
+                ends = np.concatenate([[0], np.cumsum(counts[some])]).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers[terms]))
+                yield rest.take(pa.array(first + some)).append_column("numbers", found)
+
+    ended = lines.withColumn("line", F.concat("line", F.lit("\n")).cast("binary"))
+    schema = ended.drop("line").withColumn("numbers", F.lit(None).cast("array<long>")).schema
+    return ended.mapInArrow(run, schema)
+
+
+def term_pieces(lines: DataFrame, grams: DataFrame, key: str) -> DataFrame:
+    """Hits of any number of terms: every distinct piece of GRAM letters of a line meets one chosen piece a term.
+
+    The whole term is compared where it fits. Pieces go to terms by shuffle, as numbers and
+    stretches alone, and come back to their lines by ``key``, which must be unique.
+    """
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # 1 to GRAM
     # the pieces of a line at once, each one once; a very long line is cut into stretches first
     stretch = F.sequence(F.lit(0), F.greatest(F.length("line") - 1, F.lit(0)), F.lit(STRETCH))
     cut = lines.withColumn("begin", F.explode(stretch)).withColumn("t", F.substring(F.col("line"), F.col("begin") + 1, F.lit(STRETCH + GRAM - 1)))
     pieces = F.concat(*(F.regexp_extract_all("t", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sizes))
     spread = cut.withColumn("gram", F.explode(F.array_distinct(pieces)))
-    n, size = grams.agg(F.count("*"), F.sum(F.octet_length("term") + F.octet_length("gram"))).first()
-    if n <= FEW_VALUES and size <= FEW_BYTES:
-        found = spread.select(key, "n", "line", "shown", "begin", "gram").join(F.broadcast(grams), "gram")
-    else:
-        met = spread.select(key, "n", "begin", "gram").hint("merge").join(grams.hint("merge"), "gram").select(key, "n", "begin", "at", "term")
-        found = met.hint("merge").join(lines.hint("merge"), [key, "n"])
+    met = spread.select(key, "n", "begin", "gram").hint("merge").join(grams.hint("merge"), "gram").select(key, "n", "begin", "at", "term")
+    found = met.hint("merge").join(lines.hint("merge"), [key, "n"])
     # of a line of several stretches in that where the piece of its first place begins
     first = F.contains("line", "term") & (F.expr(f"octet_length(line) <= {STRETCH}") | F.expr(f"locate(term, line) + at - 1 - begin BETWEEN 1 AND {STRETCH}"))
-    return found.where(first).select(key, (F.col("n") + 1).alias("line_no"), "term", F.col("shown").alias("line"))
+    return found.where(first)
 
 
 def files_with(corpus: DataFrame, terms: list[str], key: str = "path") -> DataFrame:

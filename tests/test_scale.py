@@ -4,8 +4,10 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 import pytest
-from pergament.functions import blocks
+from pergament.functions import blocks, trie
 from pergament.functions import text as X
 from pergament.operators import boxes as B
 from pergament.operators import dictionary as D
@@ -232,6 +234,29 @@ def test_terms_across_stretches_count_once(spark, monkeypatch, few):
     assert sorted((r["path"], r["term"]) for r in got.collect()) == sorted((k, t) for k, line in enumerate(lines) for t in terms if t in line)
 
 
+def test_terms_are_walked_not_compared(spark):
+    """Each line was compared with every term whose piece it has, so a hit cost many terms once they were many."""
+    docs = spark.createDataFrame([(k, f"abcd{k}\nxabcd{k % 7}") for k in range(50)], "path long, text string")
+    got = Q.term_table_hits(docs, spark.createDataFrame([(f"abcd{k}",) for k in range(60)] + [("bc\nx",)], "term string"))
+    assert "contains(" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {(k, n, f"abcd{t}") for k in range(50) for n, line in ((1, f"abcd{k}"), (2, f"xabcd{k % 7}")) for t in range(60) if f"abcd{t}" in line}
+    assert sorted(got.select("path", "line_no", "term").collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("window", [1, 3, 17, trie.WINDOW])
+@pytest.mark.parametrize("letters", ["ab", "abcé ", "aé😀"])
+def test_trie_finds_each_term_once_a_line(monkeypatch, window, letters):
+    monkeypatch.setattr(trie, "WINDOW", window)
+    rng = random.Random(window)
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for terms in ({word(rng.randint(1, 7)) for _ in range(60)} | {"zz"}, {word(1)}, set()):
+        terms, lines = sorted(terms), [word(rng.choice([0, 1, 2, 5, 40])) for _ in range(30)]
+        grown = trie.grown(*trie.packed(pa.chunked_array([pa.array([t.encode() for t in terms], pa.binary())])))
+        data, starts, sizes = trie.packed(pa.array([f"{x}\n".encode() for x in lines]))
+        got = [(first + i, terms[t]) for first, counts, found in trie.held(grown, data, starts + sizes) for i, t in zip(np.repeat(np.arange(len(counts)), counts), found)]
+        assert sorted(got) == sorted((i, t) for i, x in enumerate(lines) for t in terms if t in x)
+
+
 def test_lines_of_one_file_are_dealt_to_all_tasks_before_they_meet_terms(spark):
     """A file of one row group was one task; what stands for a line was made once a hit."""
     docs = spark.createDataFrame([(k, "\n".join(f"some line {k} {n}" for n in range(9))) for k in range(200)], "path long, text string").coalesce(1)
