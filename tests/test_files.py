@@ -101,3 +101,34 @@ def test_documents_that_wait_and_parts_that_are_late(spark, tmp_path):
     arrive(landing, "c.json", (9, 26, 1, 1, ["x"]))
     run()
     assert [(r["doc_id"], r["part"], r["lines"]) for r in read("late")] == [(9, 1, ["x"])] and len(read("records")) == 3
+
+
+def test_documents_of_one_group_leave_each_in_its_own_time(spark, tmp_path, monkeypatch):
+    """Every document was a call of the stateful function; now a group of them is, and each keeps its own state."""
+    whole = [line.format(7) for line in CARD]
+    found = []
+    for groups in (1, 1 << 30):
+        monkeypatch.setattr(P, "GROUPS", groups)
+        base = tmp_path / str(groups)
+        run = lambda: P.stream_parts(spark, str(base / "in"), str(base / "out"), str(base / "state")).awaitTermination()
+        base.mkdir()
+        arrive(base / "in", "a.json", (1, 0, 0, 2, whole[:3]), (2, 0, 0, None, whole), (3, 0, 1, 2, whole[3:]), (4, 0, 0, 1, whole), (5, 5, 0, 2, whole[:3]))
+        run()
+        arrive(base / "in", "b.json", (1, 8, 1, 2, whole[3:]), (6, 25, 0, 1, whole), (4, 12, 1, 1, ["late"]))  # 2 and 3 have waited, 5 not yet
+        run()
+        arrive(base / "in", "c.json", (5, 15, 1, 2, whole[3:]), (4, 26, 2, 1, ["later"]), (6, 26, 1, 1, ["x"]), (7, 50, 0, 3, whole))
+        run()
+        arrive(base / "in", "d.json", (7, 51, 1, 3, ["y"]), (8, 90, 0, 1, whole), (4, 90, 0, 1, whole))
+        run()
+        read = lambda kind, *columns: sorted(map(str, spark.read.parquet(str(base / "out" / kind)).select(*columns).collect()))
+        found.append((read("records", "doc_id", "outcome", "idNumber"), read("late", "doc_id", "part", "lines")))
+    assert found[0] == found[1] and len(found[0][0]) >= 8 and len(found[0][1]) >= 3
+    assert {s.split("outcome='")[1].split("'")[0] for s in found[0][0]} == {"whole", "waited"}
+
+
+def test_a_group_is_one_call_and_one_row_of_state(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "GROUPS", 2)
+    arrive(tmp_path / "in", "a.json", *((d, 0, 0, 2, ["x"]) for d in range(50)))
+    query = P.stream_parts(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
