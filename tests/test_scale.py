@@ -393,3 +393,19 @@ def test_only_boxes_of_larger_parts_are_grouped(spark, monkeypatch, compare_text
             want.append(r)
     assert got == sorted(want, key=repr)
     assert 0 < handed[0] < len(rows) / 2
+
+
+@pytest.mark.parametrize("few", [D.FEW_VALUES, 1])
+def test_layout_rules_run_once_for_frequent_texts(spark, monkeypatch, few):
+    """Every box went through the identifier and date rules, every chosen value through its field's."""
+    sf = "/root/testdata/sf0.001"
+    cards = Q_boxes.card_boxes(spark, sf).where("doc_id < 400")
+    monkeypatch.setattr(D, "FEW_VALUES", few)
+    got = A.extract_by_layout(cards, method="levenshtein")
+    assert re.search(r"__known#\d+\.idNumber", got._jdf.queryExecution().analyzed().toString())
+    long, rows = A.extract_by_layout(cards, method="levenshtein", debug=True), {r["doc_id"]: r for r in got.collect()}
+    told = long.select("doc_id", "field", "value_text", "value", *(rule(F.col("value_text")).alias(f"by_{f}") for f, rule in A.LAYOUT_RULES.items())).collect()
+    assert len(told) > 1000 and all(r["value"] == r[f"by_{r['field']}"] for r in told)
+    backed = {kind: {r["doc_id"]: r["value"] for r in made.collect()} for kind, made in (("idNumber", A.id_fallback(B.prepare_boxes(cards))), ("dateOfBirth", A.date_fallback(B.prepare_boxes(cards))))}
+    own = {(r["doc_id"], r["field"]): r["value"] for r in told}
+    assert all(rows[d][f] == ((own.get((d, f)) or None if f == "idNumber" else own.get((d, f))) or found.get(d) or "") for f, found in backed.items() for d in rows)
