@@ -409,3 +409,23 @@ def test_layout_rules_run_once_for_frequent_texts(spark, monkeypatch, few):
     backed = {kind: {r["doc_id"]: r["value"] for r in made.collect()} for kind, made in (("idNumber", A.id_fallback(B.prepare_boxes(cards))), ("dateOfBirth", A.date_fallback(B.prepare_boxes(cards))))}
     own = {(r["doc_id"], r["field"]): r["value"] for r in told}
     assert all(rows[d][f] == ((own.get((d, f)) or None if f == "idNumber" else own.get((d, f))) or found.get(d) or "") for f, found in backed.items() for d in rows)
+
+
+@pytest.mark.parametrize("few", [D.FEW_VALUES, 0])
+def test_equal_sets_of_readings_are_fused_once(spark, monkeypatch, few):
+    """Names and places were put together for every document; now once for each distinct set of readings."""
+    monkeypatch.setattr(D, "FEW_VALUES", few)
+    seen, named = [], Fu.named
+    monkeypatch.setattr(Fu, "named", lambda readings: seen.append(readings.count()) or named(readings))
+    kinds = [
+        [("fullName", "FIELD_OCR", "HO VAN MAU"), ("fullName", "FULL_CARD_OCR", "HỒ VĂN MAU"), ("gender", "FIELD_OCR", "Nam"), ("placeOfOrigin", "FULL_CARD_OCR", "Xa Le Loi, Thai Binh"), ("placeOfOrigin", "FIELD_OCR", "Xa Lê Lợi, Thai Binh")],
+        [("fullName", "FIELD_OCR", "TRAN THI LAN"), ("placeOfResidence", "RAW_TEXT_RECOVERY", "Xa Vu Thu, Nam Dinh, To 18"), ("placeOfResidence", "FULL_CARD_OCR", "Xa Vu Thu, Nam Dinh, To B8")],
+        [("gender", "FIELD_OCR", "Nu")],
+    ]
+    table = lambda docs: spark.createDataFrame([(d, *r) for d in docs for r in kinds[d % 3]], "doc_id long, field string, source string, value string")
+    told = lambda rows: {tuple(r)[1:] for r in rows.withColumn("sources", F.to_json("sources")).collect()}
+    all_ = Fu.fuse_records(table(range(60)))
+    assert all_.count() == 60 and seen == [2 + 1]
+    assert told(all_) == set().union(*(told(Fu.fuse_records(table([d]))) for d in range(3))) and len(told(all_)) == 3
+    origin = {r["placeOfOrigin"] for r in all_.collect()}
+    assert any(o and "Lê Lợi" in o for o in origin) and None in origin
